@@ -132,13 +132,13 @@ def curve(matches: DataFrame, truth: DataFrame, group: list[str], per_unit: int
     """Precision and recall at every distinct score, per ``group`` columns of ``truth``.
 
     Predictions of equal score enter together, so ties leave no choice. Rows are combined
-    to one per group and score before anything runs over a group. Scores run in buckets
+    to one per group and score and written once, before anything runs over a group. Scores run in buckets
     of 1/``per_unit``.
     """
     marks = [c for c in ("level",) if c in matches.columns]
     keys = [*marks, *group]
-    points = matches.groupBy(*keys, "score").agg(
-        F.count("truth").alias("_tp"), F.count(F.lit(1)).alias("_all"))
+    points = durable(matches.groupBy(*keys, "score").agg(
+        F.count("truth").alias("_tp"), F.count(F.lit(1)).alias("_all")), "points")
     total = truth.groupBy(*group).agg(F.count(F.lit(1)).alias("n_truth")) if group else None
     ran = running(points, keys, -F.floor(F.col("score") * per_unit), [-F.col("score")],
                   tp=Running("sum", F.col("_tp")), n=Running("sum", F.col("_all")))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from boxloom.functions.names import canonical_name, digest, digest_number
 from boxloom.plans.running import Running, hash_bucket, number_rows, running
 from boxloom.plans.skew import join_on
-from boxloom.session import SPLITS
+from boxloom.session import SPLITS, durable
 
 # Target shares of the splits and the turns an image may take.
 SPLIT_SHARES = {"train": 0.7, "valid": 0.2, "test": 0.1}
@@ -159,8 +159,10 @@ def class_quota(counts: DataFrame, slots: DataFrame, seed: str) -> DataFrame:
     ``counts``: split, class_id, n, total. ``slots``: split, slots. Filling the lowest
     class again and again ends with all filled classes level. The level follows from
     running sums over sorted counts; what is left over goes to the classes with the
-    fewest labels in total, ties by seeded hash.
+    fewest labels in total, ties by seeded hash. Both tables are as small as the registry
+    and are written once, since the level and the quotas each read them again.
     """
+    counts = durable(counts, "counts")
     ran = running(
         counts, ["split"], _log_bucket(F.col("n")), [F.col("n"), F.col("class_id")],
         _i=Running("sum", F.lit(1).cast("bigint")), _s=Running("sum", F.col("n")))
@@ -175,8 +177,8 @@ def class_quota(counts: DataFrame, slots: DataFrame, seed: str) -> DataFrame:
     ranked = number_rows(filled, ["split"], _log_bucket(F.col("total")),
                          [F.col("total"), F.col("_d"), F.col("class_id")], "_r")
     quota = F.col("_level") - F.col("n") + F.when(F.col("_r") <= F.col("_extra"), 1).otherwise(0)
-    return ranked.withColumn("quota", quota.cast("bigint")).filter(F.col("quota") > 0).select(
-        "split", "class_id", "n", "total", "quota")
+    return durable(ranked.withColumn("quota", quota.cast("bigint")).filter(F.col("quota") > 0).select(
+        "split", "class_id", "n", "total", "quota"), "quotas")
 
 
 def class_seats(quotas: DataFrame, seed: str, makeup_min: int = 0) -> DataFrame:

@@ -65,13 +65,13 @@ def extend_registry(registry: DataFrame, discovered: DataFrame) -> DataFrame:
     New ids continue after the highest registered id, which the running maximum carries
     across, so the two parts need no join with a single-row aggregate.
     """
-    both = registry.select(
+    tagged = registry.select(
         "name", F.lit(0).alias("source"), F.col("class_id").alias("pos"), "class_id",
-    ).unionByName(
-        discovered.join(registry, "name", "left_anti").groupBy("name")
-        .agg(F.min("pos").cast("bigint").alias("pos"))
-        .select("name", F.lit(1).alias("source"), "pos", F.lit(None).cast("bigint").alias("class_id"))
-    )
+    ).unionByName(discovered.select(
+        "name", F.lit(1).alias("source"), F.col("pos").cast("bigint").alias("pos"),
+        F.lit(None).cast("bigint").alias("class_id")))
+    both = tagged.groupBy("name").agg(
+        F.min(F.struct("source", "pos", "class_id")).alias("_f")).select("name", "_f.*")
     ranked = running(
         both, [], F.struct(F.col("source"), _block(F.col("pos"))), [F.col("source"), F.col("pos")],
         _last=Running("max", F.col("class_id")),

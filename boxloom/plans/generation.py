@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from boxloom.functions.geometry import Label, rotate_label
 from boxloom.functions.names import digest, output_stem
 from boxloom.operators.planning import class_quota, class_seats, draw, turn
-from boxloom.plans.running import hash_bucket, number_rows
+from boxloom.plans.running import Running, hash_bucket, number_rows, running
+from boxloom.session import durable
+
+IMAGES_PER_BUCKET = 65_536
 
 
 @dataclass(frozen=True)
@@ -43,18 +46,26 @@ def plan_dataset(quota: DataFrame, templates: DataFrame, template_labels: DataFr
     sizes = templates.groupBy("split").agg(F.count(F.lit(1)).alias("templates"))
     drawn = draw(quota, pool, ["split"], "template_no", "templates", f"{seed}-template",
                  ["image_no"], sizes)
-    images = drawn.select(
+    own = ["split", "template"]
+    boxes = template_labels.withColumnRenamed("stem", "template")
+    filled = drawn.join(boxes.groupBy(*own).agg(F.count(F.lit(1)).alias("_boxes")), own, "left")
+    images = durable(filled.select(
         "image_no", "split", "template", turn(f"{seed}-turn", F.col("image_no")).alias("angle"),
-        output_stem(seed, F.col("image_no"), F.col("template")).alias("stem"))
-    boxes = images.join(
-        template_labels.withColumnRenamed("stem", "template"), ["split", "template"])
-    slots = number_rows(boxes, ["split"], F.floor(F.col("image_no") / 256),
-                        [F.col("image_no"), F.col("box_no")], "_n").withColumn(
-        "slot_no", F.col("_n") - 1).drop("_n")
-    needed = boxes.groupBy("split").agg(F.count(F.lit(1)).alias("slots"))
+        output_stem(seed, F.col("image_no"), F.col("template")).alias("stem"),
+        F.coalesce("_boxes", F.lit(0)).alias("_boxes")), "planned-images")
+
+    # Slot numbers: slots before the image, plus the place of the box in its template.
+    # Only templates are ranked box by box; images need one running sum.
+    ranked = number_rows(
+        boxes.withColumn("_d", digest(seed, F.col("box_no"))), own, hash_bucket(F.col("_d"), 2),
+        [F.col("_d"), F.col("box_no")], "_place").drop("_d")
+    starts = running(images, ["split"], F.floor(F.col("image_no") / IMAGES_PER_BUCKET), [F.col("image_no")],
+                     _start=Running("sum", F.col("_boxes"), inclusive=False))
+    slots = starts.join(ranked, own).withColumn("slot_no", F.col("_start") + F.col("_place") - 1)
+    needed = images.groupBy("split").agg(F.sum("_boxes").cast("bigint").alias("slots"))
     seats = class_seats(class_quota(counts, needed, seed), seed, makeup_min)
     turned = rotate_label(Label(*[F.col(c) for c in ("cx", "cy", "w", "h")]), F.col("angle"))
     labels = slots.join(seats, ["split", "slot_no"]).select(
         "image_no", "split", "stem", "box_no", "class_id", "angle",
         *[c.alias(n) for n, c in zip(("cx", "cy", "w", "h"), turned)])
-    return Plan(images, labels)
+    return Plan(images.drop("_boxes"), labels)

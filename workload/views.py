@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.functions.names import digest
+from boxloom.session import SPLITS
 
 WIDTH, HEIGHT = 1920, 1080
 SETS = ("SEA", "WTR", "HVY")
@@ -173,11 +173,13 @@ def run_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 def counts_so_far(spark: SparkSession, d: str) -> DataFrame:
     """Labels per split and class of the 64-odd names, as a planner finds them."""
-    from boxloom.operators.coverage import coverage, label_counts
+    from boxloom.operators.coverage import coverage, coverage_with_totals, label_counts
 
-    cov = coverage(registry(spark, d), label_counts(labels(spark, d)))
-    totals = cov.groupBy("class_id").agg(F.sum("n").cast("bigint").alias("total"))
-    return cov.join(totals, "class_id").select("split", "class_id", "name", "n", "total")
+    cov = coverage_with_totals(coverage(registry(spark, d), label_counts(labels(spark, d))))
+    per_split = F.explode(F.array(*[
+        F.struct(F.lit(s).alias("split"), F.col(s).alias("n")) for s in SPLITS]))
+    return cov.select("class_id", "name", "total", per_split.alias("_s")).select(
+        "_s.split", "class_id", "name", "_s.n", "total")
 
 
 def registry(spark: SparkSession, d: str) -> DataFrame:
