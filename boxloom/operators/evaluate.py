@@ -24,41 +24,49 @@ def _corners(*first: Column) -> Column:
     return F.struct(*first, *[F.col(c) for c in ("x1", "y1", "x2", "y2")])
 
 
-def _no_box() -> Column:
-    return F.struct(*[F.lit(0).cast("bigint").alias(c) for c in ("box", "x1", "y1", "x2", "y2")])
-
-
-def _take(preds: Column, truths: Column, level: Column) -> Column:
+def _candidates(preds: Column, truths: Column, lowest: int) -> Column:
+    """Each prediction with the truth boxes it overlaps by the lowest level or more."""
+    def pair(p: Column, t: Column) -> Column:
+        overlap = intersection(box(p), box(t))
+        return F.struct(
+            iou(box(p), box(t)).alias("iou"), (-t["box"]).alias("low"), t["box"].alias("box"),
+            overlap.cast("double").alias("overlap"),
+            (area(box(p)) + area(box(t)) - overlap).cast("double").alias("joint"))
+
+    return F.transform(preds, lambda p: F.struct(
+        p["box"].alias("box"), p["score"].cast("double").alias("score"),
+        F.filter(F.transform(truths, lambda t: pair(p, t)), lambda c: overlap_reaches(
+            c["overlap"], c["joint"], F.lit(lowest))).alias("near")))
+
+
+def _take(preds: Column, level: Column) -> Column:
     """Ordered fold over predictions; the state holds the truth boxes taken so far."""
     def best(p: Column, taken: Column) -> Column:
-        def free(t: Column) -> Column:
-            overlap = intersection(box(p), box(t))
-            joint = area(box(p)) + area(box(t)) - overlap
-            return overlap_reaches(overlap, joint, level) & ~F.exists(
-                taken, lambda k: k["truth"].eqNullSafe(t["box"]))
-
-        return F.array_max(F.transform(F.filter(truths, free), lambda t: F.struct(
-            iou(box(p), box(t)).alias("iou"), (-t["box"]).alias("low"), t["box"].alias("box"))))
+        return F.array_max(F.filter(p["near"], lambda c: overlap_reaches(
+            c["overlap"], c["joint"], level) & ~F.exists(
+                taken, lambda k: k["truth"].eqNullSafe(c["box"]))))
 
     return F.aggregate(
         preds, F.array().cast("array<struct<box:bigint,score:double,truth:bigint>>"),
         lambda taken, p: F.concat(taken, F.array(F.struct(
-            p["box"].alias("box"), p["score"].cast("double").alias("score"),
-            best(p, taken)["box"].alias("truth")))))
+            p["box"].alias("box"), p["score"].alias("score"), best(p, taken)["box"].alias("truth")))))
 
 
 def _folded(preds: DataFrame, truth: DataFrame, keys: list[str], levels: tuple[int, ...]) -> DataFrame:
-    p = preds.groupBy(*keys).agg(F.array_sort(F.collect_list(_corners(
+    p = preds.groupBy(*keys).agg(F.sort_array(F.collect_list(_corners(
         (-F.col("score")).alias("at"), F.col("box"), F.col("score")))).alias("_p"))
     t = truth.groupBy(*keys).agg(F.collect_list(_corners(F.col("box"))).alias("_t"))
-    joined = join_on(p, t, keys, "left")
-    truths = F.coalesce("_t", F.filter(F.array(_no_box()), lambda _: F.lit(False)))
+    near = join_on(p, t, keys, "left").select(*keys, F.when(
+        F.col("_t").isNotNull(), _candidates(F.col("_p"), F.col("_t"), min(levels))).otherwise(
+        F.transform("_p", lambda q: F.struct(
+            q["box"].alias("box"), q["score"].cast("double").alias("score"),
+            F.array().cast("array<struct<iou:double,low:bigint,box:bigint,overlap:double,joint:double>>")
+            .alias("near")))).alias("_n"))
     per_level = F.transform(
         F.array(*[F.lit(v) for v in levels]),
-        lambda level: F.struct(level.alias("level"), _take(F.col("_p"), F.col("_t"), level).alias("rows")))
-    joined = joined.withColumn("_t", truths)
+        lambda level: F.struct(level.alias("level"), _take(F.col("_n"), level).alias("rows")))
     return (
-        joined.select(*keys, F.explode(per_level).alias("_l"))
+        near.select(*keys, F.explode(per_level).alias("_l"))
         .select(*keys, F.col("_l.level").alias("level"), F.explode("_l.rows").alias("_r"))
         .select(*keys, "level", "_r.box", "_r.score", "_r.truth")
     )

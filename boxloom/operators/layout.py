@@ -62,8 +62,8 @@ def _folded(images: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
     out = out.withColumns({
         "n": F.size("_b"),
         "min_height": F.array_min(F.transform("_b", lambda b: b["h"])),
-        "median_area": _median(F.array_sort(F.transform("_b", lambda b: b["w"] * b["h"]))),
-        "_aspects": F.array_sort(F.transform(
+        "median_area": _median(F.sort_array(F.transform("_b", lambda b: b["w"] * b["h"]))),
+        "_aspects": F.sort_array(F.transform(
             F.filter("_b", lambda b: b["w"] > 0), lambda b: b["h"] / b["w"])),
     })
     out = out.withColumn("_band", F.filter("_b", lambda b: (b["w"] * b["h"]).between(
@@ -72,8 +72,8 @@ def _folded(images: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
     high = F.floor(F.size("_aspects") * 0.75).cast("int")
     return _sizes(out.withColumns({
         "band_n": F.size("_band"),
-        "band_w": _median(F.array_sort(F.transform("_band", lambda b: b["w"]))),
-        "band_h": _median(F.array_sort(F.transform("_band", lambda b: b["h"]))),
+        "band_w": _median(F.sort_array(F.transform("_band", lambda b: b["w"]))),
+        "band_h": _median(F.sort_array(F.transform("_band", lambda b: b["h"]))),
         "trimmed": _mean(F.when(high > low, F.slice("_aspects", low + 1, F.greatest(high - low, F.lit(0))))
                          .otherwise(F.col("_aspects"))),
         "tall": _mean(F.filter("_aspects", lambda a: a >= TALL_ASPECT)),

@@ -11,50 +11,56 @@ GROUP_LIMIT = 64
 # Fixed value: a label is dropped from this hidden share on.
 DROP_SHARE = 0.85
 
-_EMPTY = "array<struct<x1:bigint,y1:bigint,x2:bigint,y2:bigint>>"
 _WORD = 63  # columns per mask word; the sign bit stays free
 
 
-def _rect(**c: Column) -> Column:
-    return F.struct(*[v.cast("bigint").alias(k) for k, v in c.items()])
-
-
-def _union_area(rects: Column) -> Column:
-    """Area of the union: cut into strips at every edge, merge the intervals of each strip."""
-    edges = F.array_sort(F.array_distinct(F.concat(
-        F.transform(rects, lambda r: r["y1"]), F.transform(rects, lambda r: r["y2"]))))
-    strips = F.when(F.size(edges) > 1, F.transform(
-        F.slice(edges, 1, F.greatest(F.size(edges) - 1, F.lit(0))),
-        lambda y, i: F.struct(y.alias("top"), F.get(edges, i + 1).alias("end")),
-    )).otherwise(F.array().cast("array<struct<top:bigint,end:bigint>>"))
-
-    def covered(strip: Column) -> Column:
-        spans = F.array_sort(F.transform(
-            F.filter(rects, lambda r: (r["y1"] <= strip["top"]) & (r["y2"] >= strip["end"])),
+def _pieces(rects: str, edges: str) -> Column:
+    """The union of rectangles as disjoint ones: strips between edges, spans within a strip."""
+    def spans(top: Column, end: Column) -> Column:
+        across = F.sort_array(F.transform(
+            F.filter(rects, lambda r: (r["y1"] <= top) & (r["y2"] >= end)),
             lambda r: F.struct(r["x1"].alias("a"), r["x2"].alias("b"))))
-        start = F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(-(2 ** 62)).cast("bigint").alias("to"))
+        start = F.struct(
+            F.lit(-(2 ** 62)).cast("bigint").alias("to"),
+            F.array().cast("array<struct<x1:bigint,x2:bigint>>").alias("out"))
         return F.aggregate(
-            spans, start,
+            across, start,
             lambda s, r: F.struct(
-                (s["sum"] + F.greatest(F.lit(0).cast("bigint"), r["b"] - F.greatest(r["a"], s["to"]))).alias("sum"),
-                F.greatest(s["to"], r["b"]).alias("to")),
-            lambda s: s["sum"])
+                F.greatest(s["to"], r["b"]).alias("to"),
+                F.when(r["b"] > s["to"], F.concat(s["out"], F.array(F.struct(
+                    F.greatest(r["a"], s["to"]).alias("x1"), r["b"].alias("x2"))))
+                ).otherwise(s["out"]).alias("out")),
+            lambda s: s["out"])
 
-    return F.aggregate(
-        strips, F.lit(0).cast("bigint"),
-        lambda total, s: total + (s["end"] - s["top"]) * covered(s))
+    def strip(top: Column, i: Column) -> Column:
+        end = F.get(F.col(edges), i + 1)
+        return F.transform(spans(top, end), lambda p: F.struct(
+            p["x1"].alias("x1"), top.alias("y1"), p["x2"].alias("x2"), end.alias("y2")))
+
+    return F.flatten(F.transform(F.slice(edges, 1, F.size(edges) - 1), strip))
 
 
 def _by_strips(boxes: DataFrame, occluders: DataFrame, keys: list[str]) -> DataFrame:
-    grouped = occluders.groupBy(*keys).agg(F.collect_list(_rect(
-        x1=F.col("x1"), y1=F.col("y1"), x2=F.col("x2"), y2=F.col("y2"))).alias("_occ"))
-    joined = join_on(boxes, grouped, keys, "left")
-    clipped = F.transform(F.coalesce("_occ", F.array().cast(_EMPTY)), lambda o: _rect(
-        x1=F.greatest(F.col("x1"), o["x1"]), y1=F.greatest(F.col("y1"), o["y1"]),
-        x2=F.least(F.col("x2"), o["x2"]), y2=F.least(F.col("y2"), o["y2"])))
-    touching = F.filter(clipped, lambda o: (o["x2"] > o["x1"]) & (o["y2"] > o["y1"]))
-    return joined.withColumn("_clip", touching).withColumn(
-        "hidden", _union_area(F.col("_clip"))).drop("_occ", "_clip")
+    """Each image's occluders become disjoint pieces once; a box then adds up its shares."""
+    corner = ("x1", "y1", "x2", "y2")
+    solid = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
+    pieces = (
+        occluders.filter(solid).groupBy(*keys)
+        .agg(F.collect_list(F.struct(*[F.col(c).cast("bigint").alias(c) for c in corner])).alias("_r"))
+        .withColumn("_e", F.sort_array(F.array_distinct(F.concat(
+            F.transform("_r", lambda r: r["y1"]), F.transform("_r", lambda r: r["y2"])))))
+        .select(*keys, _pieces("_r", "_e").alias("_pieces"))
+    )
+    zero = F.lit(0).cast("bigint")
+
+    def share(r: Column) -> Column:
+        wide = F.least(F.col("x2"), r["x2"]) - F.greatest(F.col("x1"), r["x1"])
+        tall = F.least(F.col("y2"), r["y2"]) - F.greatest(F.col("y1"), r["y1"])
+        return F.greatest(zero, wide) * F.greatest(zero, tall)
+
+    hidden = F.aggregate("_pieces", zero, lambda total, r: total + share(r))
+    return join_on(boxes, pieces, keys, "left").withColumn(
+        "hidden", F.coalesce(hidden, zero)).drop("_pieces")
 
 
 def _words(df: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def _kept_arrays(df: DataFrame, keys: list[str], order: list[Column], threshold:
                  max_keep: int | None) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     kept = df.groupBy(*keys).agg(
-        fold_boxes(F.array_sort(F.collect_list(_row(order, rest))), threshold).alias("kept"))
+        fold_boxes(F.sort_array(F.collect_list(_row(order, rest))), threshold).alias("kept"))
     if max_keep is not None:
         kept = kept.withColumn("kept", F.slice("kept", 1, max_keep))
     return kept
@@ -71,7 +71,7 @@ def _peel(hot: DataFrame, keys: list[str], order: list[Column], threshold: float
         rest = [c for c in columns if c not in keys]
         decided = durable(
             chunk.groupBy(*keys).agg(
-                F.array_sort(F.collect_list(_row(order, rest))).alias("_c"))
+                F.sort_array(F.collect_list(_row(order, rest))).alias("_c"))
             .select(*keys, F.element_at("_c", -1)["_at"].alias("_last"),
                     fold_boxes(F.col("_c"), threshold).alias("kept")),
             "decided",
@@ -121,4 +121,4 @@ def kept_per_group(df: DataFrame, keys: list[str], order: list[Column], threshol
     rest = [c for c in df.columns if c not in keys]
     peeled = top_k(_peel(hot, keys, order, threshold), keys, order, max_keep, _SALTS)
     return arrays.unionByName(peeled.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(_row(order, rest))).alias("kept")))
+        F.sort_array(F.collect_list(_row(order, rest))).alias("kept")))

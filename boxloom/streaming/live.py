@@ -7,9 +7,11 @@ table and a stream. Only the overlay memory carries state between frames.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -24,6 +26,12 @@ from boxloom.operators.suppress import fold_boxes
 CONFIDENCE, SUPPRESS_IOU, MAX_DETECTIONS = 0.69, 0.50, 300
 PREVIEW_SIZE = (300, 420)
 
+BOXES = ("array<struct<box_no:bigint,class_id:bigint,score:double,"
+         "x1:double,y1:double,x2:double,y2:double>>")
+
+# Most classes whose ids are sent to every task of the overlay memory.
+MAX_PREVIEW_CLASSES = 1_000_000
+
 
 def collect_frames(detections: DataFrame, watermark: str) -> DataFrame:
     """Frames from detection rows; in a stream a frame is complete once the watermark passed it."""
@@ -35,9 +43,8 @@ def collect_frames(detections: DataFrame, watermark: str) -> DataFrame:
 def frame_boxes(boxes: Column, width: int, height: int, confidence: float = CONFIDENCE,
                 threshold: float = SUPPRESS_IOU, max_boxes: int = MAX_DETECTIONS) -> Column:
     """Threshold, per-class suppression, cap and shape filter, in that order."""
-    sure = F.filter(F.coalesce(boxes, F.filter(boxes, lambda _: F.lit(False))),
-                    lambda b: b["score"] >= confidence)
-    ranked = F.array_sort(F.transform(sure, lambda b: F.struct(
+    sure = F.filter(F.coalesce(boxes, F.array().cast(BOXES)), lambda b: b["score"] >= confidence)
+    ranked = F.sort_array(F.transform(sure, lambda b: F.struct(
         (-b["score"]).alias("at"), b["box_no"].alias("box_no"), b["class_id"].alias("class_id"),
         b["score"].alias("score"), *[b[c].alias(c) for c in ("x1", "y1", "x2", "y2")])))
     capped = F.slice(fold_boxes(ranked, threshold, "class_id"), 1, max_boxes)
@@ -127,7 +134,8 @@ class OverlayMemory(StatefulProcessor):
         self.memory.update((*(rect or (None,) * 4), last, late))
         names = [c.split()[0] for c in OVERLAY_OUTPUT.split(", ")]
         if out:
-            yield pd.DataFrame(out, columns=names).astype("Int64")
+            # Whole numbers stay whole beside missing ones.
+            yield pd.DataFrame({n: pd.array(list(c), dtype="Int64") for n, c in zip(names, zip(*out))})
 
     def one_frame(self, frame, rect):
         """Figures of one frame, and the overlay rectangle that the next frame meets."""
@@ -156,6 +164,8 @@ class OverlayMemory(StatefulProcessor):
 
 def remember_overlay(frames: DataFrame, memory: OverlayMemory) -> DataFrame:
     """Runs the overlay memory over a stream of frames (session_id, frame_no, px, py, shown)."""
+    # The Python side of the operator starts without this package on its path.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     return frames.select("session_id", "frame_no", "px", "py", "shown").groupBy(
         "session_id").transformWithStateInPandas(
         statefulProcessor=memory, outputStructType=OVERLAY_OUTPUT, outputMode="Append", timeMode="None"

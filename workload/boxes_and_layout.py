@@ -13,8 +13,16 @@ from workload import views as V
 from workload.register import query
 from workload.views import area_sql, greedy_sql, overlap_sql, with_views
 
-W, H = F.lit(V.WIDTH), F.lit(V.HEIGHT)
-LABEL = G.Label(F.col("cx"), F.col("cy"), F.col("w"), F.col("h"))
+def canvas():
+    return F.lit(V.WIDTH), F.lit(V.HEIGHT)
+
+
+def label():
+    return G.Label(*[F.col(c) for c in ("cx", "cy", "w", "h")])
+
+
+def by_score():
+    return [-F.col("score"), F.col("box")]
 
 
 def _named(parts, names):
@@ -25,7 +33,7 @@ def _named(parts, names):
 SELECT img, box, (x1 + x2) / 3840 AS cx, (y1 + y2) / 2160 AS cy, (x2 - x1) / 1920 AS w, (y2 - y1) / 1080 AS h FROM boxes"""))
 def center_labels(spark, d):
     return V.boxes(spark, d).select(
-        "img", "box", *_named(G.to_label(G.box(), W, H), ("cx", "cy", "w", "h")))
+        "img", "box", *_named(G.to_label(G.box(), *canvas()), ("cx", "cy", "w", "h")))
 
 
 _PIXELS = """
@@ -45,13 +53,13 @@ def _wide_labels(spark, d):
     x1="greatest(0, l)", y1="greatest(0, t)", x2="least(399, r)", y2="least(299, b)")))
 def clamped_corners(spark, d):
     return _wide_labels(spark, d).select(
-        "stem", "box_no", *_named(G.to_corners(LABEL, F.lit(400), F.lit(300)), ("x1", "y1", "x2", "y2")))
+        "stem", "box_no", *_named(G.to_corners(label(), F.lit(400), F.lit(300)), ("x1", "y1", "x2", "y2")))
 
 
 @query(with_views("labels", _PIXELS.format(x1="l", y1="t", x2="r", y2="b")))
 def placement_corners(spark, d):
     return _wide_labels(spark, d).select("stem", "box_no", *_named(
-        G.to_corners(LABEL, F.lit(400), F.lit(300), clamp=False), ("x1", "y1", "x2", "y2")))
+        G.to_corners(label(), F.lit(400), F.lit(300), clamp=False), ("x1", "y1", "x2", "y2")))
 
 
 @query(with_views("boxes", """
@@ -61,7 +69,7 @@ def box_shapes(spark, d):
     """Shapes of boxes cut by 70 pixels, so that some lose their width."""
     a = G.box()._replace(x2=F.col("x2") - 70)
     return V.boxes(spark, d).select(
-        "img", "box", G.aspect(a).alias("aspect"), G.area_share(a, W, H).alias("share"),
+        "img", "box", G.aspect(a).alias("aspect"), G.area_share(a, *canvas()).alias("share"),
         G.has_sides(a).alias("solid"))
 
 
@@ -74,7 +82,7 @@ FROM (SELECT *, (box_no % 4) * 90 AS a FROM labels)"""))
 def rotated_labels(spark, d):
     angle = F.col("angle")
     return V.labels(spark, d).withColumn("angle", (F.col("box_no") % 4) * 90).select(
-        "stem", "box_no", "angle", *_named(G.rotate_label(LABEL, angle), ("cx", "cy", "w", "h")))
+        "stem", "box_no", "angle", *_named(G.rotate_label(label(), angle), ("cx", "cy", "w", "h")))
 
 
 @query(with_views("labels", """
@@ -93,7 +101,7 @@ def placement_sizes(spark, d):
     c = F.col("class_id")
     threshold = F.when(c % 10 == 0, F.lit(None).cast("double")).when(c % 10 == 1, 0.0).otherwise(0.0101)
     highlighted, card_w, card_h = G.placement_size(
-        LABEL, W, H, 450 + c, 628 + c, F.lit(150), F.lit(200), threshold)
+        label(), *canvas(), 450 + c, 628 + c, F.lit(150), F.lit(200), threshold)
     return V.labels(spark, d).select(
         "stem", "box_no", highlighted.alias("highlighted"), card_w.alias("card_w"), card_h.alias("card_h"))
 
@@ -115,12 +123,12 @@ _LIVE = _SHAPE.format(0.6, 2.2, 0.004, 0.15)
 
 @query(with_views("boxes", f"SELECT img, box FROM boxes WHERE {_SLOT}"))
 def slot_shaped_boxes(spark, d):
-    return V.boxes(spark, d).filter(G.slot_shape(G.box(), W, H)).select("img", "box")
+    return V.boxes(spark, d).filter(G.slot_shape(G.box(), *canvas())).select("img", "box")
 
 
 @query(with_views("boxes", f"SELECT img, box FROM boxes WHERE {_LIVE}"))
 def live_shaped_boxes(spark, d):
-    return V.boxes(spark, d).filter(G.live_shape(G.box(), W, H)).select("img", "box")
+    return V.boxes(spark, d).filter(G.live_shape(G.box(), *canvas())).select("img", "box")
 
 
 @query(with_views("boxes", "SELECT img, box, score FROM boxes WHERE score >= 690"))
@@ -143,7 +151,6 @@ def overlapping_pairs(spark, d):
     return overlap.overlapping_pairs(boxes, boxes, ["img"], "box", "box", 0.5, once=True)
 
 
-ORDER = [-F.col("score"), F.col("box")]
 _COLUMNS = ("img", "box", "cls", "score", "x1", "y1", "x2", "y2")
 
 
@@ -157,12 +164,12 @@ def greedy(body: str, num: int, den: int, group: str = "img", source: str = "box
 
 @query(greedy("SELECT img, box, cls, score, x1, y1, x2, y2 FROM kept", 1, 4))
 def greedy_slots(spark, d):
-    return keep_best(_boxes(spark, d), ["img"], ORDER, 0.25)
+    return keep_best(_boxes(spark, d), ["img"], by_score(), 0.25)
 
 
 @query(greedy("SELECT img, box FROM kept", 1, 2))
 def suppressed_any_class(spark, d):
-    return keep_best(_boxes(spark, d), ["img"], ORDER, 0.5).select("img", "box")
+    return keep_best(_boxes(spark, d), ["img"], by_score(), 0.5).select("img", "box")
 
 
 _PER_CLASS = "img * 8 + cls % 4"
@@ -171,7 +178,7 @@ _PER_CLASS = "img * 8 + cls % 4"
 @query(greedy("SELECT img, cls % 4 AS cls, box FROM kept", 1, 2, _PER_CLASS))
 def suppressed_per_class(spark, d):
     boxes = _boxes(spark, d).withColumn("cls", F.col("cls") % 4)
-    return keep_best(boxes, ["img", "cls"], ORDER, 0.5).select("img", "cls", "box")
+    return keep_best(boxes, ["img", "cls"], by_score(), 0.5).select("img", "cls", "box")
 
 
 _SHAPED = f"(SELECT * FROM boxes WHERE {_SLOT})"
@@ -182,8 +189,8 @@ SELECT img, box, slot FROM (SELECT img, box, row_number() OVER (PARTITION BY img
 WHERE slot <= 30""", 1, 4, source=_SHAPED))
 def top_slots(spark, d):
     """Slot-shaped boxes, overlaps removed, at most 30 per image."""
-    shaped = _boxes(spark, d).filter(G.slot_shape(G.box(), W, H))
-    kept = kept_per_group(shaped.select(*_COLUMNS), ["img"], ORDER, 0.25, 30)
+    shaped = _boxes(spark, d).filter(G.slot_shape(G.box(), *canvas()))
+    kept = kept_per_group(shaped.select(*_COLUMNS), ["img"], by_score(), 0.25, 30)
     return kept.select("img", F.posexplode("kept").alias("_i", "_b")).select(
         "img", "_b.box", (F.col("_i") + 1).cast("bigint").alias("slot"))
 
@@ -191,7 +198,7 @@ def top_slots(spark, d):
 @query(with_views("boxes", """
 SELECT img, box, score FROM (SELECT *, row_number() OVER (PARTITION BY img ORDER BY score DESC, box) AS rn FROM boxes) WHERE rn <= 300"""))
 def top_detections(spark, d):
-    return top_k(V.boxes(spark, d).select("img", "box", "score"), ["img"], ORDER, 300)
+    return top_k(V.boxes(spark, d).select("img", "box", "score"), ["img"], by_score(), 300)
 
 
 @query(greedy("""
@@ -201,7 +208,7 @@ SELECT (SELECT count(DISTINCT img) FROM boxes) AS images, count(*) AS slots FROM
 def slot_run_totals(spark, d):
     """Images seen and boxes written by a slot run, in one pass over images."""
     boxes = _boxes(spark, d)
-    kept = kept_per_group(boxes.filter(G.slot_shape(G.box(), W, H)), ["img"], ORDER, 0.25, 30)
+    kept = kept_per_group(boxes.filter(G.slot_shape(G.box(), *canvas())), ["img"], by_score(), 0.25, 30)
     rows = boxes.select("img").distinct().select(F.lit(1).alias("image"), F.lit(0).alias("slots")).unionByName(
         kept.select(F.lit(0).alias("image"), F.size("kept").alias("slots")))
     return rows.agg(F.sum("image").cast("bigint").alias("images"), F.sum("slots").cast("bigint").alias("slots"))
@@ -213,8 +220,8 @@ SELECT img AS image, list([x1::double, y1::double, x2::double, y2::double] ORDER
 FROM (SELECT *, row_number() OVER (PARTITION BY img ORDER BY score DESC, box) AS slot FROM kept) WHERE slot <= 30 GROUP BY 1""",
               1, 4, source=_SHAPED))
 def slot_records(spark, d):
-    shaped = _boxes(spark, d).filter(G.slot_shape(G.box(), W, H))
-    kept = kept_per_group(shaped, ["img"], ORDER, 0.25, 30)
+    shaped = _boxes(spark, d).filter(G.slot_shape(G.box(), *canvas()))
+    kept = kept_per_group(shaped, ["img"], by_score(), 0.25, 30)
     flat = kept.select("img", F.posexplode("kept").alias("slot", "_b")).select("img", "slot", "_b.*")
     return S.slot_records(flat, "img", "slot")
 
@@ -246,7 +253,7 @@ FROM images i LEFT JOIN (
 
 
 def _layout(spark, d):
-    sized = V.images(spark, d).select("img", W.alias("width"), H.alias("height"))
+    sized = V.images(spark, d).select("img", F.lit(V.WIDTH).alias("width"), F.lit(V.HEIGHT).alias("height"))
     return layout.layout_stats(sized, V.labels(spark, d).select("img", "w", "h"), ["img"])
 
 

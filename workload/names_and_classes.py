@@ -81,7 +81,7 @@ def imported_class_list(spark, d):
     """A stored list (one row, an array of names) taken apart and cleaned."""
     raw = V.known_classes(spark, d)
     stored = raw.agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("pos", "raw_name"))), lambda c: c["raw_name"]).alias("names"))
+        F.sort_array(F.collect_list(F.struct("pos", "raw_name"))), lambda c: c["raw_name"]).alias("names"))
     return R.clean_class_list(class_entries(stored))
 
 

@@ -10,7 +10,7 @@ from boxloom.operators.suppress import kept_per_group
 from boxloom.plans import generation
 from boxloom.sources import catalog, images
 from workload import views as V
-from workload.boxes_and_layout import ORDER
+from workload.boxes_and_layout import by_score
 from workload.register import query
 from workload.views import greedy_sql, with_views
 
@@ -267,6 +267,6 @@ SELECT session_id, frame_no, box, cls FROM (
                   greedy_sql("kept", "boxes", "img", 1, 2)))
 def hovered_boxes(spark, d):
     boxes = V.boxes(spark, d).select("img", "box", "cls", "score", "x1", "y1", "x2", "y2")
-    kept = kept_per_group(boxes, ["img"], ORDER, 0.5, 300)
+    kept = kept_per_group(boxes, ["img"], by_score(), 0.5, 300)
     return lookup.hovered_boxes(_pointed(spark, d), kept, ["img"]).select(
         "session_id", "frame_no", "hit.box", "hit.cls")
