@@ -72,7 +72,7 @@ def _words(df: DataFrame) -> DataFrame:
     high = F.least(F.lit(_WORD), F.col("x2") - F.col("_word") * _WORD).cast("int")
     # All bits up to _WORD are set by the largest bigint; shorter runs by powers of two.
     ones = F.lit(2 ** 63 - 1).cast("bigint")
-    run = F.shiftrightunsigned(ones, F.lit(_WORD) - (high - low))
+    run = F.call_function("shiftrightunsigned", ones, F.lit(_WORD) - (high - low))
     return cut.withColumn("_bits", F.call_function("shiftleft", run, low))
 
 
