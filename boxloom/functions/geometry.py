@@ -115,10 +115,11 @@ def has_sides(a: Box) -> Column:
 
 def shape_within(a: Box, width: Column, height: Column, aspects: tuple[float, float],
                  areas: tuple[float, float]) -> Column:
+    wide, tall = a.x2 - a.x1, a.y2 - a.y1
     return (
-        has_sides(a)
-        & aspect(a).between(*aspects)
-        & area_share(a, width, height).between(*areas)
+        (wide > 0) & (tall > 0)
+        & (tall / wide).between(*aspects)
+        & (wide * tall / (width * height)).between(*areas)
     )
 
 

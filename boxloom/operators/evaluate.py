@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxloom.functions.geometry import area, box, intersection, iou, overlap_reaches
-from boxloom.operators.overlap import overlapping_pairs
+from boxloom.operators.overlap import tiled_pairs
 from boxloom.plans.running import Running, running
 from boxloom.plans.skew import join_on, split_hot
 from boxloom.session import durable
@@ -79,7 +79,7 @@ def _proposed(preds: DataFrame, truth: DataFrame, keys: list[str], levels: tuple
     not held by a better prediction; every truth keeps its best proposer. Since all truth
     boxes rank predictions alike (by score), the fixed point is the ordered matching.
     """
-    pairs = overlapping_pairs(
+    pairs = tiled_pairs(
         preds.select(*keys, "box", "x1", "y1", "x2", "y2"),
         truth.select(*keys, "box", "x1", "y1", "x2", "y2"),
         keys, "box", "box", min(levels) / 100)

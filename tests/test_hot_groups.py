@@ -189,10 +189,11 @@ def test_split_hot_loses_no_row(spark):
     assert split_hot(df, ["k"], 50)[1] is None
 
 
-def test_overlapping_pairs_come_once_over_tiles(spark):
+@pytest.mark.parametrize("limit", [10_000, 30])
+def test_overlapping_pairs_come_once_over_tiles(spark, limit):
     rows = random_boxes(11, 200, 50, canvas=1200)
     df = spark.createDataFrame(rows, SCHEMA)
-    got = overlap.overlapping_pairs(df, df, ["img"], "box", "box", once=True, tile=64).collect()
+    got = overlap.overlapping_pairs(df, df, ["img"], "box", "box", once=True, group_limit=limit, tile=64).collect()
     want = {(a[1], b[1]) for a in rows for b in rows
             if a[0] == b[0] and a[1] < b[1] and overlap_of(a[3:], b[3:]) > 0}
     assert len(got) == len(want) and {(r.a, r.b) for r in got} == want
