@@ -77,8 +77,13 @@ def template_pairs(images: DataFrame, label_files: DataFrame) -> DataFrame:
 
 
 def carry_labels(assigned: DataFrame, labels: DataFrame) -> DataFrame:
-    """Assigned images (stem, split) with their labels; images without labels stay."""
-    return join_on(assigned, labels, ["stem"], "left")
+    """Assigned images (stem, split) with their labels; images without labels stay.
+
+    Images with labels come by an inner join, whose skewed side the engine may split; an
+    outer join could not split an image with very many labels.
+    """
+    bare = join_on(assigned, labels.select("stem").distinct(), ["stem"], "left_anti")
+    return join_on(assigned, labels, ["stem"]).unionByName(bare, allowMissingColumns=True)
 
 
 def pending_files(wanted: DataFrame, present: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from boxloom.functions.names import canonical_name
 from boxloom.plans.running import BUCKET_WIDTH, Running, number_rows, running
+from boxloom.plans.skew import small_side
 
 
 def _block(pos: Column) -> Column:
@@ -134,16 +135,17 @@ def unused_classes(registry: DataFrame, used: DataFrame) -> DataFrame:
 
 def with_class_ids(named: DataFrame, registry: DataFrame) -> DataFrame:
     """Rows whose ``name`` is registered, with its class id."""
-    return named.join(registry.select("name", "class_id"), "name")
+    return named.join(small_side(registry.select("name", "class_id")), "name")
 
 
 def with_class_labels(rows: DataFrame, names: DataFrame, preferred: DataFrame | None = None) -> DataFrame:
     """``label`` of each ``class_id``: preferred list, then general list, then the id as text."""
     found = F.col("_name")
-    out = rows.join(names.select("class_id", F.col("name").alias("_name")), "class_id", "left")
+    out = rows.join(
+        small_side(names.select("class_id", F.col("name").alias("_name"))), "class_id", "left")
     if preferred is not None:
         out = out.join(
-            preferred.select("class_id", F.col("name").alias("_own")), "class_id", "left")
+            small_side(preferred.select("class_id", F.col("name").alias("_own"))), "class_id", "left")
         found = F.coalesce(F.col("_own"), found)
     return out.withColumn("label", F.coalesce(found, F.col("class_id").cast("string"))) \
         .drop("_name", "_own")

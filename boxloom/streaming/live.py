@@ -20,6 +20,7 @@ from boxloom.functions.geometry import box, live_shape, preview_corner
 from boxloom.operators.lookup import first_hovered, urls_by_name
 from boxloom.operators.registry import with_class_labels
 from boxloom.operators.suppress import fold_boxes
+from boxloom.plans.skew import small_side
 
 # Live confidence and overlap thresholds, most detections per frame,
 # size of the preview card in pixels.
@@ -73,7 +74,7 @@ def preview_links(view: DataFrame, class_names: DataFrame, cards: DataFrame) ->
     """Hovered frames with the image URL of their class (stream-static join)."""
     links = urls_by_name(class_names.select("name").distinct(), cards).select(
         F.col("name").alias("label"), "image_url")
-    return view.filter(F.col("class_id").isNotNull()).join(links, "label", "left")
+    return view.filter(F.col("class_id").isNotNull()).join(small_side(links), "label", "left")
 
 
 def first_uses(linked: DataFrame, watermark: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from boxloom.operators.lookup import last_known, urls_by_name
 from boxloom.operators.suppress import kept_per_group
 from boxloom.plans.skew import join_on
-from boxloom.session import durable, scratch_path
+from boxloom.session import scratch_path
 from boxloom.streaming import counting, live, scoring
 from boxloom.streaming.drain import drain, use_rocksdb
 from workload import views as V
@@ -38,10 +38,6 @@ def _stream(spark, d):
     return spark.readStream.schema(frames.schema).parquet(path)
 
 
-def _names(spark, d):
-    return durable(V.registry(spark, d), "registry")
-
-
 _SHOWN = (
     greedy_sql("found", "boxes", "img", 9, 10) + "," +
     greedy_sql("kept", """(
@@ -65,7 +61,7 @@ SELECT session_id, frame_no, n_shown, box_no, v.class_id, CASE WHEN box_no IS NO
        CASE WHEN box_no IS NOT NULL THEN preview_y END AS preview_y, coalesce(name, cast(v.class_id AS varchar)) AS label
 FROM view v LEFT JOIN registry r ON r.class_id = v.class_id""", _SHOWN))
 def live_view(spark, d):
-    names = _names(spark, d)
+    names = V.registry(spark, d)
     return drain(live.live_view(_stream(spark, d), names, V.WIDTH, V.HEIGHT), "live-view").drop("ts")
 
 
@@ -74,7 +70,7 @@ SELECT session_id, frame_no, r.name AS label, image_url FROM view v JOIN registr
 JOIN urls u ON u.class_id = v.class_id""", _SHOWN + "," + _URLS))
 def preview_links(spark, d):
     """Hovered frames of named classes with the URL of the card image."""
-    names = _names(spark, d)
+    names = V.registry(spark, d)
     view = live.live_view(_stream(spark, d), names, V.WIDTH, V.HEIGHT)
     linked = live.preview_links(view, names, V.catalog(spark, d))
     return drain(linked, "preview-links").join(
@@ -86,7 +82,7 @@ def preview_links(spark, d):
 SELECT DISTINCT image_url FROM view v JOIN urls u ON u.class_id = v.class_id WHERE image_url IS NOT NULL""", _SHOWN + "," + _URLS))
 def first_fetches(spark, d):
     """The URLs the live loop has to fetch."""
-    names = _names(spark, d)
+    names = V.registry(spark, d)
     view = live.live_view(_stream(spark, d), names, V.WIDTH, V.HEIGHT)
     uses = live.first_uses(live.preview_links(view, names, V.catalog(spark, d)), "30 days")
     return drain(uses, "first-fetches").select("image_url").distinct()
@@ -120,7 +116,7 @@ SELECT session_id, frame_no, n_seen, n_hidden, box_no, class_id, CASE WHEN fresh
 def overlay_memory(spark, d):
     """Boxes under the last overlay are hidden; classes with a card image leave an overlay."""
     use_rocksdb(spark)
-    linked = urls_by_name(_names(spark, d), V.catalog(spark, d)).filter(F.col("image_url").isNotNull())
+    linked = urls_by_name(V.registry(spark, d), V.catalog(spark, d)).filter(F.col("image_url").isNotNull())
     if linked.limit(live.MAX_PREVIEW_CLASSES + 1).count() > live.MAX_PREVIEW_CLASSES:
         raise ValueError("too many classes to send to every task")
     ids = frozenset(r["class_id"] for r in linked.select("class_id").collect())

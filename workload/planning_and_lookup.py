@@ -244,10 +244,8 @@ def urls_by_name(spark, d):
 SELECT p_partkey, a.id, h.image_url FROM (SELECT p_partkey, lower('hvy' || lpad(cast(p_partkey % 1100 AS varchar), 3, '0')) AS id FROM part) a
 LEFT JOIN (SELECT upper(id) AS key, arg_min_null(image_url, card_no) AS image_url FROM printings GROUP BY 1) h ON h.key = upper(a.id)"""))
 def urls_by_id(spark, d):
-    asked = V.table(spark, d, "part").select("p_partkey", F.concat(
-        F.lit("hvy"), F.lpad((F.col("p_partkey") % 1100).cast("string"), 4, "0")).alias("long"))
-    ids = asked.select("p_partkey", F.when(F.substring("long", 4, 1) == "0", F.concat(
-        F.lit("hvy"), F.substring("long", 5, 3))).otherwise(F.col("long")).alias("id"))
+    ids = V.table(spark, d, "part").select("p_partkey", F.concat(
+        F.lit("hvy"), F.lpad((F.col("p_partkey") % 1100).cast("string"), 3, "0")).alias("id"))
     return lookup.urls_by_id(ids, catalog.printings(V.catalog(spark, d)))
 
 

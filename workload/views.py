@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.session import SPLITS
+from boxloom.session import SPLITS, durable
 
 WIDTH, HEIGHT = 1920, 1080
 SETS = ("SEA", "WTR", "HVY")
@@ -183,11 +183,11 @@ def counts_so_far(spark: SparkSession, d: str) -> DataFrame:
 
 
 def registry(spark: SparkSession, d: str) -> DataFrame:
-    """The old class list cleaned and extended by all card names."""
+    """The old class list cleaned and extended by all card names; written once, as a registry is."""
     from boxloom.operators.registry import clean_class_list, extend_registry, in_discovery_order
 
     found = in_discovery_order(cards(spark, d).select(F.col("card_no").alias("pos"), "raw_name"))
-    return extend_registry(clean_class_list(known_classes(spark, d)), found).select("class_id", "name")
+    return durable(extend_registry(clean_class_list(known_classes(spark, d)), found).select("class_id", "name"), "registry")
 
 
 # --- the same views as SQL ---------------------------------------------------------------
