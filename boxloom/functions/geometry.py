@@ -118,7 +118,7 @@ def shape_within(a: Box, width: Column, height: Column, aspects: tuple[float, fl
     wide, tall = a.x2 - a.x1, a.y2 - a.y1
     return (
         (wide > 0) & (tall > 0)
-        & (tall / wide).between(*aspects)
+        & F.try_divide(tall, wide).between(*aspects)
         & (wide * tall / (width * height)).between(*areas)
     )
 

@@ -56,7 +56,7 @@ def split_quota(spark, d):
 
 @query(with_views("image_paths images truth", """
 SELECT split, stem FROM images JOIN image_paths USING (img)
-WHERE regexp_matches(lower(path), '\.(png|jpg)$') AND img IN (SELECT img FROM truth)"""))
+WHERE regexp_matches(lower(path), '\\.(png|jpg)$') AND img IN (SELECT img FROM truth)"""))
 def template_pairs(spark, d):
     """PNG and JPG images with a label file, which those with truth boxes have."""
     found = images.split_images(V.image_paths(spark, d), images.TEMPLATE_IMAGES).select("split", "stem")
