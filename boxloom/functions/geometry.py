@@ -55,19 +55,23 @@ def iou(a: Box, b: Box) -> Column:
 
 
 def _compare(a: Box, b: Box, threshold: float, strict: bool) -> Column:
-    # inter/union against num/den without division, so integer boxes compare exactly.
+    # inter/(areas - inter) against num/den without division, so integer boxes compare
+    # exactly. Boxes that share nothing have a ratio of 0, which passes no threshold here.
     share = Fraction(str(threshold))
-    inter = intersection(a, b)
-    union = area(a) + area(b) - inter
-    left, right = inter * share.denominator, union * share.numerator
-    return (union > 0) & ((left > right) if strict else (left >= right))
+    wide = F.least(a.x2, b.x2) - F.greatest(a.x1, b.x1)
+    tall = F.least(a.y2, b.y2) - F.greatest(a.y1, b.y1)
+    left = wide * tall * (share.denominator + share.numerator)
+    right = (area(a) + area(b)) * share.numerator
+    return (wide > 0) & (tall > 0) & ((left > right) if strict else (left >= right))
 
 
 def overlaps_more(a: Box, b: Box, threshold: float) -> Column:
+    """Intersection over union above ``threshold`` (0 or more)."""
     return _compare(a, b, threshold, True)
 
 
 def overlaps_least(a: Box, b: Box, threshold: float) -> Column:
+    """Intersection over union of at least ``threshold`` (above 0)."""
     return _compare(a, b, threshold, False)
 
 

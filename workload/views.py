@@ -25,7 +25,7 @@ def _text(c: Column) -> Column:
     return c.cast("string")
 
 
-def boxes_of(lineitem: DataFrame) -> DataFrame:
+def boxes_of(lineitem: DataFrame, *more: Column) -> DataFrame:
     c = F.col
     quantity = c("l_quantity").cast("bigint")
     cents = F.round(c("l_extendedprice") * 100).cast("bigint")
@@ -41,7 +41,7 @@ def boxes_of(lineitem: DataFrame) -> DataFrame:
         F.conv(F.substring(key, 1, 15), 16, 10).cast("bigint").alias("box"),
         c("l_partkey").alias("cls"), (cents % 1000).alias("score"),
         bw.alias("bw"), bh.alias("bh"), x1.alias("x1"), y1.alias("y1"),
-        (x1 + bw).alias("x2"), (y1 + bh).alias("y2"))
+        (x1 + bw).alias("x2"), (y1 + bh).alias("y2"), *more)
 
 
 def boxes(spark: SparkSession, d: str) -> DataFrame:
