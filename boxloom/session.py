@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,7 +29,11 @@ def build_session(app: str = "boxloom", master: str | None = None, **conf: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a local one is made only for a local master."""
+    """Folder named by ``spark.checkpoint.dir``.
+
+    Where none is named, a temporary one is made if driver and executors are one process
+    (``local[n]``); every other master has to name a folder all executors share.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
@@ -36,7 +41,7 @@ def shared_folder(spark: SparkSession) -> str:
     current = context.getCheckpointDir()
     if current:
         return current.rstrip("/")
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     made = tempfile.mkdtemp(prefix="boxloom-")
     context.setCheckpointDir(made)
