@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.llm import quality_rules, secret_scan
+from boxloom.llm import byte_bpe, quality_rules, secret_scan, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,3 +38,20 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
         F.sha2(secret_scan.joined(base), 256).alias("base_sha256"),
         secret_scan.joined(F.col("secrets")).alias("spans"))
+
+
+def ranks_path() -> str:
+    return public_tokenizers.path(byte_bpe.RANKS)
+
+
+@query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.section_tokens(table(spark, sf_dir, "documents"), ranks_path())
+
+
+@query
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks_path())
+    return docs.select(
+        "doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"),
+        F.sha2(byte_bpe.decoded(F.col("token_ids"), ranks_path()), 256).alias("decoded_sha256"))
