@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.llm import byte_bpe, quality_rules, secret_scan, token_counts
+from boxloom.llm import byte_bpe, html_extract, quality_rules, secret_scan, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -55,3 +55,9 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(
         "doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"),
         F.sha2(byte_bpe.decoded(F.col("token_ids"), ranks_path()), 256).alias("decoded_sha256"))
+
+
+@query
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages).select("page_id", "url", "text", "n_chars")
