@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxloom.llm import automata
+from boxloom.session import durable
 
 #: The base patterns, in their listed order, with the least length of the value.
 BASE = (
@@ -69,7 +70,7 @@ def labelled(texts: pd.Series) -> pd.Series:
 def learn(docs: DataFrame, sample: int = SAMPLE) -> dict[str, list]:
     """One automaton per base kind."""
     spans = F.pandas_udf(labelled, SPAN)("text")
-    values = docs.select(F.explode(spans).alias("s")).select("s.kind", "s.value").distinct()
+    values = durable(docs.select(F.explode(spans).alias("s")).select("s.kind", "s.value").distinct(), "credentials")
     learned = {}
     for kind, *_ in BASE:
         rows = (values.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(sample)
