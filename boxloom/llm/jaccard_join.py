@@ -166,51 +166,125 @@ def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def mixed_only(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of those groups that hold more than one component."""
+    """Rows of those groups that hold more than one component, with the group's size as ``rows``."""
     spread = rows.groupBy(*keys).agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count("*").alias("rows"))
     return rows.join(spread.where("_low < _high").drop("_low", "_high"), keys)
 
 
 def tiles(classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (key, band, rep, n, guest, bitmap) of tiles with more than one component."""
+    """Rows (key, band, rep, n, guest, bitmap) of tiles with more than one component.
+
+    Guests of a tile are the classes of the band below; they meet its own classes only. Of
+    tiles with the same classes one is kept.
+    """
     keys = labelled(classes, labels).select("rep", "n", "label", F.explode("prefix").alias("key"))
     shared = mixed_only(keys, ["key"]).drop("rows")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND)))
-    placed = shared.withColumn("band", band).select(
-        "key", "rep", "n", "label", F.posexplode(F.array("band", F.col("band") + 1)).alias("guest", "band"))
-    rows = mixed_only(durable(placed, "shared"), ["key", "band"]).select("key", "band", "rep", "n", "guest")
+    placed = durable(shared.withColumn("band", band).select(
+        "key", "rep", "n", "label", F.posexplode(F.array("band", F.col("band") + 1)).alias("guest", "band")), "shared")
+    same = [F.bit_xor(F.xxhash64("rep", "guest")).alias("x"), F.sum(F.xxhash64("guest", "rep").cast("decimal(38,0)")).alias("s")]
+    kept = (placed.groupBy("key", "band").agg(
+                F.min("label").alias("low"), F.max("label").alias("high"), F.min("guest").alias("g"),
+                F.count("*").alias("rows"), *same)
+            .where("low < high AND g = 0").groupBy("band", "x", "s", "rows").agg(F.min("key").alias("key"))
+            .select("key", "band"))
+    rows = placed.join(kept, ["key", "band"]).select("key", "band", "rep", "n", "guest")
     return durable(rows.join(classes.select("rep", "bitmap"), "rep"), "tiles")
 
 
-def block_pairs(best_only: bool):
-    """Compares the two blocks of a unit; yields pairs of different components the bound leaves."""
-    def compare(key, found: pd.DataFrame) -> pd.DataFrame:
-        _, _, i, j = key
-        words = int(found["bitmap"].map(len).min()) // 8
-        maps = np.stack([folded(np.frombuffer(b, np.uint64), words) for b in found["bitmap"]])
-        n, guest = found["n"].to_numpy(), found["guest"].to_numpy() == 1
-        rep, label, block = (found[c].to_numpy() for c in ("rep", "label", "block"))
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        a, b = [], []
-        step = max(1, 4_000_000 // max(1, len(right) * words))
-        for at in range(0, len(left), step):
-            rows = left[at:at + step]
-            distance = np.bitwise_count(maps[rows][:, None, :] ^ maps[right][None, :, :]).sum(axis=2, dtype=np.int64)
-            na, nb = n[rows][:, None], n[right][None, :]
-            keep = may_link(na, nb, distance) & (label[rows][:, None] != label[right][None, :])
-            keep &= ~(guest[rows][:, None] & guest[right][None, :])
-            if i == j:
-                keep &= rep[rows][:, None] < rep[right][None, :]
-            x, y = np.nonzero(keep)
-            if best_only and len(x):
-                # For each row and each other component the partner of the highest bound.
-                best = pd.DataFrame({"x": x, "y": y, "l": label[right][y], "d": distance[x, y]})
-                best = best.sort_values(["d", "y"]).drop_duplicates(["x", "l"])
-                x, y = best["x"].to_numpy(), best["y"].to_numpy()
-            a.append(rep[rows[x]])
-            b.append(rep[right[y]])
-        pairs = pd.DataFrame({"a": np.concatenate(a) if a else [], "b": np.concatenate(b) if b else []}, dtype="int64")
-        return pairs.drop_duplicates()
+def small_unit_pairs(at: np.ndarray, sizes: np.ndarray, rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs of many small units at once, as far as sizes allow a link."""
+    left, right = [], []
+    for g in np.unique(sizes[sizes > 1]).tolist():
+        i, j = np.triu_indices(g, 1)
+        base = at[sizes == g][:, None]
+        x, y = (base + i).ravel(), (base + j).ravel()
+        n, k = rows["n"], rows["label"]
+        keep = (k[x] != k[y]) & ~((rows["guest"][x] == 1) & (rows["guest"][y] == 1))
+        keep &= (rows["i"][x] == rows["j"][x]) | (rows["block"][x] != rows["block"][y])
+        keep &= may_link(n[x], n[y], np.abs(n[x] - n[y]))
+        left.append(x[keep])
+        right.append(y[keep])
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+
+
+def large_unit_pairs(unit: slice, rows: dict[str, np.ndarray], bitmaps: list[np.ndarray],
+                     best_only: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs of one unit that the bitmap bound leaves: block against block."""
+    at = np.arange(unit.start, unit.stop)
+    n, label, guest, block, rep = (rows[c][unit] for c in ("n", "label", "guest", "block", "rep"))
+    i, j = rows["i"][unit.start], rows["j"][unit.start]
+    words = min(len(bitmaps[k]) for k in at)
+    maps = np.stack([folded(bitmaps[k], words) for k in at])
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    a, b = [], []
+    step = max(1, 2_000_000 // max(1, len(right) * words))
+    for start in range(0, len(left), step):
+        own = left[start:start + step]
+        distance = np.bitwise_count(maps[own][:, None, :] ^ maps[right][None, :, :]).sum(axis=2, dtype=np.int64)
+        keep = may_link(n[own][:, None], n[right][None, :], distance)
+        keep &= label[own][:, None] != label[right][None, :]
+        keep &= ~((guest[own] == 1)[:, None] & (guest[right] == 1)[None, :])
+        if i == j:
+            keep &= rep[own][:, None] < rep[right][None, :]
+        x, y = np.nonzero(keep)
+        if best_only and len(x):
+            # For each row and each other component the partner of the highest bound.
+            best = pd.DataFrame({"x": x, "y": y, "l": label[right][y], "d": distance[x, y]})
+            best = best.sort_values(["d", "y"]).drop_duplicates(["x", "l"])
+            x, y = best["x"].to_numpy(), best["y"].to_numpy()
+        a.append(at[own[x]])
+        b.append(at[right[y]])
+    return (np.concatenate(a), np.concatenate(b)) if a else (at[:0], at[:0])
+
+
+UNIT = ["key", "band", "i", "j"]
+SMALL, CHUNK = 32, 20_000
+
+
+def compare_units(best_only: bool):
+    """Compares the rows of each unit; yields pairs of different components the bounds leave."""
+    def pairs_of(found: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        rows = {c: found[c].to_numpy() for c in ("rep", "n", "label", "guest", "block", "i", "j")}
+        bitmaps = [np.frombuffer(b, np.uint64) for b in found["bitmap"]]
+        sizes = np.diff(np.append(starts, len(found)))
+        small = sizes <= SMALL
+        x, y = small_unit_pairs(starts[small], sizes[small], rows)
+        pairs = pd.DataFrame({"a": rows["rep"][x], "b": rows["rep"][y], "x": x, "y": y}).drop_duplicates(["a", "b"])
+        passed = []
+        for p, q in zip(pairs["x"].tolist(), pairs["y"].tolist()):
+            words = min(len(bitmaps[p]), len(bitmaps[q]))
+            distance = int(np.bitwise_count(folded(bitmaps[p], words) ^ folded(bitmaps[q], words)).sum())
+            passed.append(bool(may_link(rows["n"][p], rows["n"][q], distance)))
+        out = [pairs.loc[np.array(passed, bool), ["a", "b"]]]
+        for start, size in zip(starts[~small].tolist(), sizes[~small].tolist()):
+            x, y = large_unit_pairs(slice(start, start + size), rows, bitmaps, best_only)
+            out.append(pd.DataFrame({"a": rows["rep"][x], "b": rows["rep"][y]}))
+        every = pd.concat(out)
+        low, high = np.minimum(every["a"], every["b"]), np.maximum(every["a"], every["b"])
+        return pd.DataFrame({"a": low, "b": high}, dtype="int64").drop_duplicates()
+
+    def first_rows(found: pd.DataFrame) -> np.ndarray:
+        unit = found[UNIT].to_numpy()
+        return np.concatenate(([0], np.flatnonzero((unit[1:] != unit[:-1]).any(axis=1)) + 1))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        size = 0
+        for batch in batches:  # rows are sorted by unit; the last unit may go on in the next batch
+            held.append(batch)
+            size += len(batch)
+            if size >= CHUNK:
+                found = pd.concat(held, ignore_index=True)
+                starts = first_rows(found)
+                if len(starts) > 1:
+                    yield pairs_of(found.iloc[:starts[-1]], starts[:-1])
+                held = [found.iloc[starts[-1]:].reset_index(drop=True)]
+                size = len(held[0])
+        if size:
+            found = pd.concat(held, ignore_index=True)
+            yield pairs_of(found, first_rows(found))
 
     return compare
 
@@ -223,7 +297,7 @@ def tile_pairs(rows: DataFrame, labels: DataFrame, best_only: bool) -> DataFrame
     units = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
         "rep", "n", "label", "block", "guest", "bitmap")
-    return units.groupBy("key", "band", "i", "j").applyInPandas(block_pairs(best_only), "a bigint, b bigint")
+    return units.repartition(*UNIT).sortWithinPartitions(*UNIT).mapInPandas(compare_units(best_only), "a bigint, b bigint")
 
 
 def text_digest(text: Column) -> Column:
