@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.llm import byte_bpe, decontaminate, html_extract, jaccard_join, lm_score, quality_rules, secret_scan, token_counts
+from boxloom.llm import byte_bpe, decontaminate, html_extract, jaccard_join, lm_score, quality_rules, secret_scan, substring_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -76,3 +76,8 @@ def op5_context_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(table(spark, sf_dir, "documents"))
