@@ -323,3 +323,11 @@ def link_documents(docs: DataFrame) -> DataFrame:
     out = keyed.select("doc_id", "digest").join(of_class, "digest")
     linked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     return out.select("doc_id", "n_shingles", F.when(linked, F.col("label")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_per_group(docs: DataFrame) -> DataFrame:
+    """One row for each group of linked documents: the smallest id's. Rows without id stay."""
+    linked = link_documents(docs)
+    dropped = durable(linked.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
+    kept = docs.join(bounded_ids(dropped), "doc_id", "left_anti").select(*docs.columns)
+    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(kept.where("doc_id IS NULL"))

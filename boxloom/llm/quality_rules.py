@@ -132,16 +132,32 @@ def mean_ratio(words_: Column, ratios: np.ndarray) -> Column:
         F.aggregate(b, F.lit(0.0), lambda acc, x: acc + F.get(table, x)) / F.size(b)))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, deviations: float = DEVIATIONS) -> DataFrame:
-    """Counts, base verdict, score and verdict of every document."""
+def learned(docs: DataFrame, labels: DataFrame, deviations: float = DEVIATIONS) -> tuple[np.ndarray, float]:
+    """Ratios of all buckets, and the score from which a document is kept."""
     trusted = trusted_ids(labels)
     ratios = log_ratios(docs, trusted)
     known = docs.select("doc_id", "text").join(F.broadcast(trusted), "doc_id", "left_semi")
     spread = known.select(mean_ratio(words(F.col("text")), ratios).alias("s")).agg(
         F.avg("s").alias("mean"), F.stddev_pop("s").alias("dev")).first()
-    threshold = (spread["mean"] or 0.0) - deviations * (spread["dev"] or 0.0)
-    counted = base_counts(docs)
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    scored = counted.withColumn("score", mean_ratio(F.col("words"), ratios)).drop("words")
+    return ratios, (spread["mean"] or 0.0) - deviations * (spread["dev"] or 0.0)
+
+
+def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
+    return (n_words < 50) | (100 * n_repeat_words > 50 * n_words)
+
+
+def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Counts, base verdict, score and verdict of every document."""
+    ratios, threshold = learned(docs, labels)
+    failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
+    scored = base_counts(docs).withColumn("score", mean_ratio(F.col("words"), ratios)).drop("words")
     return scored.withColumn("base_failed", failed).withColumn(
         "kept", ~F.col("base_failed") & (F.col("score") >= F.lit(threshold)))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Those documents that are kept, with all their columns."""
+    ratios, threshold = learned(docs, labels)
+    good = bound(words(F.col("text")), lambda w: (
+        ~base_failed(F.size(w), repeated_words(w)) & (mean_ratio(w, ratios) >= F.lit(threshold))))
+    return docs.where(good)
