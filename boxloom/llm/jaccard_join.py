@@ -9,8 +9,8 @@
 4. Classes that share a prefix shingle and lie in the same or adjacent size bands form a tile.
    Tiles of one component are dropped, large ones are cut into pairs of blocks. Inside a block
    pair the Hamming distance of two bitmaps bounds the overlap from above:
-   overlap <= (|x| + |y| - distance) / 2. Two passes: first each class with its best partner of
-   every other component, then every pair of different components that the bound leaves.
+   overlap <= (|x| + |y| - distance) / 2. A first pass pairs each class with its nearest partner
+   of another component, a last one takes every pair of different components that the bound leaves.
 5. Left pairs are verified by intersecting their sorted arrays.
 
 Every link between different texts is either verified or joins two classes that verified links
@@ -55,8 +55,9 @@ def least_overlap(a, b):
 
 
 def parity_bitmap(shingles: np.ndarray) -> bytes:
-    """Parity bits over a power of two of at least as many places as there are shingles."""
-    width = max(64, 1 << max(0, len(shingles) - 1).bit_length())
+    """Parity bits over a power of two of places: one or more a shingle, four or more for small sets."""
+    places = len(shingles) * (4 if len(shingles) <= 256 else 1)
+    width = max(64, 1 << max(0, places - 1).bit_length())
     bits = np.bincount((shingles & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
 
@@ -230,9 +231,9 @@ def large_unit_pairs(unit: slice, rows: dict[str, np.ndarray], bitmaps: list[np.
             keep &= rep[own][:, None] < rep[right][None, :]
         x, y = np.nonzero(keep)
         if best_only and len(x):
-            # For each row and each other component the partner of the highest bound.
-            best = pd.DataFrame({"x": x, "y": y, "l": label[right][y], "d": distance[x, y]})
-            best = best.sort_values(["d", "y"]).drop_duplicates(["x", "l"])
+            # For each row its nearest partner of another component.
+            best = pd.DataFrame({"x": x, "y": y, "d": distance[x, y]})
+            best = best.sort_values(["d", "y"]).drop_duplicates("x")
             x, y = best["x"].to_numpy(), best["y"].to_numpy()
         a.append(at[own[x]])
         b.append(at[right[y]])
