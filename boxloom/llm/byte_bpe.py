@@ -26,13 +26,14 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boxloom.llm.arrow import with_binary
+
 RANKS = "byte_bpe_50k.tiktoken"
 #: Code points handled at once, and pieces kept in a worker's cache.
-CHARS, PIECES = 1_000_000, 400_000
+CHARS, PIECES = 1_000_000, 250_000
 #: Byte lengths up to which pieces are merged side by side, and the mark of a pair that does not merge.
 WIDTHS, NOT = (4, 8, 12, 16, 24, 32), 1 << 40
 
@@ -316,29 +317,19 @@ def encoded_ids(texts: Iterable[str], path: str) -> Iterator[bytes]:
         yield b"".join(found)
 
 
-def token_ids(text: Column, path: str) -> Column:
-    """Token ids of a text column as binary."""
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series(list(encoded_ids([t or "" for t in texts], path)), dtype=object)
+def encode(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
+    """Columns ``keep`` of ``docs`` with ``token_ids`` (binary) and ``n_tokens`` of the text."""
+    def ids(texts: list[str | None]) -> list[bytes]:
+        return list(encoded_ids([t or "" for t in texts], path))
 
-    ids.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(ids, "binary")(text)
+    return with_binary(docs, "text", "token_ids", ids, keep).withColumn(
+        "n_tokens", (F.octet_length("token_ids") / 4).cast("bigint"))
 
 
-def decoded(ids: Column, path: str) -> Column:
-    """Bytes of a column of token ids; null for null."""
-    def raw(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def decode(tokens: DataFrame, path: str, keep: list[str]) -> DataFrame:
+    """Columns ``keep`` of ``tokens`` with ``decoded``, the bytes of ``token_ids``; null for null."""
+    def raw(column: list[bytes | None]) -> list[bytes | None]:
         table = bytes_of(path)
-        for column in batches:
-            yield pd.Series([None if x is None else b"".join(map(table.__getitem__, np.frombuffer(x, "<u4").tolist()))
-                             for x in column], dtype=object)
-
-    raw.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(raw, "binary")(ids)
+        return [None if x is None else b"".join(map(table.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in column]
 
-
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """``docs`` with ``token_ids`` (binary) and ``n_tokens``."""
-    return docs.withColumn("token_ids", token_ids(F.col("text"), path)).withColumn(
-        "n_tokens", (F.octet_length("token_ids") / 4).cast("bigint"))
+    return with_binary(tokens, "token_ids", "decoded", raw, keep)

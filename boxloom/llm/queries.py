@@ -51,10 +51,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks_path())
-    return docs.select(
-        "doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"),
-        F.sha2(byte_bpe.decoded(F.col("token_ids"), ranks_path()), 256).alias("decoded_sha256"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tokens = byte_bpe.encode(docs, ranks_path(), ["doc_id"]).withColumn("ids_sha256", F.sha2("token_ids", 256))
+    back = byte_bpe.decode(tokens, ranks_path(), ["doc_id", "n_tokens", "ids_sha256"])
+    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from boxloom.llm.arrow import slices
 from boxloom.llm.byte_bpe import encoded
 
 SECTIONS = "doc_id bigint, section int, start int, end int, n_tokens bigint, n_crossing bigint"
@@ -47,7 +48,7 @@ def attribute(bounds: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
 def section_tokens(docs: DataFrame, path: str) -> DataFrame:
     """One row per section of each document: its span, its tokens, and those that cross its end."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             columns: list[list[np.ndarray]] = [[], [], [], [], []]
             sizes = []

@@ -53,11 +53,11 @@ def test_query_round_trip(spark, library):
 
 def test_edge_rows(spark, library):
     docs = edge_docs(spark)
-    got = byte_bpe.encode(docs, ranks_path()).collect()
+    got = byte_bpe.encode(docs, ranks_path(), ["doc_id", "text", "key", "n"]).collect()
     assert len(got) == docs.count()
     for r in got:
         assert np.frombuffer(r["token_ids"], "<u4").tolist() == library.encode_ordinary(r["text"] or "")
-    assert byte_bpe.encode(no_docs(spark), ranks_path()).count() == 0
+    assert byte_bpe.encode(no_docs(spark), ranks_path(), []).count() == 0
     assert token_counts.section_tokens(no_docs(spark), ranks_path()).count() == 0
 
 
