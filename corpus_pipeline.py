@@ -38,8 +38,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
-    encoded = byte_bpe.encode(docs.select(*COLUMNS), public_tokenizers.path(byte_bpe.RANKS))
-    return encoded.select("doc_id", "lang", "source", "n_tokens", "token_ids")
+    path = public_tokenizers.path(byte_bpe.RANKS)
+    return byte_bpe.encode(docs.select(*COLUMNS), path, ["doc_id", "lang", "source"])
 
 
 STAGES = [
