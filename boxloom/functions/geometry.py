@@ -164,10 +164,11 @@ def placement_size(label: Label, width: Column, height: Column, card_w: Column,
 
 
 def preview_corner(a: Box, width: Column, height: Column, card_w: Column, card_h: Column) -> tuple[Column, Column]:
-    """Top-left corner of a preview below a box, kept inside the canvas."""
+    """Top-left corner of a preview below a box cut to whole pixels, kept inside the canvas."""
+    x1, y2 = a.x1.cast("bigint"), a.y2.cast("bigint")
     return (
-        F.greatest(F.lit(0), F.least(a.x1, width - card_w)),
-        F.greatest(F.lit(0), F.least(a.y2 + PREVIEW_GAP, height - card_h)),
+        F.greatest(F.lit(0), F.least(x1, width - card_w)),
+        F.greatest(F.lit(0), F.least(y2 + PREVIEW_GAP, height - card_h)),
     )
 
 

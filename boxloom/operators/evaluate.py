@@ -180,15 +180,24 @@ def average_precision(matches: DataFrame, truth: DataFrame, group: list[str],
     return join_on(every, scored, keys, "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
 
 
-def operating_point(matches: DataFrame, truth: DataFrame, group: list[str], min_score: float) -> DataFrame:
-    """Precision and recall of the predictions with at least ``min_score``."""
+def operating_point(matches: DataFrame, truth: DataFrame, group: list[str], min_score: float,
+                    levels: tuple[int, ...] = LEVELS) -> DataFrame:
+    """Precision and recall of the predictions with at least ``min_score``, for every group with truth.
+
+    A group without such predictions has recall 0 and no precision.
+    """
     marks = [c for c in ("level",) if c in matches.columns]
     counted = matches.filter(F.col("score") >= min_score).groupBy(*marks, *group).agg(
         F.count("truth").alias("tp"), F.count(F.lit(1)).alias("n"))
     total = truth.groupBy(*group).agg(F.count(F.lit(1)).alias("n_truth"))
-    return join_on(counted, total, group).select(
+    if marks:
+        total = total.withColumn("level", F.explode(F.array(*[F.lit(v) for v in levels])))
+    zero = F.lit(0).cast("bigint")
+    every = join_on(total, counted, [*marks, *group], "left").withColumns(
+        {c: F.coalesce(c, zero) for c in ("tp", "n")})
+    return every.select(
         *marks, *group, "tp", "n", "n_truth",
-        (F.col("tp") / F.col("n")).alias("precision"),
+        F.try_divide("tp", "n").alias("precision"),
         (F.col("tp") / F.col("n_truth")).alias("recall"))
 
 

@@ -46,7 +46,7 @@ def _by_strips(boxes: DataFrame, occluders: DataFrame, keys: list[str]) -> DataF
     solid = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
     pieces = (
         occluders.filter(solid).groupBy(*keys)
-        .agg(F.collect_list(F.struct(*[F.col(c).cast("bigint").alias(c) for c in corner])).alias("_r"))
+        .agg(F.collect_list(F.struct(*corner)).alias("_r"))
         .withColumn("_e", F.sort_array(F.array_distinct(F.concat(
             F.transform("_r", lambda r: r["y1"]), F.transform("_r", lambda r: r["y2"])))))
         .select(*keys, _pieces("_r", "_e").alias("_pieces"))
@@ -93,13 +93,18 @@ def _by_mask(boxes: DataFrame, occluders: DataFrame, keys: list[str]) -> DataFra
         "hidden", F.coalesce("_h", F.lit(0)).cast("bigint")).drop("_h")
 
 
+def _whole_pixels(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("bigint") for c in ("x1", "y1", "x2", "y2")})
+
+
 def hidden_area(boxes: DataFrame, occluders: DataFrame, keys: list[str],
                 group_limit: int = GROUP_LIMIT) -> DataFrame:
     """``boxes`` with ``hidden``, the pixels covered by any occluder of the same key.
 
-    Corners are whole pixels. Usual images carry their occluders as one short array to
+    Corners are cut to whole pixels first, on either path. Usual images carry their occluders as one short array to
     each box; images with more than ``group_limit`` occluders go through bit masks.
     """
+    boxes, occluders = _whole_pixels(boxes), _whole_pixels(occluders)
     usual, hot = split_hot(occluders, keys, group_limit)
     if hot is None:
         return _by_strips(boxes, usual, keys)

@@ -140,12 +140,39 @@ def test_layout_of_large_images_equals_the_array_path(spark):
     assert (empty.boxes, empty.target_w, empty.target_h, empty.min_height) == (0, 300, 420, 1.0)
 
 
-def test_long_label_files_come_in_parts(spark):
-    rows = [("train", "big", i, f"l{i}") for i in range(25)] + [("train", "small", i, f"s{i}") for i in range(3)]
-    texts = label_texts(spark.createDataFrame(rows, "split string, stem string, box_no long, line string"), part_lines=10)
-    found = {(r.stem, r.part): r.text.split("\n") for r in texts.collect()}
-    assert {k: len(v) for k, v in found.items()} == {("big", 0): 10, ("big", 1): 10, ("big", 2): 5, ("small", 0): 3}
-    assert found["big", 0] + found["big", 1] + found["big", 2] == [f"l{i}" for i in range(25)]
+def test_a_text_for_every_image_whatever_its_size(spark):
+    rows = [("train", "big", i, f"l{i}") for i in range(2500)] + [("train", "small", i, f"s{i}") for i in range(3)]
+    images = spark.createDataFrame([("train", "big"), ("train", "small"), ("test", "bare")], "split string, stem string")
+    texts = label_texts(spark.createDataFrame(rows, "split string, stem string, box_no long, line string"), images)
+    found = {r.stem: r.text for r in texts.collect()}
+    assert found == {"big": "\n".join(f"l{i}" for i in range(2500)), "small": "s0\ns1\ns2", "bare": ""}
+
+
+def test_null_keys_match_below_and_above_the_limit(spark):
+    box = "img long, cls long, box long, x1 double, y1 double, x2 double, y2 double"
+    truth = spark.createDataFrame([(k, c, i, 0., 0., 10., 10.) for i, (k, c) in enumerate([(1, None), (None, 2), (None, None), (1, 2)])], box)
+    preds = truth.withColumn("score", F.lit(0.9))
+    for limit in (1000, 0):
+        got = {r.box: r.truth for r in evaluate.match(preds, truth, (50,), group_limit=limit).collect()}
+        assert got == {0: 0, 1: 1, 2: 2, 3: 3}, limit
+
+
+def test_fractional_occluders_hide_alike_on_both_paths(spark):
+    corners = "img long, x1 double, y1 double, x2 double, y2 double"
+    boxes = spark.createDataFrame([(1, 0., 0., 10.9, 10.), (2, 0., 0., 4., 4.)], corners)
+    occluders = spark.createDataFrame([(1, 0.5, 0., 5.7, 10.), (1, 4., 0., 6., 5.)], corners)
+    both = [sorted((r.img, r.hidden) for r in occlusion.hidden_area(boxes, occluders, ["img"], group_limit=n).collect())
+            for n in (64, 1)]
+    assert both[0] == both[1] == [(1, 55), (2, 0)]
+
+
+def test_classes_without_confident_predictions_keep_their_row(spark):
+    matches = spark.createDataFrame([(50, 1, 0.9, 7), (50, 1, 0.8, None), (50, 2, 0.1, 8)],
+                                    "level int, cls long, score double, truth long")
+    truth = spark.createDataFrame([(1,), (2,), (2,)], "cls long")
+    got = {r.cls: (r.tp, r.n, r.n_truth, r.precision, r.recall)
+           for r in evaluate.operating_point(matches, truth, ["cls"], 0.5, (50,)).collect()}
+    assert got == {1: (1, 2, 1, 0.5, 1.0), 2: (0, 0, 2, None, 0.0)}
 
 
 def test_running_values_equal_plain_windows(spark):

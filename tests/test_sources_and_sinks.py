@@ -127,8 +127,10 @@ def test_image_inventory(spark, tmp_path):
 def test_written_tables_read_back(spark, tmp_path):
     labels = spark.createDataFrame([("train", "a", 1, 3, .5, .5, .25, .125), ("train", "a", 0, 1, .1, .2, .3, .4), ("test", "b", 0, 2, 1., 0., .5, .5)],
                                    "split string, stem string, box_no long, class_id long, cx double, cy double, w double, h double")
-    S.write_labels(labels, str(tmp_path / "l"))
+    images = labels.select("split", "stem").union(spark.createDataFrame([("valid", "bare")], "split string, stem string"))
+    S.write_labels(labels, images, str(tmp_path / "l"))
     texts = spark.read.parquet(str(tmp_path / "l"))
+    assert [r.text for r in texts.filter("stem = 'bare'").collect()] == [""]
     lines = texts.select("split", "stem", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     again = L.parse_lines(lines).select(labels.columns)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, labels.collect()))
@@ -155,9 +157,32 @@ def test_written_tables_read_back(spark, tmp_path):
     assert [(r.status, r.name, r.total, r.n_used) for r in rows] == [("used", "b", "2", "1"), ("unused", "a", "2", "1")]
 
     boxes = spark.createDataFrame([("i", 1, 0., 1., 2., 3.), ("i", 0, 5., 5., 6., 6.)], "image string, slot int, x1 double, y1 double, x2 double, y2 double")
-    S.write_slot_records(S.slot_records(boxes, "image", "slot"), str(tmp_path / "s"))
-    rec = spark.read.json(str(tmp_path / "s")).first()
-    assert rec.slots == rec.candidates == [[5., 5., 6., 6.], [0., 1., 2., 3.]]
+    every = spark.createDataFrame([("i",), ("empty",)], "image string")
+    S.write_slot_records(S.slot_records(boxes, every, "image", "slot"), str(tmp_path / "s"))
+    recs = {r.image: r for r in spark.read.json(str(tmp_path / "s")).collect()}
+    assert recs["i"].slots == recs["i"].candidates == [[5., 5., 6., 6.], [0., 1., 2., 3.]]
+    assert recs["empty"].slots == recs["empty"].candidates == []
+
+
+def test_unturned_lines_keep_their_tokens(spark):
+    lines = spark.createDataFrame([("train", "a", i, x) for i, x in enumerate(
+        ["3 0.1 .25 1e-1 0.20000000000000001", "odd line", "9 0.1 0.1 0.1 0.1", "3 a b c d"])],
+        "split string, stem string, line_no long, line string")
+    ids = spark.createDataFrame([(3, 70)], "old_id long, class_id long")
+    got = {r.box_no: r.line for r in S.rewritten_lines(lines, ids).collect()}
+    assert got == {0: "70 0.1 .25 1e-1 0.20000000000000001", 1: "odd line", 3: "3 a b c d"}
+    turned = {r.box_no: r.line for r in S.rewritten_lines(lines, ids, 90).collect()}
+    assert turned[0] == "70 0.250000 0.900000 0.200000 0.100000" and turned[1] == "odd line"
+
+
+def test_class_ids_beyond_bigint_do_not_stop_a_file(spark):
+    lines = spark.createDataFrame([("train", "a", i, x) for i, x in enumerate(
+        ["1 0 0 1 1", "99999999999999999999 0 0 1 1", "2 0 0 1 1", "x 0 0 1 1", "3 0 0 1 1"])],
+        "split string, stem string, line_no long, line string")
+    assert [r.class_id for r in L.parse_lines(lines).orderBy("box_no").collect()] == [1, 2, 3]
+    assert [r.class_id for r in L.parse_lines(lines, "abort_file").orderBy("box_no").collect()] == [1, 2]
+    with pytest.raises(Exception, match="bad class"):
+        L.parse_lines(lines, "failfast").collect()
 
 
 def test_strict_class_check_fails_on_unknown_and_negative_ids(spark):

@@ -215,22 +215,24 @@ def slot_run_totals(spark, d):
 
 
 @query(greedy("""
-SELECT img AS image, list([x1::double, y1::double, x2::double, y2::double] ORDER BY score DESC, box) AS slots,
-       list([x1::double, y1::double, x2::double, y2::double] ORDER BY score DESC, box) AS candidates
-FROM (SELECT *, row_number() OVER (PARTITION BY img ORDER BY score DESC, box) AS slot FROM kept) WHERE slot <= 30 GROUP BY 1""",
+SELECT i.img AS image, coalesce(found, []) AS slots, coalesce(found, []) AS candidates
+FROM (SELECT DISTINCT img FROM boxes) i LEFT JOIN (
+  SELECT img, list([x1::double, y1::double, x2::double, y2::double] ORDER BY score DESC, box) AS found
+  FROM (SELECT *, row_number() OVER (PARTITION BY img ORDER BY score DESC, box) AS slot FROM kept)
+  WHERE slot <= 30 GROUP BY 1) s ON s.img = i.img""",
               1, 4, source=_SHAPED))
 def slot_records(spark, d):
-    shaped = _boxes(spark, d).filter(G.slot_shape(G.box(), *canvas()))
-    kept = kept_per_group(shaped, ["img"], by_score(), 0.25, 30)
+    boxes = _boxes(spark, d)
+    kept = kept_per_group(boxes.filter(G.slot_shape(G.box(), *canvas())), ["img"], by_score(), 0.25, 30)
     flat = kept.select("img", F.posexplode("kept").alias("slot", "_b")).select("img", "slot", "_b.*")
-    return S.slot_records(flat, "img", "slot")
+    return S.slot_records(flat, boxes, "img", "slot")
 
 
 @query(with_views("labels", """
-SELECT split, stem, 0 AS part, string_agg(printf('%d %.6f %.6f %.6f %.6f', class_id, cx, cy, w, h), chr(10) ORDER BY box_no) AS text
+SELECT split, stem, string_agg(printf('%d %.6f %.6f %.6f %.6f', class_id, cx, cy, w, h), chr(10) ORDER BY box_no) AS text
 FROM labels GROUP BY ALL"""))
 def label_texts(spark, d):
-    return S.label_texts(S.label_lines(V.labels(spark, d)))
+    return S.label_texts(S.label_lines(V.labels(spark, d)), V.images(spark, d))
 
 
 # --- layout ----------------------------------------------------------------------------------

@@ -69,11 +69,11 @@ def mean_average_precision(spark, d):
 
 
 @query(with_views("preds truth", """
-SELECT m.level, m.cls, count(truth) AS tp, count(*) AS n, any_value(n_truth) AS n_truth,
-       count(truth) / count(*) AS precision, count(truth) / any_value(n_truth) AS recall
-FROM matched m JOIN totals USING (cls) WHERE score >= 690 AND level = 50 GROUP BY 1, 2""", _MATCH + _CURVE))
+SELECT 50 AS level, t.cls, count(m.truth) AS tp, count(m.box) AS n, any_value(n_truth) AS n_truth,
+       count(m.truth) / nullif(count(m.box), 0) AS precision, count(m.truth) / any_value(n_truth) AS recall
+FROM totals t LEFT JOIN matched m ON m.cls = t.cls AND m.score >= 690 AND m.level = 50 GROUP BY t.cls""", _MATCH + _CURVE))
 def operating_points(spark, d):
-    return evaluate.operating_point(_matches(spark, d, (50,)), V.truth(spark, d), ["cls"], 690)
+    return evaluate.operating_point(_matches(spark, d, (50,)), V.truth(spark, d), ["cls"], 690, (50,))
 
 
 _F1 = _MATCH + """,

@@ -5,26 +5,22 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from boxloom.operators.lookup import last_known, urls_by_name
-from boxloom.operators.suppress import kept_per_group
 from boxloom.plans.skew import join_on
 from boxloom.session import scratch_path
 from boxloom.streaming import counting, live, scoring
 from boxloom.streaming.drain import drain, use_rocksdb
 from workload import views as V
 from workload.stand_ins import failing_stand_in, stand_in
-from workload.boxes_and_layout import by_score
 from workload.register import query
 from workload.planning_and_lookup import _URLS
 from workload.views import greedy_sql, with_views
 
 
 def live_frames(spark, d):
-    """One row per viewed frame: pointer, and at most 300 detections of its image as an array."""
-    boxes = V.boxes(spark, d).select("img", "box", "cls", "score", "x1", "y1", "x2", "y2")
-    found = kept_per_group(boxes, ["img"], by_score(), 0.9, live.MAX_DETECTIONS).select("img", F.transform(
-        "kept", lambda b: F.struct(
-            b["box"].alias("box_no"), (b["cls"] % 70).alias("class_id"), (b["score"] / 1000).alias("score"),
-            *[b[c].cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])).alias("boxes"))
+    """One row per viewed frame: pointer, and all detections of its image as an array."""
+    found = V.boxes(spark, d).groupBy("img").agg(F.collect_list(F.struct(
+        F.col("box").alias("box_no"), (F.col("cls") % 70).alias("class_id"), (F.col("score") / 1000).alias("score"),
+        *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])).alias("boxes"))
     pointed = last_known(V.frames(spark, d), V.pointer(spark, d), "session_id", "ts", {"px": 0, "py": 0})
     return join_on(pointed, found, ["img"], "left").select(
         "session_id", "frame_no", "ts", "px", "py", "boxes")
@@ -39,17 +35,14 @@ def _stream(spark, d):
 
 
 _SHOWN = (
-    greedy_sql("found", "boxes", "img", 9, 10) + "," +
     greedy_sql("kept", """(
-      SELECT img, box, cls % 70 AS class_id, score, x1, y1, x2, y2 FROM (
-        SELECT * EXCLUDE (rn), row_number() OVER (PARTITION BY img ORDER BY score DESC, box) AS n FROM found)
-      WHERE n <= 300 AND score / 1000 >= 0.69)""", "img * 100 + class_id", 1, 2) + """,
+      SELECT img, box, cls % 70 AS class_id, score, x1, y1, x2, y2 FROM boxes WHERE score / 1000 >= 0.69)""", "img * 100 + class_id", 1, 2) + """,
 capped AS (SELECT * FROM (SELECT * EXCLUDE (rn), row_number() OVER (PARTITION BY img ORDER BY score DESC, box) AS n FROM kept) WHERE n <= 300),
 shown AS (SELECT * FROM capped WHERE (y2 - y1) / (x2 - x1) BETWEEN 0.6 AND 2.2 AND (x2 - x1) * (y2 - y1) / 2073600 BETWEEN 0.004 AND 0.15),
 per_image AS (SELECT img, count(*) AS n_shown FROM shown GROUP BY 1),
 view AS (
   SELECT p.session_id, p.frame_no, coalesce(n_shown, 0)::int AS n_shown, h.box AS box_no, h.class_id,
-         greatest(0, least(h.x1, 1920 - 300))::double AS preview_x, greatest(0, least(h.y2 + 10, 1080 - 420))::double AS preview_y, h.x1
+         greatest(0, least(h.x1, 1920 - 300)) AS preview_x, greatest(0, least(h.y2 + 10, 1080 - 420)) AS preview_y, h.x1
   FROM pointed p LEFT JOIN per_image USING (img) LEFT JOIN (
     SELECT frame_no, min_by(s, s.n) AS h FROM (
       SELECT frame_no, s FROM pointed p JOIN shown s ON s.img = p.img AND p.px BETWEEN s.x1 AND s.x2 AND p.py BETWEEN s.y1 AND s.y2)

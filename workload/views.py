@@ -87,7 +87,8 @@ def card_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def known_classes(spark: SparkSession, d: str) -> DataFrame:
-    return cards(spark, d).filter(F.col("card_no") < 40).select(F.col("card_no").alias("pos"), "raw_name")
+    """The class list of an earlier run: it knew all sets but the last."""
+    return cards(spark, d).filter(F.col("set_code") != SETS[2]).select(F.col("card_no").alias("pos"), "raw_name")
 
 
 def images(spark: SparkSession, d: str) -> DataFrame:
@@ -153,10 +154,11 @@ def occluders(spark: SparkSession, d: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, d: str) -> DataFrame:
+    """Viewed frames, spread over all images: there are three images for two events."""
     c = F.col
     return table(spark, d, "events").filter(c("event_type") == "view").select(
         c("user_id").alias("session_id"), c("event_id").alias("frame_no"),
-        c("ts").cast("timestamp").alias("ts"), (c("event_id") % 1500).alias("img"))
+        c("ts").cast("timestamp").alias("ts"), F.floor(c("event_id") * 3 / 2).alias("img"))
 
 
 def pointer(spark: SparkSession, d: str) -> DataFrame:
@@ -229,7 +231,7 @@ SELECT card_no, 'images/' || set_code || '/' || raw_name ||
 SELECT split_part(path, '/', 2) AS set_code, split_part(path, '/', 3) AS file,
        regexp_replace(split_part(path, '/', 3), '\\.[^.]*$', '') AS raw_name
 FROM card_files WHERE lower(path) LIKE '%.png'"""),
-    "known_classes": (("cards",), "SELECT card_no AS pos, raw_name FROM cards WHERE card_no < 40"),
+    "known_classes": (("cards",), "SELECT card_no AS pos, raw_name FROM cards WHERE set_code <> 'HVY'"),
     "known_registry": (("known_classes",), f"""
 SELECT row_number() OVER (ORDER BY p) - 1 AS class_id, name
 FROM (SELECT {_CANON} AS name, min(pos) AS p FROM known_classes GROUP BY 1)"""),
@@ -264,7 +266,7 @@ FROM boxes WHERE score % 8 <> 1"""),
     "occluders": (("boxes",), """
 SELECT img, box AS occ_no, x1 + 5 AS x1, y1 + 5 AS y1, x1 + 5 + bw AS x2, y1 + 5 + bh AS y2 FROM boxes WHERE box % 2 = 0"""),
     "frames": ((), """
-SELECT user_id AS session_id, event_id AS frame_no, ts, event_id % 1500 AS img FROM events WHERE event_type = 'view'"""),
+SELECT user_id AS session_id, event_id AS frame_no, ts, event_id * 3 // 2 AS img FROM events WHERE event_type = 'view'"""),
     "pointer": ((), """
 SELECT user_id AS session_id, event_id, ts, 300 + (event_id * 37) % 200 AS px, 200 + (event_id * 53) % 200 AS py
 FROM events WHERE event_type = 'click'"""),
