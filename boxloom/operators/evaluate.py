@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from boxloom.functions.geometry import area, box, intersection, iou, overlap_reaches
 from boxloom.operators.overlap import tiled_pairs
-from boxloom.plans.running import Running, running
+from boxloom.plans.running import Running, running, value_bucket
 from boxloom.plans.skew import join_on, split_hot
 from boxloom.session import durable
 
@@ -136,22 +136,22 @@ def match(preds: DataFrame, truth: DataFrame, levels: tuple[int, ...] = LEVELS,
         _proposed(part(preds, "left_semi"), part(truth, "left_semi"), keys, levels))
 
 
-def curve(matches: DataFrame, truth: DataFrame, group: list[str], per_unit: int = 1) -> DataFrame:
+def curve(matches: DataFrame, truth: DataFrame, group: list[str]) -> DataFrame:
     """Precision and recall at every distinct score, per ``group`` columns of ``truth``.
 
     Predictions of equal score enter together, so ties leave no choice. Rows are combined
-    to one per group and score and written once, before anything runs over a group. Scores run in buckets
-    of 1/``per_unit``.
+    to one per group and score and written once, before anything runs over a group; scores run in
+    buckets whose bounds come from the scores themselves.
     """
     marks = [c for c in ("level",) if c in matches.columns]
     keys = [*marks, *group]
     points = durable(matches.groupBy(*keys, "score").agg(
         F.count("truth").alias("_tp"), F.count(F.lit(1)).alias("_all")), "points")
     total = truth.groupBy(*group).agg(F.count(F.lit(1)).alias("n_truth")) if group else None
-    ran = running(points, keys, -F.floor(F.col("score") * per_unit), [-F.col("score")],
+    ran = running(points, keys, -value_bucket(points, F.col("score")), [-F.col("score")],
                   tp=Running("sum", F.col("_tp")), n=Running("sum", F.col("_all")))
     if total is None:
-        ran = ran.withColumn("n_truth", F.lit(truth.count()))
+        ran = ran.join(F.broadcast(truth.agg(F.count(F.lit(1)).alias("n_truth"))))
     else:
         ran = join_on(ran, total, group)
     precision = F.col("tp") / F.col("n")
@@ -164,14 +164,14 @@ def curve(matches: DataFrame, truth: DataFrame, group: list[str], per_unit: int
 
 
 def average_precision(matches: DataFrame, truth: DataFrame, group: list[str],
-                      per_unit: int = 1, levels: tuple[int, ...] = LEVELS) -> DataFrame:
+                      levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """Area under the falling envelope of the precision/recall curve, per level and group.
 
     Groups with truth but without predictions score 0.
     """
-    points = curve(matches, truth, group, per_unit)
+    points = durable(curve(matches, truth, group), "curve")
     keys = ["level", *group]
-    best = running(points, keys, F.floor(F.col("score") * per_unit), [F.col("score")],
+    best = running(points, keys, value_bucket(points, F.col("score")), [F.col("score")],
                    best=Running("max", F.col("precision")))
     scored = best.groupBy(*keys).agg(
         (F.sum(F.col("gain") * F.col("best")) / F.max("n_truth")).alias("ap"))

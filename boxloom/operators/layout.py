@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.plans.running import Running, exact_median, running
+from boxloom.plans.running import Running, exact_median, running, value_bucket
 from boxloom.plans.skew import join_on, small_side, split_hot
 from boxloom.session import durable
 
@@ -80,10 +80,6 @@ def _folded(images: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
     }).drop("_b", "_aspects", "_band"))
 
 
-def _bucket(column: str) -> Column:
-    return F.floor(F.least(F.greatest(F.col(column), F.lit(0.0)), F.lit(64.0)) * 4096)
-
-
 def _ranked(images: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
     """The same statistics by exact ranks, for images too large for one array."""
     sized = boxes.select(*keys, "w", "h", (F.col("w") * F.col("h")).alias("area"),
@@ -92,12 +88,13 @@ def _ranked(images: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.count("aspect").alias("_shaped"),
         F.min("h").alias("min_height"),
         F.avg(F.when(F.col("aspect") >= TALL_ASPECT, F.col("aspect"))).alias("tall"))
-    medians = durable(exact_median(sized, keys, "area", _bucket("area"), "median_area"), "medians")
+    medians = durable(exact_median(sized, keys, "area", "median_area"), "medians")
     band = join_on(sized, small_side(medians), keys).filter(F.col("area").between(
         F.col("median_area") * BAND_LOW, F.col("median_area") * BAND_HIGH))
     counted = sized.filter(F.col("aspect").isNotNull()).groupBy(*keys, "aspect").agg(
         F.count(F.lit(1)).alias("_c"))
-    ranked = running(counted, keys, _bucket("aspect"), [F.col("aspect")], _hi=Running("sum", F.col("_c")))
+    ranked = running(counted, keys, value_bucket(counted, F.col("aspect")), [F.col("aspect")],
+                     _hi=Running("sum", F.col("_c")))
     low, high = F.floor(F.col("_shaped") * 0.25), F.floor(F.col("_shaped") * 0.75)
     inside = F.greatest(F.lit(0), F.least(F.col("_hi"), high) - F.greatest(F.col("_hi") - F.col("_c"), low))
     trimmed = join_on(ranked, basic.select(*keys, "_shaped"), keys).groupBy(*keys).agg(
@@ -106,8 +103,8 @@ def _ranked(images: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
     for part in (
         medians, trimmed,
         band.groupBy(*keys).agg(F.count(F.lit(1)).alias("band_n")),
-        exact_median(band, keys, "w", _bucket("w"), "band_w"),
-        exact_median(band, keys, "h", _bucket("h"), "band_h"),
+        exact_median(band, keys, "w", "band_w"),
+        exact_median(band, keys, "h", "band_h"),
     ):
         out = join_on(out, part, keys, "left")
     return _sizes(out.withColumn("band_n", F.coalesce("band_n", F.lit(0))))

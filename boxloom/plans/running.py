@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from boxloom.plans.skew import join_on
 
 BUCKET_WIDTH = 65_536
+#: Buckets that ``value_bucket`` aims at.
+VALUE_BUCKETS = 256
 
 
 @dataclass(frozen=True)
@@ -58,13 +60,23 @@ def running(df: DataFrame, keys: list[str], bucket: Column, order: list[Column],
     ``order`` must be total within a key. The number of buckets per key is what one task
     sees in the middle step, so it should be bounded or grow far slower than the rows.
     """
-    group = [*keys, "_bucket"]
-    base = df.withColumn("_bucket", bucket)
+    # Keys as columns that are never null: the window and the plain join after it then ask for
+    # one and the same partitioning, so the rows are shuffled once.
+    whole = [f"_key{i}" for i in range(len(keys))]
+    group = [*whole, *[f"_none{i}" for i in range(len(keys))], "_bucket", "_no_bucket"]
+    base = df.withColumn("_at_bucket", bucket)
+    named = {**{k: F.col(c) for k, c in zip(whole, keys)}, "_bucket": F.col("_at_bucket")}
+    nulls = dict(zip([*whole, "_bucket"], [*group[len(keys):2 * len(keys)], "_no_bucket"]))
+    types = dict(base.select(*[c.alias(k) for k, c in named.items()]).dtypes)
+    base = base.withColumns({
+        # A struct made of columns is never null itself.
+        **{k: c if types[k].startswith("struct") else F.coalesce(c, _stand_in(types[k])) for k, c in named.items()},
+        **{nulls[k]: c.isNull() for k, c in named.items()}}).drop("_at_bucket")
     position = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
     summaries = base.groupBy(*group).agg(
         *[_summary(s, position).alias(n) for n, s in specs.items()]
     )
-    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
+    earlier = Window.partitionBy(*group[:-2]).orderBy(F.col("_no_bucket").desc(), "_bucket").rowsBetween(
         Window.unboundedPreceding, -1)
     offsets = summaries.select(
         *group, *[_over(s, F.col(n), earlier).alias(f"_before_{n}") for n, s in specs.items()]
@@ -75,7 +87,7 @@ def running(df: DataFrame, keys: list[str], bucket: Column, order: list[Column],
             Window.unboundedPreceding, 0 if s.inclusive else -1))
         for n, s in specs.items()
     })
-    joined = join_on(local, offsets, group)
+    joined = local.join(offsets, group)
     return joined.select(
         *[F.col(c) for c in df.columns],
         *[_combine(s, F.col(f"_before_{n}"), F.col(f"_local_{n}")).alias(n)
@@ -83,6 +95,32 @@ def running(df: DataFrame, keys: list[str], bucket: Column, order: list[Column],
     )
 
 
+def _stand_in(kind: str) -> Column:
+    """A value of the type to stand for null; a flag beside it tells them apart."""
+    if kind in ("string", "binary"):
+        return F.lit("").cast(kind)
+    if kind in ("date", "timestamp", "timestamp_ntz"):
+        return F.lit("1970-01-01").cast(kind)
+    if kind == "boolean":
+        return F.lit(False)
+    return F.lit(0).cast(kind)
+
+
+def value_bucket(df: DataFrame, value: Column, buckets: int = VALUE_BUCKETS) -> Column:
+    """Bucket of a number by bounds taken from the data, so that rows spread whatever its range.
+
+    The bounds are approximate quantiles of ``df`` (at most ``buckets`` numbers). Equal values
+    share a bucket and buckets rise with the value; nulls come first.
+    """
+    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    bounds = df.agg(F.array_sort(F.array_distinct(
+        F.percentile_approx(value.cast("double"), shares, F.lit(10_000)))).alias("b")).first()["b"]
+    if not bounds:
+        return F.lit(0)
+    table = F.array(*[F.lit(float(b)) for b in bounds])
+    return F.when(value.isNull(), F.lit(-1)).otherwise(F.size(F.filter(table, lambda b: b < value)))
+
+
 def number_rows(df: DataFrame, keys: list[str], bucket: Column, order: list[Column],
                 name: str = "row_no") -> DataFrame:
     """1-based row number per key without a window over the whole key."""
@@ -95,14 +133,14 @@ def hash_bucket(digest: Column, digits: int = 3) -> Column:
     return F.substring(digest, 1, digits)
 
 
-def exact_median(df: DataFrame, keys: list[str], value: str, bucket: Column,
-                 name: str) -> DataFrame:
+def exact_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """Median per key (mean of the middle two for an even count) by exact ranks.
 
     Equal values are combined first, so the work per key is on distinct values.
     """
     counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    ranked = running(counted, keys, bucket, [F.col(value)], _hi=Running("sum", F.col("_c")))
+    ranked = running(counted, keys, value_bucket(counted, F.col(value)), [F.col(value)],
+                     _hi=Running("sum", F.col("_c")))
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
     lower = F.floor((F.col("_size") + 1) / 2)
     upper = F.floor((F.col("_size") + 2) / 2)

@@ -114,9 +114,9 @@ def test_average_precision_of_a_worked_case(spark):
     matches = spark.createDataFrame(
         [(50, 1, .9, 0), (50, 1, .8, None), (50, 1, .7, 1), (50, 1, .6, 2), (50, 1, .5, None)],
         "level int, cls long, score double, truth long")
-    got = evaluate.average_precision(matches, truth, ["cls"], per_unit=10, levels=(50,))
+    got = evaluate.average_precision(matches, truth, ["cls"], levels=(50,))
     assert {r.cls: r.ap for r in got.collect()} == {1: (1 + .75 + .75) / 4, 2: 0.0}
-    points = evaluate.curve(matches, truth, ["cls"], per_unit=10)
+    points = evaluate.curve(matches, truth, ["cls"])
     best = evaluate.best_threshold(points, ["cls"]).first()
     assert (best.score, round(best.f1, 9)) == (.6, .75)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from boxloom.functions import geometry as G
-from boxloom.operators import layout, occlusion, overlap
+from boxloom.operators import layout, occlusion, overlap, slots
 from boxloom.operators.suppress import keep_best, kept_per_group
 from boxloom.plans.skew import top_k
 from boxloom.sinks import tables as S
@@ -228,6 +228,22 @@ def slot_records(spark, d):
     return S.slot_records(flat, boxes, "img", "slot")
 
 
+@query(with_views("boxes", """
+SELECT i.img AS image, coalesce(found, []) AS slots, coalesce(found, []) AS candidates
+FROM (SELECT DISTINCT img FROM boxes) i LEFT JOIN (
+  SELECT img, list([x1::double, y1::double, x2::double, y2::double] ORDER BY score DESC, box) AS found
+  FROM (SELECT *, row_number() OVER (PARTITION BY img ORDER BY score DESC, box) AS slot FROM kept)
+  WHERE slot <= 30 GROUP BY 1) s ON s.img = i.img""",
+    greedy_sql("sure", "(SELECT * FROM boxes WHERE score >= 200)", "img", 1, 2) + f""",
+capped AS (SELECT * FROM (SELECT * EXCLUDE (rn), row_number() OVER (PARTITION BY img ORDER BY score DESC, box) AS n FROM sure)
+           WHERE n <= 300 AND {_SLOT}),
+""" + greedy_sql("kept", "capped", "img", 1, 4)))
+def proposed_slots(spark, d):
+    """Detections to slot records in one operator."""
+    boxes = _boxes(spark, d).withColumn("score", F.col("score") / 1000)
+    return slots.propose_slots(boxes, boxes, "img", by_score(), *canvas())
+
+
 @query(with_views("labels", """
 SELECT split, stem, string_agg(printf('%d %.6f %.6f %.6f %.6f', class_id, cx, cy, w, h), chr(10) ORDER BY box_no) AS text
 FROM labels GROUP BY ALL"""))
