@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -89,7 +90,7 @@ def list_block(buckets: int):
         rows = []
         parts: dict[int, tuple[list, list]] = {}
         for word in learned.keys() | other:
-            part = parts.setdefault(hash_of(word) % buckets, ([], []))
+            part = parts.setdefault(crc32(word) % buckets, ([], []))
             part[0].append(word)
             part[1].append(learned.get(word, 0))
         for bucket, (words, counts) in parts.items():
@@ -110,11 +111,6 @@ def list_block(buckets: int):
     return pack
 
 
-def hash_of(word: bytes) -> int:
-    from zlib import crc32
-    return crc32(word)
-
-
 def answer_words(key: tuple, packed: pa.Table) -> pa.Table:
     """Counts of a bucket's words over all blocks, for each block that asked; and the bucket's totals."""
     blocks, keys, counts = (packed.column(c).to_pylist() for c in ("block", "keys", "counts"))
