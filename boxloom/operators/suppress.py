@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.functions.geometry import box, overlaps_more
+from boxloom.functions.geometry import Box, box, overlaps_more
+from boxloom.operators.overlap import tiled_pairs
 from boxloom.plans.skew import join_on, split_hot, top_k
 from boxloom.session import durable
 
@@ -62,11 +63,15 @@ def _peel(hot: DataFrame, keys: list[str], order: list[Column], threshold: float
     drops all later boxes which they suppress. What one task holds is a chunk; the later
     boxes of a group stay spread over salts. Every round ends in a written table, so a
     lost executor costs at most one round.
+
+    Where boxes crowd, a round drops most of what is left. Once a round leaves more than
+    half, boxes lie apart, their overlapping pairs are few, and the rest is decided on pairs.
     """
     columns = hot.columns
     left = durable(hot, "undecided")
     parts: list[DataFrame] = []
-    while left.take(1):
+    size = left.count()
+    while size:
         chunk = top_k(left, keys, order, _CHUNK, _SALTS)
         rest = [c for c in columns if c not in keys]
         decided = durable(
@@ -88,7 +93,46 @@ def _peel(hot: DataFrame, keys: list[str], order: list[Column], threshold: float
             .select(*columns),
             "undecided",
         )
-    return reduce(DataFrame.unionByName, parts)
+        before, size = size, left.count()
+        if size > before / 2:
+            parts.append(_by_pairs(left, keys, order, threshold))
+            break
+    return reduce(DataFrame.unionByName, parts) if parts else left
+
+
+def _by_pairs(df: DataFrame, keys: list[str], order: list[Column], threshold: float) -> DataFrame:
+    """Greedy removal on overlapping pairs: which box suppresses which is found once, on a grid.
+
+    In each round a box stays if no undecided better box overlaps it, and boxes that a kept
+    one overlaps go. A round settles all boxes at the head of a chain, so there are as many
+    rounds as the longest chain of falling overlapping boxes has links.
+    """
+    rows = durable(df.withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    rank = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    pairs = tiled_pairs(rows, rows, keys, "_id", "_id", once=True).where(
+        (F.col("joint") > 0) & (F.col("overlap") > 0)).select("a", "b")
+    corners = ("x1", "y1", "x2", "y2")
+    for side in ("a", "b"):
+        own = rows.select(F.col("_id").alias(side), rank.alias(f"{side}_rank"), *[F.col(c).alias(f"{side}_{c}") for c in corners])
+        pairs = pairs.join(own, side)
+    over = overlaps_more(*[Box(*[F.col(f"{s}_{c}") for c in corners]) for s in ("a", "b")], threshold)
+    first = F.col("a_rank") < F.col("b_rank")
+    edges = durable(pairs.where(over).select(
+        F.when(first, F.col("a")).otherwise(F.col("b")).alias("better"),
+        F.when(first, F.col("b")).otherwise(F.col("a")).alias("worse")), "suppressing")
+    open_ids = durable(rows.select("_id"), "open")
+    kept: list[DataFrame] = []
+    while not open_ids.isEmpty():
+        free = durable(open_ids.join(edges.select(F.col("worse").alias("_id")), "_id", "left_anti"), "kept")
+        kept.append(free)
+        gone = edges.join(free.select(F.col("_id").alias("better")), "better").select(F.col("worse").alias("_id")).distinct()
+        open_ids = durable(open_ids.join(free, "_id", "left_anti").join(gone, "_id", "left_anti"), "open")
+        # Suppressed boxes suppress nothing.
+        edges = durable(edges.join(open_ids.select(F.col("_id").alias("better")), "better", "left_semi")
+                        .join(open_ids.select(F.col("_id").alias("worse")), "worse", "left_semi"), "suppressing")
+    if not kept:
+        return rows.drop("_id")
+    return rows.join(reduce(DataFrame.unionByName, kept), "_id", "left_semi").drop("_id")
 
 
 def keep_best(df: DataFrame, keys: list[str], order: list[Column], threshold: float,

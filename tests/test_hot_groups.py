@@ -53,6 +53,18 @@ def test_greedy_removal_equals_a_plain_loop(spark, limit):
     assert {(r.img, r.box) for r in got.collect()} == greedy(rows, 1, 4)
 
 
+def test_sparse_hot_groups_are_decided_on_pairs(spark, monkeypatch):
+    from boxloom.operators import suppress
+    monkeypatch.setattr(suppress, "_CHUNK", 5)
+    rows = random_boxes(7, 600, canvas=3000)
+    got = keep_best(spark.createDataFrame(rows, SCHEMA), ["img"], BY_SCORE(), 0.25, group_limit=20)
+    assert {(r.img, r.box) for r in got.collect()} == greedy(rows, 1, 4)
+    # A chain in which every box overlaps the next one only.
+    chain = [(1, i, 100 - i, 60 * i, 0, 60 * i + 100, 50) for i in range(12)]
+    kept = suppress._by_pairs(spark.createDataFrame(chain, SCHEMA), ["img"], BY_SCORE(), 0.2)
+    assert {(r.img, r.box) for r in kept.collect()} == greedy(chain, 1, 5)
+
+
 def test_capped_removal_is_the_same_on_both_paths(spark):
     df = spark.createDataFrame(random_boxes(2, 1_200), SCHEMA)
     usual = keep_best(df, ["img"], BY_SCORE(), 0.5, 25).collect()

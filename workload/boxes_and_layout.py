@@ -244,6 +244,47 @@ def proposed_slots(spark, d):
     return slots.propose_slots(boxes, boxes, "img", by_score(), *canvas())
 
 
+# --- hot images: thousands of boxes each, more with every scale --------------------------------
+
+_CROWD_IOU = f"""
+near AS (
+  SELECT a.img, a.box AS a, b.box AS b, {overlap_sql('a', 'b')} AS overlap, {area_sql('a')} + {area_sql('b')} - {overlap_sql('a', 'b')} AS joint
+  FROM (SELECT *, unnest([x1 // 400 + 1, x1 // 400 + 2]) AS t FROM crowded) a
+  JOIN (SELECT *, x1 // 400 + 1 AS t FROM crowded) b ON a.img = b.img AND a.t = b.t AND (a.x1, a.box) < (b.x1, b.box)
+  WHERE a.x2 > b.x1 AND a.y1 < b.y2 AND b.y1 < a.y2)"""
+
+
+@query(with_views("crowded", """
+SELECT img, least(a, b) AS a, greatest(a, b) AS b, overlap::bigint AS overlap FROM near WHERE overlap > 0 AND overlap * 10 >= joint""", _CROWD_IOU))
+def crowded_pairs(spark, d):
+    """Overlapping pairs of hot images, which meet on a grid."""
+    rows = V.crowded(spark, d)
+    return overlap.overlapping_pairs(rows, rows, ["img"], "box", "box", 0.1, once=True).select("img", "a", "b", "overlap")
+
+
+@query(with_views("crowded", """
+SELECT img, box, score FROM (SELECT *, row_number() OVER (PARTITION BY img ORDER BY score DESC, box) AS rn FROM crowded) WHERE rn <= 300"""))
+def crowded_top_detections(spark, d):
+    """The cap of 300 binds on every image."""
+    return top_k(V.crowded(spark, d).select("img", "box", "score"), ["img"], by_score(), 300)
+
+
+@query(with_views("crowded", """
+SELECT 'page' AS split, cast(img AS varchar) AS stem, string_agg(cast(cls AS varchar), chr(10) ORDER BY box) AS text FROM crowded GROUP BY img"""))
+def crowded_label_texts(spark, d):
+    """One text an image, however many lines it has."""
+    lines = V.crowded(spark, d).select(
+        F.lit("page").alias("split"), F.col("img").cast("string").alias("stem"), F.col("box").alias("box_no"),
+        F.col("cls").cast("string").alias("line"))
+    return S.label_texts(lines, lines)
+
+
+@query()
+def crowded_slots(spark, d):
+    """Greedy removal on hot images: rounds over pairs. Its SQL takes a minute; tests hold it against a loop."""
+    return keep_best(V.crowded(spark, d), ["img"], by_score(), 0.25).select("img", "box")
+
+
 @query(with_views("labels", """
 SELECT split, stem, string_agg(printf('%d %.6f %.6f %.6f %.6f', class_id, cx, cy, w, h), chr(10) ORDER BY box_no) AS text
 FROM labels GROUP BY ALL"""))

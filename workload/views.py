@@ -52,6 +52,14 @@ def boxes(spark: SparkSession, d: str) -> DataFrame:
     return boxes_of(table(spark, d, "lineitem"))
 
 
+def crowded(spark: SparkSession, d: str) -> DataFrame:
+    """All boxes on as many large canvases as there are line numbers: every image is hot."""
+    b = boxes_of(table(spark, d, "lineitem"), F.col("l_linenumber").cast("bigint").alias("page"))
+    x, y = F.col("box") % 30000, F.expr("box div 30000") % 30000
+    return b.select(F.col("page").alias("img"), "box", "cls", "score", x.alias("x1"), y.alias("y1"),
+                    (x + F.col("bw")).alias("x2"), (y + F.col("bh")).alias("y2"))
+
+
 def split_of(img: Column) -> Column:
     return F.when(img % 10 < 7, "train").when(img % 10 < 9, "valid").otherwise("test")
 
@@ -214,6 +222,13 @@ SELECT img, box, cls, score, bw, bh, x1, y1, x1 + bw AS x2, y1 + bh AS y2 FROM (
          l_partkey AS cls, cents % 1000 AS score, 60 + q * 2 AS bw,
          (60 + q * 2) * (60 + (l_partkey * 7 + l_linenumber * 13) % 140) // 100 AS bh,
          300 + (l_partkey * 37) % 120 AS x1, 200 + (l_suppkey * 53 + l_linenumber * 17) % 120 AS y1
+  FROM (SELECT *, cast(l_quantity AS bigint) AS q, cast(round(l_extendedprice * 100) AS bigint) AS cents FROM lineitem))"""),
+    "crowded": ((), f"""
+SELECT img, box, cls, score, box % 30000 AS x1, box // 30000 % 30000 AS y1, box % 30000 + bw AS x2, box // 30000 % 30000 + bh AS y2
+FROM (
+  SELECT l_linenumber::bigint AS img, l_partkey AS cls, cents % 1000 AS score, 60 + q * 2 AS bw,
+         cast('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, cents, q)), 1, 15) AS bigint) AS box,
+         (60 + q * 2) * (60 + (l_partkey * 7 + l_linenumber * 13) % 140) // 100 AS bh
   FROM (SELECT *, cast(l_quantity AS bigint) AS q, cast(round(l_extendedprice * 100) AS bigint) AS cents FROM lineitem))"""),
     "cards": ((), """
 SELECT card_no, name, set_code, replace(name, ' ', '_') || '_' || set_code || lpad(cast(card_no % 1000 AS varchar), 3, '0') AS raw_name
