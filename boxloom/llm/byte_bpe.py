@@ -33,7 +33,7 @@ from boxloom.llm.arrow import with_binary
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Code points handled at once, and pieces kept in a worker's cache.
-CHARS, PIECES = 1_000_000, 250_000
+CHARS, PIECES = 1_000_000, 150_000
 #: Byte lengths up to which pieces are merged side by side, and the mark of a pair that does not merge.
 WIDTHS, NOT = (4, 8, 12, 16, 24, 32), 1 << 40
 

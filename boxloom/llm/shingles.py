@@ -7,7 +7,7 @@ import xxhash
 
 SIZE = 5
 #: Words kept in a worker's table of word hashes.
-WORDS = 1_000_000
+WORDS = 150_000
 
 
 class WordHashes(dict):
