@@ -5,13 +5,16 @@ Two smoothed multinomials over the buckets are counted over the corpus: one of a
 one of the documents trusted as targets. A document's score is the mean over its n-grams of
 log(target / raw); it is kept if no base rule fails and the score reaches the threshold.
 
-The threshold is a fixed number of standard deviations below the mean score of the trusted
-documents, so every document is judged by the same number.
+The threshold is set where held-out scores part labelled good from labelled bad documents best,
+so every document is judged by the same number. Only labelled documents that no base rule fails
+count, and trusted ones are scored with a target that their own fold is left out of. With too few
+bad labels it is a number of deviations below the mean of those held-out trusted scores.
 
 Defined results: a null or empty text has no words, so its counts are 0, its score is 0 and it
 fails the base rule; null or unknown ids in ``labels`` are ignored; repeated rows are counted
 and judged one by one; an empty corpus gives no rows. Without trusted documents both
-multinomials are equal, all scores are 0 and only the base rules decide. Columns beyond
+multinomials are equal and all scores are 0; if no trusted document passes the base rules, only
+they decide. Columns beyond
 (doc_id, text) are not read, whatever their names.
 """
 
@@ -21,13 +24,21 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boxloom.llm.jaccard_join import bounded_ids
+
 BUCKETS = 10_000
 #: Bound of the trusted sample: ids are broadcast, 16 bytes each.
 TRUSTED_ROWS = 100_000
+#: Parts of the trusted documents, by a hash of the id, for scores that do not know the document.
+FOLDS = 10
 #: Pseudo count of each bucket in both multinomials.
 SMOOTHING = 1.0
-#: Standard deviations below the trusted mean at which a document is rejected.
-DEVIATIONS = 4.0
+#: Labelled bad documents from which on they decide the cut; with fewer it is this many standard
+#: deviations below the mean of the trusted documents.
+LEAST_BAD = 10
+DEVIATIONS = 3.0
+#: Held-out scores are counted in steps of this size.
+STEP = 1e-4
 WHITE = "\\x20\\x09-\\x0D"
 
 
@@ -109,37 +120,87 @@ def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
     return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
+def fold(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(FOLDS)).cast("int")
+
+
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
-    """log(target / raw) of each bucket, from the n-grams of all documents."""
+    """log(target / raw) of each bucket, from the n-grams of all documents.
+
+    Row i leaves fold i of the trusted documents out of the target; the last row has all.
+    """
     marked = docs.select("doc_id", "text").join(
-        F.broadcast(trusted.select("doc_id", F.lit(1).alias("good"))), "doc_id", "left")
+        F.broadcast(trusted.select("doc_id", fold(F.col("doc_id")).alias("fold"))), "doc_id", "left")
+    parts = [F.count_if(F.col("fold") == i).alias(f"t{i}") for i in range(FOLDS)]
     counted = (
-        marked.select(F.coalesce("good", F.lit(0)).alias("good"), F.explode(buckets(words(F.col("text")))).alias("b"))
-        .groupBy("b").agg(F.count("*").alias("raw"), F.sum("good").alias("target")).collect())
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
+        marked.select("fold", F.explode(buckets(words(F.col("text")))).alias("b"))
+        .groupBy("b").agg(F.count("*").alias("raw"), *parts).collect())
+    raw, target = np.zeros(BUCKETS), np.zeros((FOLDS, BUCKETS))
     for row in counted:  # at most BUCKETS rows
-        raw[row["b"]], target[row["b"]] = row["raw"], row["target"]
-    if not target.sum():
-        return np.zeros(BUCKETS)
+        raw[row["b"]] = row["raw"]
+        target[:, row["b"]] = [row[f"t{i}"] for i in range(FOLDS)]
+    total = target.sum(axis=0)
     share = lambda n: (n + SMOOTHING) / (n.sum() + SMOOTHING * BUCKETS)
-    return np.log(share(target) / share(raw))
+    used = np.vstack([total - target, total])
+    return np.array([np.log(share(n) / share(raw)) if n.sum() else np.zeros(BUCKETS) for n in used])
+
 
+def mean_ratio(words_: Column, ratios: np.ndarray, start: Column | None = None) -> Column:
+    """Mean of the buckets' ratios over a document's n-grams; 0 without any.
 
-def mean_ratio(words_: Column, ratios: np.ndarray) -> Column:
-    """Mean of the buckets' ratios over a document's n-grams; 0 without any."""
-    table = F.lit(ratios)
+    ``start`` is where the document's own row of ``ratios`` begins, if there are several.
+    """
+    table = F.split(F.lit(",".join(map(repr, ratios.ravel().tolist()))), ",").cast("array<double>")
+    at = (lambda x: x) if start is None else (lambda x: x + start)
     return bound(buckets(words_), lambda b: F.when(F.size(b) == 0, F.lit(0.0)).otherwise(
-        F.aggregate(b, F.lit(0.0), lambda acc, x: acc + F.get(table, x)) / F.size(b)))
+        F.aggregate(b, F.lit(0.0), lambda acc, x: acc + F.get(table, at(x))) / F.size(b)))
 
 
-def learned(docs: DataFrame, labels: DataFrame, deviations: float = DEVIATIONS) -> tuple[np.ndarray, float]:
+def held_out_scores(docs: DataFrame, labels: DataFrame, ratios: np.ndarray) -> DataFrame:
+    """Quality label and score of labelled documents that pass the base rules.
+
+    The fold of a good document is left out of the target it is scored with; a bad one is in none.
+    """
+    known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.max("quality").alias("quality"))
+    start = BUCKETS * F.when(F.col("quality") == 1, fold(F.col("doc_id"))).otherwise(FOLDS)
+    score = bound(words(F.col("text")), lambda w: F.when(
+        ~base_failed(F.size(w), repeated_words(w)), mean_ratio(w, ratios, start)))
+    return docs.select("doc_id", "text").join(bounded_ids(known), "doc_id").select("quality", score.alias("s"))
+
+
+def best_cut(good: dict[float, int], bad: dict[float, int]) -> float:
+    """Score from which documents are kept, given how many labelled ones have which score.
+
+    With enough bad ones it is where the share of good ones below and the share of bad ones from
+    there on add up to the least, in the middle of the gap; else a number of deviations below the mean.
+    """
+    n_good, n_bad = sum(good.values()), sum(bad.values())
+    if not n_good:
+        return float("-inf")
+    if n_bad < LEAST_BAD:
+        mean = sum(s * n for s, n in good.items()) / n_good
+        return mean - DEVIATIONS * (sum((s - mean) ** 2 * n for s, n in good.items()) / n_good) ** 0.5
+    at = sorted(good.keys() | bad.keys())
+    lost, passed = 0, n_bad
+    best, cut = passed / n_bad, at[0]
+    for low, high in zip(at, at[1:] + [at[-1] + 2 * STEP]):
+        lost += good.get(low, 0)
+        passed -= bad.get(low, 0)
+        if lost / n_good + passed / n_bad < best:
+            best, cut = lost / n_good + passed / n_bad, (low + high) / 2
+    return cut
+
+
+def learned(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """Ratios of all buckets, and the score from which a document is kept."""
-    trusted = trusted_ids(labels)
-    ratios = log_ratios(docs, trusted)
-    known = docs.select("doc_id", "text").join(F.broadcast(trusted), "doc_id", "left_semi")
-    spread = known.select(mean_ratio(words(F.col("text")), ratios).alias("s")).agg(
-        F.avg("s").alias("mean"), F.stddev_pop("s").alias("dev")).first()
-    return ratios, (spread["mean"] or 0.0) - deviations * (spread["dev"] or 0.0)
+    ratios = log_ratios(docs, trusted_ids(labels))
+    counts: dict[int, dict[float, int]] = {0: {}, 1: {}}
+    scores = held_out_scores(docs, labels, ratios)
+    for row in scores.groupBy("quality", F.floor(F.col("s") / STEP).alias("step")).count().collect():
+        if row["step"] is not None:
+            counts[row["quality"]][row["step"] * STEP] = row["count"]
+    return ratios[-1], best_cut(counts[1], counts[0])
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:

@@ -3,7 +3,7 @@ import re
 import numpy as np
 import pytest
 
-from boxloom.llm.quality_rules import keep_good, score_quality
+from boxloom.llm.quality_rules import best_cut, keep_good, score_quality
 from tests.llm.helpers import edge_docs, no_docs
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -75,3 +75,37 @@ def test_junk_goes_and_clean_stays(spark):
 def test_no_rows_and_no_labels(spark):
     assert score_quality(no_docs(spark), label_rows(spark, [])).count() == 0
     assert {r["score"] for r in score_quality(edge_docs(spark), label_rows(spark, [])).collect()} == {0.0}
+
+
+def test_labelled_bad_goes_and_good_stays(spark):
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    rows = score_quality(spark.read.parquet(f"{folder}/documents.parquet"), labels).join(labels, "doc_id").where(
+        "NOT base_failed AND quality IS NOT NULL").collect()
+    assert sum(r["quality"] == 0 for r in rows) > 20
+    assert not [r["doc_id"] for r in rows if r["quality"] == 0 and r["kept"]]
+    good = [r["kept"] for r in rows if r["quality"] == 1]
+    assert sum(good) >= 0.98 * len(good)
+
+
+def test_short_trusted_texts_do_not_move_the_cut(spark):
+    rng = np.random.default_rng(2)
+    names = ["river", "stone", "and", "the", "of", "light", "walks", "over", "hill", "calm", "bird", "road"]
+    texts = [" ".join(rng.choice(names, 80)) for _ in range(60)]
+    odd = [f"{a}#1 {b}#2" for a in "qwxyz" for b in "qwxyz"]  # trusted, but far too short
+    junk = [" ".join(f"{w}{s}" if k % 3 == 0 else w for k, (w, s) in enumerate(
+        zip(rng.choice(names, 80), rng.choice(["###", "&&&"], 80)))) for _ in range(5)]
+    docs = spark.createDataFrame(list(enumerate(texts + odd + junk)), "doc_id bigint, text string")
+    good = [(i, 1, 0) for i in range(40)]
+    for more in ([], [(60 + i, 1, 0) for i in range(len(odd))]):
+        got = {r["doc_id"]: r for r in score_quality(docs, label_rows(spark, good + more)).collect()}
+        assert not any(got[i]["kept"] for i in range(85, 90))
+        assert sum(got[i]["kept"] for i in range(60)) >= 0.9 * sum(not got[i]["base_failed"] for i in range(60))
+
+
+def test_cut_parts_the_labels():
+    assert best_cut({}, {0.0: 30}) == float("-inf")
+    assert best_cut({1.0: 50, 0.5: 1}, {-1.0: 9, 0.0: 9}) == 0.25
+    assert best_cut({1.0: 50, -2.0: 1}, {-1.0: 9, 0.0: 9}) == 0.5
+    assert best_cut({1.0: 50}, {2.0: 9}) == 1.0  # too few bad ones
+    assert best_cut({2.0: 1, 0.0: 1}, {}) == -2.0
