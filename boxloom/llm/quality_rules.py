@@ -27,8 +27,6 @@ from pyspark.sql import functions as F
 from boxloom.llm.jaccard_join import bounded_ids
 
 BUCKETS = 10_000
-#: Bound of the trusted sample: ids are broadcast, 16 bytes each.
-TRUSTED_ROWS = 100_000
 #: Parts of the trusted documents, by a hash of the id, for scores that do not know the document.
 FOLDS = 10
 #: Pseudo count of each bucket in both multinomials.
@@ -114,10 +112,9 @@ def base_counts(docs: DataFrame) -> DataFrame:
         repeated_words(F.col("words")).alias("n_repeat_words"))
 
 
-def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
-    """At most ``rows`` ids labelled as good quality, chosen by a hash of the id."""
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """All ids labelled as good quality."""
+    return labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
 
 
 def fold(doc_id: Column) -> Column:
@@ -130,7 +127,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     Row i leaves fold i of the trusted documents out of the target; the last row has all.
     """
     marked = docs.select("doc_id", "text").join(
-        F.broadcast(trusted.select("doc_id", fold(F.col("doc_id")).alias("fold"))), "doc_id", "left")
+        bounded_ids(trusted).select("doc_id", fold(F.col("doc_id")).alias("fold")), "doc_id", "left")
     parts = [F.count_if(F.col("fold") == i).alias(f"t{i}") for i in range(FOLDS)]
     counted = (
         marked.select("fold", F.explode(buckets(words(F.col("text")))).alias("b"))

@@ -109,3 +109,15 @@ def test_cut_parts_the_labels():
     assert best_cut({1.0: 50, -2.0: 1}, {-1.0: 9, 0.0: 9}) == 0.5
     assert best_cut({1.0: 50}, {2.0: 9}) == 1.0  # too few bad ones
     assert best_cut({2.0: 1, 0.0: 1}, {}) == -2.0
+
+
+def test_every_trusted_document_counts(spark, monkeypatch):
+    from boxloom.llm import jaccard_join, quality_rules
+
+    rows = spark.range(100_500).select("id")
+    assert quality_rules.trusted_ids(rows.selectExpr("id AS doc_id", "1 AS quality")).count() == 100_500
+    docs = spark.createDataFrame([(i, f"w{i} w{i % 7} end") for i in range(40)], "doc_id bigint, text string")
+    trusted = quality_rules.trusted_ids(label_rows(spark, [(i, 1, 0) for i in range(0, 40, 2)]))
+    want = quality_rules.log_ratios(docs, trusted)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 5)  # more ids than may be broadcast: a shuffle join
+    assert np.array_equal(quality_rules.log_ratios(docs, trusted), want)
