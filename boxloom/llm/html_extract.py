@@ -27,10 +27,12 @@ TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)")
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 SPACE = re.compile(r"[\s ]+")
 
-RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math"}
+#: Elements whose content is characters, not markup, up to their own end tag.
+RAW = {"script", "style", "textarea", "title", "iframe"}
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Elements without article text.
-DROPPED = RAW | {"head", "nav", "footer", "aside", "form", "button", "select", "option", "object", "applet",
+DROPPED = RAW | {"noscript", "template", "svg", "math", "nav", "footer", "aside", "form", "button", "select", "option", "object", "applet",
                  "menu", "dialog", "canvas", "audio", "video", "label", "fieldset", "input"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font",
           "i", "img", "ins", "kbd", "mark", "q", "ruby", "rt", "s", "samp", "small", "span", "strike", "strong",
@@ -44,18 +46,26 @@ FURNITURE = set("""ad ads adv advert adverts advertisement advertising banner br
 ARTICLE = set("article body content entry main post story text".split())
 #: A start tag of the key's group ends an open element of the same group.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
-          "th": {"td", "th"}, "option": {"option"}}
+          "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}}
+CLOSES |= dict.fromkeys(("tbody", "thead", "tfoot"), {"tr", "td", "th", "tbody", "thead", "tfoot"})
+#: Start tags that end an open, dropped paragraph, and the elements they do not reach beyond.
+ENDS_P = set("""address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure
+    footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul""".split())
+P_SCOPES = {"applet", "button", "caption", "object", "svg", "math", "table", "td", "template", "th"}
+#: End tags inside do not end an element outside.
+SEALED = {"applet", "object", "template"}
 SCOPES = {"ul", "ol", "dl", "table", "body", "article", "section", "main", "div"}
 
 
 class Element:
-    __slots__ = ("tag", "parent", "children", "points", "names", "block", "inside")
+    __slots__ = ("tag", "parent", "children", "points", "names", "block", "inside", "dropped")
 
     def __init__(self, tag: str, parent: Element | None, names: set[str]):
         self.tag, self.parent, self.names = tag, parent, names
         self.children: list[Element | str] = []
         self.points = 0.0
         self.block = tag not in INLINE
+        self.dropped = parent is not None and parent.dropped
         self.inside = tag in ("article", "main") or bool(names & ARTICLE) or parent is not None and parent.inside
 
 
@@ -80,44 +90,44 @@ def _furniture(tag: str, names: set[str], inside_article: bool) -> bool:
 
 
 def read_tree(page: str) -> Element:
-    """Tree of the page without its furniture; unclosed elements end where HTML says they do."""
+    """Tree of the page, its furniture marked as dropped; unclosed elements end where HTML says they do.
+
+    A head is no element of its own: what may stand in it has no article text, and all else ends it.
+    """
     root = Element("html", None, set())
-    here, skipping, depth = root, "", 0
-    for m in TOKEN.finditer(page):
-        token = m[0]
+    here, at = root, 0
+    while at < len(page):
+        m = TOKEN.match(page, at)
+        token, at = m[0], m.end()
         tag = TAG.match(token)
         if tag is None:
-            if not skipping and not token.startswith(("<!", "<?")):
+            if not here.dropped and not token.startswith(("<!", "<?")):
                 here.children.append(html.unescape(token))
             continue
         closing, name = bool(tag[1]), tag[2].lower()
-        if skipping:  # inside a dropped element: only its own end counts
-            if name == skipping and (not token.endswith("/>") or closing):
-                if skipping in RAW and not closing:
-                    continue
-                depth += -1 if closing else 1
-                if depth == 0:
-                    skipping = ""
-            continue
         if closing:
             there: Element | None = here
             while there is not None and there.tag != name:
                 # An inline end tag does not reach beyond its block.
-                there = None if there.block and name in INLINE else there.parent
+                there = None if there.block and name in INLINE or there.tag in SEALED else there.parent
             if there is not None and there.parent is not None:
                 here = there.parent
             elif name == "p" or name == "br":
                 here.children.append(Element("br", here, set()))
             continue
-        if name in ("html", "body"):
+        if name in ("html", "head", "body"):
             continue
-        names = _names(token) if "=" in token else set()
-        inside = here.inside
+        if name in RAW and not token.endswith("/>"):
+            end = RAW_END[name].search(page, at)
+            at = end.end() if end else len(page)
+        names = _names(token) if "=" in token and not here.dropped else set()
         if name not in INLINE:
             up = here
-            while up.tag in INLINE or up.tag == "p":  # a block ends the open paragraph
+            # A block ends the open paragraph.
+            while up.tag in INLINE or up.tag == "p" or up.dropped and up.tag not in P_SCOPES:
                 if up.tag == "p":
-                    here = up.parent
+                    if not up.dropped or name in ENDS_P:
+                        here = up.parent
                     break
                 if up.parent is None:
                     break
@@ -127,15 +137,12 @@ def read_tree(page: str) -> Element:
                 while up.parent is not None and up.tag not in SCOPES:
                     if up.tag in CLOSES[name]:
                         here = up.parent
-                        break
                     up = up.parent
-        if _furniture(name, names, inside):
-            if name not in VOID and not token.endswith("/>"):
-                skipping, depth = name, 1
-            continue
         node = Element(name, here, names)
-        here.children.append(node)
-        if name not in VOID and not token.endswith("/>"):
+        node.dropped = here.dropped or _furniture(name, names, here.inside)
+        if not node.dropped:
+            here.children.append(node)
+        if name not in VOID and name not in RAW and not token.endswith("/>"):
             here = node
     return root
 

@@ -50,3 +50,28 @@ def test_query_equals_a_plain_reading_of_the_layout(spark):
         plain = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", p.replace("<br>", " "))).split()) for p in parts]
         want = "\n\n".join(p for p in plain if p)
         assert r["text"] == want and r["n_chars"] == len(want)
+
+
+PROSE = "The article itself, with words, many words, and more of them, over the whole line."
+
+
+def test_code_in_raw_elements_is_no_markup():
+    for code in ("<script>for(i=0;i<n;i++){t(i)}</script>", "<style>a{content:'<b'}</style>", "<script>x = '<!--'</SCRIPT >",
+                 "<nav><script>if(a<b)c()</script></nav>", "<textarea><nav></textarea>", "<title>1 <b 2</title>"):
+        assert main_text(f"<div><p>{PROSE}</p>{code}<p>{PROSE}</p></div>") == f"{PROSE}\n\n{PROSE}", code
+
+
+def test_open_head_ends_at_the_body():
+    for start in ("<body>", "", "<body class=x><div>"):
+        page = f"<html><head><meta charset=utf-8><title>T</title><style>p{{}}</style>{start}<p>{PROSE}</p>"
+        assert main_text(page) == PROSE, start
+
+
+def test_open_furniture_ends_where_html_says():
+    assert main_text(f"<div><p class=ad>Buy it.<p>{PROSE}<p>{PROSE}</div>") == f"{PROSE}\n\n{PROSE}"
+    assert main_text(f"<div><p class=ad>Buy <label>it</label> now.<p>{PROSE}</div>") == PROSE
+    assert main_text(f"<article><ul><li class=share>Share<li>{PROSE}</ul><p>{PROSE}</p></article>") == f"{PROSE}\n\n{PROSE}"
+    assert main_text(f"<article><dl><dt class=ad>x<dd>{PROSE}</dl></article>") == PROSE
+    assert main_text(f"<article><table><tr class=ad><td>x<tr><td class=ad>y<td>{PROSE}</table></article>") == PROSE
+    assert main_text(f"<article><div><nav><ul><li><a href=x>menu</a></div><p>{PROSE}</p></article>") == PROSE
+    assert main_text(f"<article><nav><p>a<nav>b</nav><p>c</nav><p>{PROSE}</p></article>") == PROSE
