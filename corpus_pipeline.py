@@ -37,9 +37,11 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
+    """Token ids of every document, and the digest of the bytes they decode to."""
     path = public_tokenizers.path(byte_bpe.RANKS)
-    return byte_bpe.encode(docs.select(*COLUMNS), path, ["doc_id", "lang", "source"])
+    ids = byte_bpe.encode(docs.select(*COLUMNS), path, ["doc_id", "lang", "source"])
+    back = byte_bpe.decode(ids, path, ["doc_id", "lang", "source", "token_ids", "n_tokens"])
+    return back.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
 
 
 STAGES = [

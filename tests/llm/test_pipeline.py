@@ -1,5 +1,7 @@
 """The pipeline's stages against plain versions of what each decides."""
 
+import hashlib
+
 import numpy as np
 import tiktoken
 import public_tokenizers
@@ -9,6 +11,7 @@ from boxloom.llm import byte_bpe
 from boxloom.llm.decontaminate import normal
 from boxloom.llm.queries import QUERIES, ranks_path
 from boxloom.llm.secret_scan import base_spans
+from tests.llm.helpers import edge_docs
 from tests.llm.test_jaccard_join import plain_components
 
 SF = "/root/testdata/sf0.001"
@@ -53,3 +56,11 @@ def test_each_stage_does_its_work(spark, tmp_path):
     ids = {r["doc_id"]: np.frombuffer(r["token_ids"], "<u4").tolist() for r in after}
     assert ids == {r["doc_id"]: library.encode_ordinary(r["text"]) for r in before}
     assert sorted(r["doc_id"] for r in P.run(spark, SF).collect()) == sorted(ids)
+
+
+def test_last_stage_decodes_what_it_encodes(spark):
+    docs = edge_docs(spark)
+    got = P.tokens(spark, docs, SF).collect()
+    want = sorted((r["doc_id"] or -1, hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in docs.collect())
+    assert sorted((r["doc_id"] or -1, r["decoded_sha256"]) for r in got) == want
+    assert all(len(r["token_ids"]) == 4 * r["n_tokens"] for r in got)
