@@ -48,6 +48,23 @@ def shared_folder(spark: SparkSession) -> str:
     return made
 
 
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete written tables (of ``durable``) that nothing reads any more.
+
+    Only folders below the shared one go, so a caller's own table is never touched.
+    """
+    for table in tables:
+        spark = table.sparkSession
+        java = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        root = java(shared_folder(spark))
+        root = root.getFileSystem(conf).makeQualified(root)
+        for folder in {file.rpartition("/")[0] for file in table.inputFiles()}:
+            path = java(folder)
+            if path.getParent().toUri().getPath() == root.toUri().getPath():
+                path.getFileSystem(conf).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
