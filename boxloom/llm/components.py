@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.session import durable
+from boxloom.session import drop_tables, durable
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -26,13 +26,18 @@ def components(links: DataFrame) -> DataFrame:
         moved = durable(
             lower.join(jump, "low", "left").select(
                 "node", "old", F.least("low", F.coalesce("lower", "low")).alias("label")), "labels")
-        if moved.where("label < old").isEmpty():
-            return moved.select("node", "label")
+        drop_tables(labels)
         labels = moved.select("node", "label")
+        if moved.where("label < old").isEmpty():
+            drop_tables(edges)
+            return labels
 
 
 def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels after further links between nodes; nodes not in ``labels`` stand for themselves."""
+    """Labels after further links between nodes; nodes not in ``labels`` stand for themselves.
+
+    ``labels`` is a written table, which the new one replaces.
+    """
     named = labels.select("node", "label")
     ends = links.select("a", "b")
     for side in ("a", "b"):
@@ -41,6 +46,8 @@ def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     nodes = named.select("node", "label").union(
         ends.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         .join(named, "node", "left_anti").select("node", F.col("node").alias("label")))
-    return durable(
+    out = durable(
         nodes.join(merged.select(F.col("node").alias("label"), F.col("label").alias("new")), "label", "left")
         .select("node", F.coalesce("new", "label").alias("label")), "labels")
+    drop_tables(merged, labels)
+    return out

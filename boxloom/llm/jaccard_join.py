@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from boxloom.llm.components import components, relabelled
 from boxloom.llm.shingles import mixed, shingle_set
-from boxloom.session import durable
+from boxloom.session import drop_tables, durable
 
 #: Similarity as a fraction, so that tests stay in whole numbers.
 NUM, DEN = 80, 100
@@ -46,7 +46,7 @@ BLOCK = 1024
 #: Ids up to which a set of ids is broadcast (8 bytes each); beyond, it is joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
-SKETCH = "rep bigint, n bigint, mins array<bigint>, bitmap binary, prefix array<bigint>, digest binary"
+SKETCH = "doc_id bigint, n bigint, mins array<bigint>, bitmap binary, prefix array<bigint>, digest binary"
 
 
 def least_overlap(a, b):
@@ -86,7 +86,7 @@ def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(sizes, pa.int64()), pa.array(mins, pa.list_(pa.int64())),
              pa.array(maps, pa.binary()), prefix, batch.column(2)],
-            names=["rep", "n", "mins", "bitmap", "prefix", "digest"])
+            names=["doc_id", "n", "mins", "bitmap", "prefix", "digest"])
 
 
 def bounded_ids(ids: DataFrame) -> DataFrame:
@@ -140,10 +140,12 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         sets_of, "rep bigint, shingles binary")
     sets = durable(sets, "sets")
     linked = F.pandas_udf(sets_link, "boolean")
-    return durable(
+    links = durable(
         pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a")
         .join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
         .where(linked("x", "y")).select("a", "b").distinct(), "links")
+    drop_tables(sets, needed, pairs)
+    return links
 
 
 def minhash_pairs(classes: DataFrame) -> DataFrame:
@@ -151,6 +153,7 @@ def minhash_pairs(classes: DataFrame) -> DataFrame:
     mins = classes.select("rep", "n", "bitmap", F.posexplode("mins").alias("k", "v"))
     centres = (mins.groupBy("k", "v").agg(F.min("rep").alias("a"), F.count("*").alias("size"))
                .where("size > 1").select("k", "v", "a"))
+    # Checked against the bitmaps before any set is built.
     pairs = durable(mins.select("k", "v", "rep").join(centres, ["k", "v"]).where("a <> rep")
                     .select("a", F.col("rep").alias("b")).distinct(), "stars")
     maps = classes.select("rep", "n", "bitmap")
@@ -178,8 +181,11 @@ def tiles(classes: DataFrame, labels: DataFrame) -> DataFrame:
     Guests of a tile are the classes of the band below; they meet its own classes only. Of
     tiles with the same classes one is kept.
     """
-    keys = labelled(classes, labels).select("rep", "n", "label", F.explode("prefix").alias("key"))
-    shared = mixed_only(keys, ["key"]).drop("rows")
+    named = labelled(classes.select("rep", "n", "prefix"), labels)
+    spread = named.select("label", F.explode("prefix").alias("key")).groupBy("key").agg(
+        F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    # Only key and class of a row are shuffled by key; size and component come back to those that stay.
+    shared = classes.select("rep", F.explode("prefix").alias("key")).join(spread, "key").join(named.drop("prefix"), "rep")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND)))
     placed = durable(shared.withColumn("band", band).select(
         "key", "rep", "n", "label", F.posexplode(F.array("band", F.col("band") + 1)).alias("guest", "band")), "shared")
@@ -190,7 +196,9 @@ def tiles(classes: DataFrame, labels: DataFrame) -> DataFrame:
             .where("low < high AND g = 0").groupBy("band", "x", "s", "rows").agg(F.min("key").alias("key"))
             .select("key", "band"))
     rows = placed.join(kept, ["key", "band"]).select("key", "band", "rep", "n", "guest")
-    return durable(rows.join(classes.select("rep", "bitmap"), "rep"), "tiles")
+    out = durable(rows.join(classes.select("rep", "bitmap"), "rep"), "tiles")
+    drop_tables(placed)
+    return out
 
 
 def small_unit_pairs(at: np.ndarray, sizes: np.ndarray, rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -305,23 +313,43 @@ def text_digest(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
+def sketches(docs: DataFrame) -> DataFrame:
+    """(rep, n, mins, bitmap, prefix, digest): one row per text, and those of rows without id (rep null).
+
+    Texts are sketched where they lie; only sketches are shuffled, and of these the one of the
+    smallest id of each text stays.
+    """
+    rows = docs.select("doc_id", "text", text_digest(F.col("text")).alias("digest"))
+    first = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).where("doc_id IS NOT NULL").withColumn("least", F.lit(True))
+    once = rows.mapInArrow(sketch, SKETCH).groupBy("doc_id", "digest").agg(
+        *[F.first(c).alias(c) for c in ("n", "mins", "bitmap", "prefix")])
+    return durable(once.join(first, ["doc_id", "digest"], "left").where("least OR doc_id IS NULL").select(
+        F.col("doc_id").alias("rep"), "n", "mins", "bitmap", "prefix", "digest"), "sketches")
+
+
 def link_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     docs = docs.select("doc_id", "text")
-    keyed = docs.withColumn("digest", text_digest(F.col("text")))
-    first = keyed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("text").alias("text"))
-    sketched = durable(first.select("rep", "text", "digest").mapInArrow(sketch, SKETCH), "sketches")
+    keyed = docs.select("doc_id", text_digest(F.col("text")).alias("digest"))
+    sketched = sketches(docs)
     classes = sketched.where("rep IS NOT NULL AND n > 0")
 
-    labels = components(verified(minhash_pairs(classes), docs))
+    links = verified(minhash_pairs(classes), docs)
+    labels = components(links)
+    drop_tables(links)
     rows = tiles(classes, labels)
     for best_only in (True, False):
-        labels = relabelled(labels, verified(tile_pairs(rows, labels, best_only), docs))
+        links = verified(tile_pairs(rows, labels, best_only), docs)
+        labels = relabelled(labels, links)
+        drop_tables(links)
+    drop_tables(rows)
 
     named = labels.select(F.col("node").alias("rep"), "label")
-    of_class = durable(sketched.select("digest", "rep", "n").join(named, "rep", "left").select(
-        "digest", "rep", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("label")), "classes")
-    out = keyed.select("doc_id", "digest").join(of_class, "digest")
+    texts = sketched.groupBy("digest").agg(F.min("rep").alias("rep"), F.max("n").alias("n_shingles"))
+    of_class = durable(texts.join(named, "rep", "left").select(
+        "digest", "rep", "n_shingles", F.coalesce("label", "rep").alias("label")), "classes")
+    drop_tables(sketched, labels)
+    out = keyed.join(of_class, "digest")
     linked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     return out.select("doc_id", "n_shingles", F.when(linked, F.col("label")).otherwise(F.col("doc_id")).alias("component_id"))
 
