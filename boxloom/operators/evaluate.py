@@ -6,6 +6,8 @@ score take the free truth box they overlap most, if by at least the threshold.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from boxloom.functions.geometry import area, box, intersection, iou, overlap_rea
 from boxloom.operators.overlap import tiled_pairs
 from boxloom.plans.running import Running, running, value_bucket
 from boxloom.plans.skew import join_on, split_hot
-from boxloom.session import durable
+from boxloom.session import drop_tables, durable
 
 GROUP_LIMIT = 1_000
 # The ten overlap levels of the averaged figure, in percent.
@@ -24,60 +26,81 @@ def _corners(*first: Column) -> Column:
     return F.struct(*first, *[F.col(c) for c in ("x1", "y1", "x2", "y2")])
 
 
-def _candidates(preds: Column, truths: Column, lowest: int) -> Column:
-    """Each prediction with the truth boxes it overlaps by the lowest level or more."""
+def _reached(overlap: Column, joint: Column, levels: tuple[int, ...]) -> Column:
+    """The levels that an overlap reaches, one bit each."""
+    return reduce(lambda m, k: m.bitwiseOR(F.when(overlap_reaches(overlap, joint, F.lit(levels[k])), 1 << k).otherwise(0)),
+                  range(len(levels)), F.lit(0))
+
+
+def _candidates(preds: Column, truths: Column, levels: tuple[int, ...]) -> Column:
+    """Each prediction with the truth boxes it overlaps by the lowest level or more, best first."""
     def pair(p: Column, t: Column) -> Column:
         overlap = intersection(box(p), box(t))
-        return F.struct(
-            iou(box(p), box(t)).alias("iou"), (-t["box"]).alias("low"), t["box"].alias("box"),
-            overlap.cast("double").alias("overlap"),
-            (area(box(p)) + area(box(t)) - overlap).cast("double").alias("joint"))
+        return F.struct((-iou(box(p), box(t))).alias("far"), t["box"].alias("box"), overlap.alias("overlap"),
+                        (area(box(p)) + area(box(t)) - overlap).alias("joint"))
+
+    def near(c: Column) -> Column:
+        return overlap_reaches(c["overlap"], c["joint"], F.lit(min(levels)))
+
+    def marked(c: Column) -> Column:
+        return F.struct(c["far"].alias("far"), c["box"].alias("box"), _reached(c["overlap"], c["joint"], levels).alias("bits"))
 
     return F.transform(preds, lambda p: F.struct(
         p["box"].alias("box"), p["score"].cast("double").alias("score"),
-        F.filter(F.transform(truths, lambda t: pair(p, t)), lambda c: overlap_reaches(
-            c["overlap"], c["joint"], F.lit(lowest))).alias("near")))
+        F.array_sort(F.transform(F.filter(F.transform(truths, lambda t: pair(p, t)), near), marked)).alias("near")))
+
+
+_PICK = "struct<box:bigint,truth:bigint,bits:int>"
 
 
-def _take(preds: Column, level: Column) -> Column:
-    """Ordered fold over predictions; the state holds the truth boxes taken so far."""
-    def best(p: Column, taken: Column) -> Column:
-        return F.array_max(F.filter(p["near"], lambda c: overlap_reaches(
-            c["overlap"], c["joint"], level) & ~F.exists(
-                taken, lambda k: k["truth"].eqNullSafe(c["box"]))))
+def _take(preds: Column) -> Column:
+    """One fold over predictions in order decides all levels: (box, truth, bits) of what they take.
+
+    A prediction goes through its truth boxes from the best on. At the levels it reaches it takes
+    the truth unless a better prediction holds it there, and unless it has one there already.
+    """
+    def bits_of(picks: Column, test) -> Column:
+        return F.aggregate(F.filter(picks, test), F.lit(0), lambda m, k: m.bitwiseOR(k["bits"]))
+
+    def offer(picks: Column, p: Column, c: Column) -> Column:
+        taken = bits_of(picks, lambda k: k["truth"].eqNullSafe(c["box"]) | k["box"].eqNullSafe(p["box"]))
+        gain = c["bits"].bitwiseAND(F.bitwise_not(taken))
+        pick = F.struct(p["box"].alias("box"), c["box"].alias("truth"), gain.alias("bits"))
+        return F.when(gain > 0, F.concat(picks, F.array(pick))).otherwise(picks)
+
+    return F.aggregate(preds, F.array().cast(f"array<{_PICK}>"), lambda picks, p: F.aggregate(
+        p["near"], picks, lambda inner, c: offer(inner, p, c)))
 
-    return F.aggregate(
-        preds, F.array().cast("array<struct<box:bigint,score:double,truth:bigint>>"),
-        lambda taken, p: F.concat(taken, F.array(F.struct(
-            p["box"].alias("box"), p["score"].alias("score"), best(p, taken)["box"].alias("truth")))))
+
+def _by_level(picks: Column, levels: tuple[int, ...]) -> Column:
+    """The truth taken at each level, null where none is."""
+    def at(k: int) -> Column:
+        return F.get(F.filter(picks, lambda c: c["bits"].bitwiseAND(1 << k) > 0), F.lit(0))["truth"]
+
+    return F.array(*[at(k) for k in range(len(levels))])
 
 
 def _folded(preds: DataFrame, truth: DataFrame, keys: list[str], levels: tuple[int, ...]) -> DataFrame:
     p = preds.groupBy(*keys).agg(F.sort_array(F.collect_list(_corners(
         (-F.col("score")).alias("at"), F.col("box"), F.col("score")))).alias("_p"))
     t = truth.groupBy(*keys).agg(F.collect_list(_corners(F.col("box"))).alias("_t"))
-    near = join_on(p, t, keys, "left").select(*keys, F.when(
-        F.col("_t").isNotNull(), _candidates(F.col("_p"), F.col("_t"), min(levels))).otherwise(
-        F.transform("_p", lambda q: F.struct(
-            q["box"].alias("box"), q["score"].cast("double").alias("score"),
-            F.array().cast("array<struct<iou:double,low:bigint,box:bigint,overlap:double,joint:double>>")
-            .alias("near")))).alias("_n"))
-    per_level = F.transform(
-        F.array(*[F.lit(v) for v in levels]),
-        lambda level: F.struct(level.alias("level"), _take(F.col("_n"), level).alias("rows")))
-    return (
-        near.select(*keys, F.explode(per_level).alias("_l"))
-        .select(*keys, F.col("_l.level").alias("level"), F.explode("_l.rows").alias("_r"))
-        .select(*keys, "level", "_r.box", "_r.score", "_r.truth")
-    )
+    met = join_on(p, t, keys, "left").select(*keys, "_p", F.when(
+        F.col("_t").isNotNull(), _candidates(F.col("_p"), F.col("_t"), levels)).alias("_n"))
+    # Exploding the one array keeps the fold out of the step below, which would run it per prediction.
+    taken = met.select(*keys, "_p", F.explode(F.array(_take(F.filter("_n", lambda q: F.size(q["near"]) > 0)))).alias("_k"))
+    each = taken.select(*keys, F.explode(F.transform("_p", lambda q: F.struct(
+        q["box"].alias("box"), q["score"].cast("double").alias("score"),
+        F.filter("_k", lambda k: k["box"].eqNullSafe(q["box"])).alias("own")))).alias("_r"))
+    return each.select(*keys, "_r.box", "_r.score", _by_level(F.col("_r.own"), levels).alias("truths"))
 
 
 def _proposed(preds: DataFrame, truth: DataFrame, keys: list[str], levels: tuple[int, ...]) -> DataFrame:
     """The same matching in rounds of proposals, for groups too large for one task.
 
-    Every prediction without a truth proposes to the truth it overlaps most among those
-    not held by a better prediction; every truth keeps its best proposer. Since all truth
-    boxes rank predictions alike (by score), the fixed point is the ordered matching.
+    At every level a prediction proposes to the truth it overlaps most among those not held there
+    by a better prediction; every truth keeps its best proposer. Since all truth boxes rank
+    predictions alike (by score), the fixed point is the ordered matching. A truth is one row with
+    its holder per level, and a prediction one row per truth it proposes to.
     """
     pairs = tiled_pairs(
         preds.select(*keys, "box", "x1", "y1", "x2", "y2"),
@@ -85,39 +108,46 @@ def _proposed(preds: DataFrame, truth: DataFrame, keys: list[str], levels: tuple
         keys, "box", "box", min(levels) / 100)
     scores = preds.select(*keys, F.col("box").alias("a"), F.struct(
         (-F.col("score")).alias("at"), F.col("box")).alias("rank"))
-    wanted = F.array(*[F.lit(v) for v in levels])
-    pairs = durable(
-        join_on(pairs, scores, [*keys, "a"])
-        .withColumn("level", F.explode(F.filter(
-            wanted, lambda v: overlap_reaches(F.col("overlap"), F.col("joint"), v)))),
-        "candidates")
-    slot = [*keys, "level"]
+    pairs = durable(join_on(pairs, scores, [*keys, "a"]).select(
+        *keys, "a", "b", "rank", "iou", _reached(F.col("overlap"), F.col("joint"), levels).alias("bits")), "candidates")
+    every = range(len(levels))
     held = None
     while True:
         offers = pairs
         if held is not None:
-            busy = held.select(*slot, "b", F.col("rank").alias("_held"), F.col("a").alias("_by"))
-            offers = join_on(offers, busy, [*slot, "b"], "left").filter(
-                F.col("_held").isNull() | (F.col("rank") <= F.col("_held")))
-        chosen = offers.groupBy(*slot, "a").agg(F.max_by(
-            F.struct("b", "rank"), F.struct("iou", (-F.col("b")).alias("low"))).alias("_o"))
-        after = durable(
-            chosen.select(*slot, "a", "_o.b", "_o.rank").groupBy(*slot, "b").agg(
-                F.min_by(F.struct("a", "rank"), "rank").alias("_w"))
-            .select(*slot, "b", "_w.a", "_w.rank"), "held")
-        if held is not None and not join_on(
-                after, held.select(*slot, "b", "a"), [*slot, "b", "a"], "left_anti").take(1):
-            break
+            busy = held.select(*keys, "b", F.col("by").alias("_by"))
+            met = join_on(offers, busy, [*keys, "b"], "left")
+
+            def open_at(k: int) -> Column:
+                holder = F.get("_by", F.lit(k))
+                return F.when(holder.isNull() | (F.col("rank") <= holder), 1 << k).otherwise(0)
+
+            free = reduce(lambda m, k: m.bitwiseOR(open_at(k)), every, F.lit(0))
+            offers = met.withColumn("bits", F.col("bits").bitwiseAND(free)).drop("_by")
+        # The best truth of a prediction at each level, then one row per truth with its levels.
+        best = offers.groupBy(*keys, "a").agg(F.first("rank").alias("rank"), *[
+            F.max(F.when(F.col("bits").bitwiseAND(1 << k) > 0, F.struct("iou", (-F.col("b")).alias("low"), "b")))["b"].alias(f"_{k}")
+            for k in every])
+        wanted = best.withColumn("b", F.explode(F.array_compact(F.array_distinct(F.array(*[F.col(f"_{k}") for k in every])))))
+        after = durable(wanted.groupBy(*keys, "b").agg(F.array(*[
+            F.min(F.when(F.col(f"_{k}").eqNullSafe(F.col("b")), F.col("rank"))) for k in every]).alias("by")), "held")
+        settled = held is not None and join_on(after, held, [*keys, "b", "by"], "left_anti").isEmpty()
+        if held is not None:
+            drop_tables(held)
         held = after
-    won = held.select(*slot, F.col("a").alias("box"), F.col("b").alias("truth"))
-    every = preds.select(*keys, F.explode(wanted).alias("level"), "box",
-                         F.col("score").cast("double").alias("score"))
-    return join_on(every, won, [*slot, "box"], "left")
+        if settled:
+            break
+    won = held.select(*keys, "b", F.posexplode("by").alias("_k", "_h")).where("_h IS NOT NULL").groupBy(
+        *keys, F.col("_h.box").alias("box")).agg(F.array(*[
+            F.max(F.when(F.col("_k") == k, F.col("b"))) for k in every]).alias("truths"))
+    drawn = preds.select(*keys, "box", F.col("score").cast("double").alias("score"))
+    none = F.array(*[F.lit(None).cast("bigint") for _ in every])
+    return join_on(drawn, won, [*keys, "box"], "left").withColumn("truths", F.coalesce("truths", none))
 
 
-def match(preds: DataFrame, truth: DataFrame, levels: tuple[int, ...] = LEVELS,
-          keys: tuple[str, ...] = ("img", "cls"), group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """Each prediction once per level (percent) with the truth box it takes, or null.
+def match_levels(preds: DataFrame, truth: DataFrame, levels: tuple[int, ...] = LEVELS,
+                 keys: tuple[str, ...] = ("img", "cls"), group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """Each prediction once, with the truth box it takes at each of ``levels`` (percent), or null.
 
     Inputs hold the keys, box, corners; predictions also score. One shuffle per side for
     usual groups; groups above ``group_limit`` on either side go through proposals.
@@ -136,17 +166,45 @@ def match(preds: DataFrame, truth: DataFrame, levels: tuple[int, ...] = LEVELS,
         _proposed(part(preds, "left_semi"), part(truth, "left_semi"), keys, levels))
 
 
-def curve(matches: DataFrame, truth: DataFrame, group: list[str]) -> DataFrame:
+def at_levels(matches: DataFrame, levels: tuple[int, ...] = LEVELS) -> DataFrame:
+    """``match_levels`` with a row per level: the columns level and truth in place of truths."""
+    rest = [c for c in matches.columns if c != "truths"]
+    return matches.select(*rest, F.posexplode("truths").alias("_k", "truth")).select(
+        *rest, F.get(F.array(*[F.lit(v) for v in levels]), F.col("_k")).alias("level"), "truth")
+
+
+def match(preds: DataFrame, truth: DataFrame, levels: tuple[int, ...] = LEVELS,
+          keys: tuple[str, ...] = ("img", "cls"), group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """Each prediction once per level with the truth box it takes, or null."""
+    return at_levels(match_levels(preds, truth, levels, keys, group_limit), levels)
+
+
+def _counted(matches: DataFrame, by: list[str], levels: tuple[int, ...]) -> DataFrame:
+    """Hits and predictions (tp, n) per level and ``by``, from rows with ``truths`` or with ``truth``.
+
+    Rows with all levels are counted in one pass, a column per level; only counts are unfolded.
+    """
+    everyone = F.count(F.lit(1)).alias("n")
+    if "truths" not in matches.columns:
+        marks = [c for c in ("level",) if c in matches.columns]
+        return matches.groupBy(*marks, *by).agg(F.count("truth").alias("tp"), everyone)
+    hits = F.array(*[F.count(F.get("truths", F.lit(k))) for k in range(len(levels))])
+    return matches.groupBy(*by).agg(hits.alias("_tp"), everyone).select(
+        *by, "n", F.posexplode("_tp").alias("_k", "tp")).select(
+        F.get(F.array(*[F.lit(v) for v in levels]), F.col("_k")).alias("level"), *by, "tp", "n")
+
+
+def curve(matches: DataFrame, truth: DataFrame, group: list[str],
+          levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """Precision and recall at every distinct score, per ``group`` columns of ``truth``.
 
     Predictions of equal score enter together, so ties leave no choice. Rows are combined
     to one per group and score and written once, before anything runs over a group; scores run in
     buckets whose bounds come from the scores themselves.
     """
-    marks = [c for c in ("level",) if c in matches.columns]
+    marks = ["level"] if "level" in matches.columns or "truths" in matches.columns else []
     keys = [*marks, *group]
-    points = durable(matches.groupBy(*keys, "score").agg(
-        F.count("truth").alias("_tp"), F.count(F.lit(1)).alias("_all")), "points")
+    points = durable(_counted(matches, [*group, "score"], levels).withColumnsRenamed({"tp": "_tp", "n": "_all"}), "points")
     total = truth.groupBy(*group).agg(F.count(F.lit(1)).alias("n_truth")) if group else None
     ran = running(points, keys, -value_bucket(points, F.col("score")), [-F.col("score")],
                   tp=Running("sum", F.col("_tp")), n=Running("sum", F.col("_all")))
@@ -169,7 +227,7 @@ def average_precision(matches: DataFrame, truth: DataFrame, group: list[str],
 
     Groups with truth but without predictions score 0.
     """
-    points = durable(curve(matches, truth, group), "curve")
+    points = durable(curve(matches, truth, group, levels), "curve")
     keys = ["level", *group]
     best = running(points, keys, value_bucket(points, F.col("score")), [F.col("score")],
                    best=Running("max", F.col("precision")))
@@ -186,9 +244,8 @@ def operating_point(matches: DataFrame, truth: DataFrame, group: list[str], min_
 
     A group without such predictions has recall 0 and no precision.
     """
-    marks = [c for c in ("level",) if c in matches.columns]
-    counted = matches.filter(F.col("score") >= min_score).groupBy(*marks, *group).agg(
-        F.count("truth").alias("tp"), F.count(F.lit(1)).alias("n"))
+    marks = ["level"] if "level" in matches.columns or "truths" in matches.columns else []
+    counted = _counted(matches.filter(F.col("score") >= min_score), group, levels)
     total = truth.groupBy(*group).agg(F.count(F.lit(1)).alias("n_truth"))
     if marks:
         total = total.withColumn("level", F.explode(F.array(*[F.lit(v) for v in levels])))

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from boxloom.plans.skew import join_on
 
 BUCKET_WIDTH = 65_536
-#: Buckets that ``value_bucket`` aims at.
-VALUE_BUCKETS = 256
+#: Rows a bucket of ``value_bucket`` aims at, and the most buckets it makes.
+VALUE_ROWS, VALUE_BUCKETS = 65_536, 4_096
 
 
 @dataclass(frozen=True)
@@ -106,19 +106,24 @@ def _stand_in(kind: str) -> Column:
     return F.lit(0).cast(kind)
 
 
-def value_bucket(df: DataFrame, value: Column, buckets: int = VALUE_BUCKETS) -> Column:
+def value_bucket(df: DataFrame, value: Column, rows: int = VALUE_ROWS) -> Column:
     """Bucket of a number by bounds taken from the data, so that rows spread whatever its range.
 
-    The bounds are approximate quantiles of ``df`` (at most ``buckets`` numbers). Equal values
-    share a bucket and buckets rise with the value; nulls come first.
+    The bounds are approximate quantiles of ``df``, as many as its rows call for. Equal values share
+    a bucket and buckets rise with the value; nulls come first. A row finds its bucket by binary
+    search. ``df`` is read twice, so it should be a written table.
     """
-    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    bounds = df.agg(F.array_sort(F.array_distinct(
-        F.percentile_approx(value.cast("double"), shares, F.lit(10_000)))).alias("b")).first()["b"]
-    if not bounds:
+    wanted = min(VALUE_BUCKETS, -(-df.count() // rows))
+    if wanted < 2:
         return F.lit(0)
-    table = F.array(*[F.lit(float(b)) for b in bounds])
-    return F.when(value.isNull(), F.lit(-1)).otherwise(F.size(F.filter(table, lambda b: b < value)))
+    shares = F.array(*[F.lit(k / wanted) for k in range(1, wanted)])
+    seen = df.agg(F.percentile_approx(value.cast("double"), shares, F.lit(10_000)).alias("b")).first()["b"]
+    bounds = sorted({float(b) for b in seen or ()})
+    table = F.array(*[F.lit(b) for b in bounds])
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    found = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, s: F.when(
+        F.get(table, at + s - 1) < value, at + s).otherwise(at))
+    return F.when(value.isNull(), F.lit(-1)).otherwise(found)
 
 
 def number_rows(df: DataFrame, keys: list[str], bucket: Column, order: list[Column],

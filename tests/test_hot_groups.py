@@ -236,3 +236,30 @@ def test_overlapping_pairs_come_once_over_tiles(spark, limit):
     want = {(a[1], b[1]) for a in rows for b in rows
             if a[0] == b[0] and a[1] < b[1] and overlap_of(a[3:], b[3:]) > 0}
     assert len(got) == len(want) and {(r.a, r.b) for r in got} == want
+
+
+@pytest.mark.parametrize("limit", [10_000, 40])
+def test_all_levels_in_one_pass_equal_each_level_alone(spark, limit):
+    rng = random.Random(12)
+    truth = [(i % 3, i, x, y, x + 50 + rng.randrange(20), y + 60) for i in range(240)
+             for x, y in [(rng.randrange(300), rng.randrange(300))]]
+    preds = [(t[0], t[1] * 10 + j, rng.randrange(40), *(v + rng.randrange(-9, 10) for v in t[2:])) for t in truth for j in range(3)]
+    p = spark.createDataFrame(preds, SCHEMA).withColumn("cls", F.lit(1))
+    t = spark.createDataFrame(truth, "img long, box long, x1 long, y1 long, x2 long, y2 long").withColumn("cls", F.lit(1))
+    got = {(r.img, r.box): r.truths for r in evaluate.match_levels(p, t, group_limit=limit).collect()}
+    assert len(got) == len(preds)
+    for k, level in enumerate(evaluate.LEVELS):
+        want = plain_match(preds, truth, level)
+        assert {key: truths[k] for key, truths in got.items()} == {key[:2]: v for key, v in want.items()}, level
+
+
+def test_value_buckets_follow_the_rows_and_rise_with_the_value(spark):
+    from boxloom.plans.running import value_bucket
+
+    rows = [(None if i % 50 == 0 else float(i * 7919 % 1000),) for i in range(2_000)]
+    df = spark.createDataFrame(rows, "v double")
+    got = df.select("v", value_bucket(df, F.col("v"), rows=100).alias("b")).collect()
+    by = sorted((r.v is not None, r.v or 0, r.b) for r in got)
+    assert [b for *_, b in by] == sorted(b for *_, b in by) and by[0][2] == -1
+    assert 12 <= len({r.b for r in got if r.v is not None}) <= 20
+    assert df.select(value_bucket(df, F.col("v"), rows=5_000).alias("b")).distinct().count() == 1

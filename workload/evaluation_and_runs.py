@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from boxloom.operators import evaluate, runs
+from boxloom.session import durable
 from workload import views as V
 from workload.register import query
 from workload.views import area_sql, overlap_sql, with_views
@@ -33,12 +34,30 @@ matched AS (SELECT img, cls, level, box, score, truth FROM fold WHERE rn > 0)"""
 
 
 def _matches(spark, d, levels=evaluate.LEVELS):
-    return evaluate.match(V.preds(spark, d), V.truth(spark, d), levels)
+    """Matches and the truth; both inputs are read several times, so they are derived once and written."""
+    truth = durable(V.truth(spark, d), "truth")
+    return evaluate.match_levels(durable(V.preds(spark, d), "preds"), truth, levels), truth
 
 
 @query(with_views("preds truth", "SELECT img, cls, level, box, score::double AS score, truth FROM matched", _MATCH))
 def matched_predictions(spark, d):
-    return _matches(spark, d)
+    return evaluate.at_levels(_matches(spark, d)[0])
+
+
+_AT_LEVELS = "SELECT img, cls, box, score::double AS score, list(truth ORDER BY level) AS truths FROM matched GROUP BY ALL"
+
+
+@query(with_views("preds truth", _AT_LEVELS, _MATCH))
+def matched_at_all_levels(spark, d):
+    """A row per prediction with what it takes at the ten levels."""
+    return _matches(spark, d)[0]
+
+
+@query(with_views("crowded_preds crowded_truth", _AT_LEVELS,
+                  _MATCH.replace("FROM preds)", "FROM crowded_preds)").replace("JOIN truth t", "JOIN crowded_truth t")))
+def crowded_matches(spark, d):
+    """The same on seven large canvases of two classes, each of them hot."""
+    return evaluate.match_levels(V.crowded_preds(spark, d), V.crowded_truth(spark, d), group_limit=V.CROWD_LIMIT)
 
 
 _CURVE = """,
@@ -56,14 +75,14 @@ ap AS (
 
 @query(with_views("preds truth", "SELECT level, cls, round(ap, 9) AS ap FROM ap", _MATCH + _CURVE))
 def average_precision(spark, d):
-    out = evaluate.average_precision(_matches(spark, d), V.truth(spark, d), ["cls"])
+    out = evaluate.average_precision(*_matches(spark, d), ["cls"])
     return out.select("level", "cls", F.round("ap", 9).alias("ap"))
 
 
 @query(with_views("preds truth", """
 SELECT round(avg(ap) FILTER (level = 50), 9) AS map50, round(avg(ap), 9) AS map50_95 FROM ap""", _MATCH + _CURVE))
 def mean_average_precision(spark, d):
-    out = evaluate.average_precision(_matches(spark, d), V.truth(spark, d), ["cls"])
+    out = evaluate.average_precision(*_matches(spark, d), ["cls"])
     return out.agg(F.round(F.avg(F.when(F.col("level") == 50, F.col("ap"))), 9).alias("map50"),
                    F.round(F.avg("ap"), 9).alias("map50_95"))
 
@@ -73,7 +92,7 @@ SELECT 50 AS level, t.cls, count(m.truth) AS tp, count(m.box) AS n, any_value(n_
        count(m.truth) / nullif(count(m.box), 0) AS precision, count(m.truth) / any_value(n_truth) AS recall
 FROM totals t LEFT JOIN matched m ON m.cls = t.cls AND m.score >= 690 AND m.level = 50 GROUP BY t.cls""", _MATCH + _CURVE))
 def operating_points(spark, d):
-    return evaluate.operating_point(_matches(spark, d, (50,)), V.truth(spark, d), ["cls"], 690, (50,))
+    return evaluate.operating_point(*_matches(spark, d, (50,)), ["cls"], 690, (50,))
 
 
 _F1 = _MATCH + """,
@@ -85,7 +104,7 @@ f1 AS (
 
 
 def _f1(spark, d):
-    return evaluate.curve(_matches(spark, d, (50,)), V.truth(spark, d), [])
+    return evaluate.curve(*_matches(spark, d, (50,)), [], (50,))
 
 
 @query(with_views("preds truth", "SELECT score, tp::bigint AS tp, n::bigint AS n, precision, recall, f1 FROM f1", _F1))

@@ -154,6 +154,23 @@ def preds(spark: SparkSession, d: str) -> DataFrame:
         (c("x2") + dx).alias("x2"), (c("y2") + dy).alias("y2"))
 
 
+#: Boxes of an image and class above which the queries on crowded canvases call it hot.
+CROWD_LIMIT = 200
+
+
+def crowded_truth(spark: SparkSession, d: str) -> DataFrame:
+    return crowded(spark, d).filter(F.col("box") % 3 != 0).select(
+        "img", "box", (F.col("cls") % 2).alias("cls"), "x1", "y1", "x2", "y2")
+
+
+def crowded_preds(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    dx, dy = c("cls") % 9 - 4, c("cls") % 7 - 3
+    return crowded(spark, d).filter(c("score") % 8 != 1).select(
+        "img", "box", (c("cls") % 2).alias("cls"), "score", (c("x1") + dx).alias("x1"), (c("y1") + dy).alias("y1"),
+        (c("x2") + dx).alias("x2"), (c("y2") + dy).alias("y2"))
+
+
 def occluders(spark: SparkSession, d: str) -> DataFrame:
     c = F.col
     return boxes(spark, d).filter(c("box") % 2 == 0).select(
@@ -278,6 +295,10 @@ SELECT img, {_SPLIT} AS split, 'img_' || cast(img AS varchar) AS stem, box AS bo
 SELECT img, box, CASE WHEN score % 10 = 0 THEN (cls + 1) % 20 ELSE cls % 20 END AS cls, score,
        x1 + cls % 9 - 4 AS x1, y1 + img % 7 - 3 AS y1, x2 + cls % 9 - 4 AS x2, y2 + img % 7 - 3 AS y2
 FROM boxes WHERE score % 8 <> 1"""),
+    "crowded_truth": (("crowded",), "SELECT img, box, cls % 2 AS cls, x1, y1, x2, y2 FROM crowded WHERE box % 3 <> 0"),
+    "crowded_preds": (("crowded",), """
+SELECT img, box, cls % 2 AS cls, score, x1 + cls % 9 - 4 AS x1, y1 + cls % 7 - 3 AS y1, x2 + cls % 9 - 4 AS x2, y2 + cls % 7 - 3 AS y2
+FROM crowded WHERE score % 8 <> 1"""),
     "occluders": (("boxes",), """
 SELECT img, box AS occ_no, x1 + 5 AS x1, y1 + 5 AS y1, x1 + 5 + bw AS x2, y1 + 5 + bh AS y2 FROM boxes WHERE box % 2 = 0"""),
     "frames": ((), """
