@@ -5,10 +5,12 @@ from __future__ import annotations
 from functools import reduce
 from math import lcm
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxloom.functions.names import canonical_name, digest, digest_number
+from boxloom.operators.seats import SeatIndex, with_seats
 from boxloom.plans.running import Running, hash_bucket, number_rows, running
 from boxloom.plans.skew import join_on
 from boxloom.session import SPLITS, durable
@@ -19,6 +21,8 @@ SPLIT_WEIGHTS = {"train": 7, "valid": 2, "test": 1}
 ANGLES = (0, 90, 180, 270)
 
 _SEATS_PER_STEP = 10_000
+#: Classes of all splits whose quotas are sent to every task; their index takes about 100 MB.
+MOST_SEAT_CLASSES = 1_000_000
 
 
 def split_files(files: DataFrame, name: str, seed: str,
@@ -124,13 +128,54 @@ def class_files(files: DataFrame, seed: str) -> DataFrame:
 
 
 def draw(rows: DataFrame, pool: DataFrame, keys: list[str], number: str, size: str,
-         seed: str, by: list[str], sizes: DataFrame | None = None) -> DataFrame:
-    """One numbered pool row per input row, picked by a seeded hash of the ``by`` columns."""
+         seed: str, by: list[str], sizes: DataFrame | None = None, on_miss: str = "keep") -> DataFrame:
+    """One numbered pool row per input row, picked by a seeded hash of the ``by`` columns.
+
+    A row whose keys have no pool is kept with nulls, left out (``"drop"``), or fails the job
+    (``"fail"``).
+    """
+    if on_miss not in ("keep", "drop", "fail"):
+        raise ValueError(f"unknown on_miss {on_miss}")
     if sizes is None:
         sizes = pool.select(*keys, size).distinct()
     at = digest_number(digest(seed, *[F.col(c) for c in by])) % F.col(size)
-    placed = join_on(rows, sizes, keys).withColumn(number, at).drop(size)
-    return join_on(placed, pool.drop(size) if size in pool.columns else pool, [*keys, number])
+    how = "inner" if on_miss == "drop" else "left"
+    placed = join_on(rows, sizes, keys, how).withColumn(number, at).drop(size)
+    if on_miss == "fail":
+        said = F.concat(F.lit("nothing to draw from for "), F.to_json(F.struct(*keys)))
+        placed = placed.withColumn(number, F.when(F.col(number).isNull(), F.raise_error(said).cast("bigint")).otherwise(F.col(number)))
+    return join_on(placed, pool.drop(size) if size in pool.columns else pool, [*keys, number], how)
+
+
+def fallback_splits(quota: DataFrame, templates: DataFrame) -> DataFrame:
+    """``quota`` (image_no, split), where a split without templates gives way to the first that has some."""
+    having = {r["split"] for r in templates.select("split").distinct().collect()}
+    ready = [s for s in SPLITS if s in having]
+    if not ready:
+        raise ValueError("no split has a template")
+    return quota.withColumn("split", F.when(F.col("split").isin(ready), F.col("split")).otherwise(ready[0]))
+
+
+def numbered_files(files: DataFrame, seed: str) -> DataFrame:
+    """``class_files`` with ``no``, the number of a file among all: its class's offset plus its own.
+
+    Only classes are run over to get the offsets.
+    """
+    pool = class_files(files, seed)
+    sizes = pool.groupBy("name").agg(F.max("files").alias("files"))
+    offsets = running(sizes, [], F.substring("name", 1, 2), [F.col("name")],
+                      _first=Running("sum", F.col("files"), inclusive=False)).select("name", "_first")
+    return pool.join(offsets, "name").select("name", "set_code", "file", (F.col("_first") + F.col("file_no")).alias("no"))
+
+
+def draw_files(rows: DataFrame, files: DataFrame, seed: str, by: list[str]) -> DataFrame:
+    """``rows`` with one of all card files each (name, set_code, file), every file as likely as another."""
+    pool = durable(numbered_files(files, seed), "card-files")
+    total = pool.count()
+    if not total:
+        raise ValueError("no card files to draw from")
+    at = digest_number(digest(f"{seed}-file", *[F.col(c) for c in by])) % total
+    return rows.withColumn("no", at).join(pool, "no").drop("no")
 
 
 def pick_one(rows: DataFrame, keys: list[str], seed: str, by: list[str]) -> DataFrame:
@@ -186,12 +231,10 @@ def class_quota(counts: DataFrame, slots: DataFrame, seed: str) -> DataFrame:
         "split", "class_id", "n", "total", "quota"), "quotas")
 
 
-def class_seats(quotas: DataFrame, seed: str, makeup_min: int = 0) -> DataFrame:
-    """One row per slot: (split, slot_no, class_id), lowest counts first, slots from 0.
+def _seats_by_sort(quotas: DataFrame, seed: str) -> DataFrame:
+    """One row per slot of any quotas: (split, slot_no, class_id, level), sorted by need.
 
-    ``makeup`` marks slots that lift a class towards ``makeup_min``; these come first by
-    themselves since slots rise by count. Large quotas are expanded in two steps, so no
-    row unfolds into one huge array.
+    Large quotas are expanded in two steps, so no row unfolds into one huge array.
     """
     blocks = quotas.withColumn("_k", F.explode(F.sequence(
         F.lit(0).cast("bigint"), F.floor((F.col("quota") - 1) / _SEATS_PER_STEP))))
@@ -203,5 +246,43 @@ def class_seats(quotas: DataFrame, seed: str, makeup_min: int = 0) -> DataFrame:
     numbered = number_rows(
         seats, ["split"], F.floor(F.col("level") / 16),
         [F.col("level"), F.col("total"), F.col("_d"), F.col("class_id")], "_n")
-    return numbered.select("split", (F.col("_n") - 1).alias("slot_no"), "class_id", "level",
-                           (F.col("level") < makeup_min).alias("makeup"))
+    return numbered.select("split", (F.col("_n") - 1).alias("slot_no"), "class_id", "level")
+
+
+def seat_index(quotas: DataFrame, seed: str) -> dict[str, SeatIndex] | None:
+    """Seats of each split by number; None for a registry too large to send to every task, or for
+    quotas that do not fill to one level."""
+    if quotas.limit(MOST_SEAT_CLASSES + 1).count() > MOST_SEAT_CLASSES:
+        return None
+    ranked = quotas.withColumn("_d", digest(seed, F.col("split"), F.col("class_id"))).orderBy("split", "total", "_d", "class_id")
+    found = ranked.select("split", "class_id", "n", "quota").toPandas()
+    try:
+        return {split: SeatIndex(*(g[c].to_numpy(np.int64) for c in ("class_id", "n", "quota"))) for split, g in found.groupby("split")}
+    except ValueError:
+        return None
+
+
+def seated(slots: DataFrame, quotas: DataFrame, seed: str, makeup_min: int = 0) -> DataFrame:
+    """``slots`` (split, slot_no, ...) with the class, level and makeup mark of their seat.
+
+    The class follows from the slot's number (see ``seats``), without a table of seats.
+    """
+    index = seat_index(quotas, seed)
+    if index is not None:
+        return with_seats(slots, index, makeup_min)
+    seats = _seats_by_sort(quotas, seed).withColumn("makeup", F.col("level") < makeup_min)
+    return slots.join(seats, ["split", "slot_no"])
+
+
+def class_seats(quotas: DataFrame, seed: str, makeup_min: int = 0) -> DataFrame:
+    """One row per slot: (split, slot_no, class_id, level, makeup), lowest counts first, slots from 0.
+
+    ``makeup`` marks slots that lift a class towards ``makeup_min``; these come first by
+    themselves since slots rise by count.
+    """
+    quotas = durable(quotas, "quotas")
+    sizes = {r["split"]: r["n"] for r in quotas.groupBy("split").agg(F.sum("quota").alias("n")).collect()}
+    slots = reduce(DataFrame.union, [
+        quotas.sparkSession.range(n).select(F.lit(split).alias("split"), F.col("id").alias("slot_no"))
+        for split, n in sorted(sizes.items())], quotas.sparkSession.createDataFrame([], "split string, slot_no bigint"))
+    return seated(slots, quotas, seed, makeup_min)

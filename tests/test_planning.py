@@ -2,10 +2,12 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from boxloom.operators import evaluate, planning, registry as R, runs
-from boxloom.plans.generation import plan_dataset
+from boxloom.plans.generation import plan_by_files, plan_dataset
 from boxloom.sources import training_logs  # noqa: F401
 
 
@@ -128,3 +130,50 @@ def test_run_reports(spark):
     assert [(r.epoch_time, r.best_so_far) for r in got] == [(10, .1), (15, .5), (6, .5), (19, .5)]
     best = runs.best_epochs(df, ["map50"]).first()
     assert (best.epoch, best.value) == (2, .5)
+
+
+def test_seats_by_number_equal_seats_by_sort(spark, monkeypatch):
+    rng = random.Random(9)
+    for case in range(3):
+        counts = spark.createDataFrame(
+            [(s, c, rng.randrange(12), rng.randrange(40)) for s in ("train", "test") for c in range(1 + 17 * case)],
+            "split string, class_id long, n long, total long")
+        slots = spark.createDataFrame([("train", rng.randrange(1, 300)), ("test", 3)], "split string, slots long")
+        quotas = planning.class_quota(counts, slots, "s")
+        got = sorted(planning.class_seats(quotas, "s", makeup_min=7).collect())
+        monkeypatch.setattr(planning, "seat_index", lambda *a: None)
+        want = sorted(planning.class_seats(quotas, "s", makeup_min=7).collect())
+        monkeypatch.undo()
+        assert got == want and len(got) == sum(r.slots for r in slots.collect())
+    assert planning.class_seats(quotas.limit(0), "s").count() == 0
+
+
+def test_drawing_loses_no_row_without_a_pool(spark):
+    rows = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(10)], "id long, k string")
+    pool = spark.createDataFrame([("a", n, f"p{n}", 3) for n in range(3)], "k string, no long, what string, size long")
+    pick = lambda on_miss: planning.draw(rows, pool, ["k"], "no", "size", "s", ["id"], on_miss=on_miss)
+    kept = {r.id: r.what for r in pick("keep").collect()}
+    assert len(kept) == 10 and all((w is None) == (i % 2 == 1) for i, w in kept.items())
+    assert pick("drop").count() == 5
+    with pytest.raises(Exception, match="nothing to draw from"):
+        pick("fail").collect()
+
+
+def test_images_of_a_split_without_templates_are_planned_elsewhere(spark):
+    templates = spark.createDataFrame([("valid", "c"), ("test", "e")], "split string, stem string")
+    boxes = spark.createDataFrame([("valid", "c", i, .1, .2, .3, .4) for i in range(4)] + [("test", "e", 0, .5, .5, .1, .1)],
+                                  "split string, stem string, box_no long, cx double, cy double, w double, h double")
+    registry = spark.createDataFrame([(5, "Ab"), (6, "Cd"), (7, "unused")], "class_id long, name string")
+    files = spark.createDataFrame([("SEA", "Ab_SEA001.png"), ("WTR", "Ab_WTR001.png"), ("SEA", "Cd_SEA002.png"), ("SEA", "Cd.jpg")],
+                                  "set_code string, file string")
+    plan = plan_by_files(planning.split_quota(spark, 60, {}), templates, boxes, registry, files, "s")
+    images, labels = plan.images.collect(), plan.labels.collect()
+    assert sorted(r.image_no for r in images) == list(range(60)) and {r.split for r in images} == {"valid", "test"}
+    size = {r.image_no: 4 if r.template == "c" else 1 for r in images}
+    assert len(labels) == sum(size.values())
+    named = {"Ab_SEA001.png": 5, "Ab_WTR001.png": 5, "Cd_SEA002.png": 6}
+    assert {r.file for r in labels} == set(named) and all(named[r.file] == r.class_id for r in labels)
+    with pytest.raises(ValueError):
+        planning.fallback_splits(plan.images, templates.limit(0))
+    with pytest.raises(Exception, match="unknown class"):
+        plan_by_files(planning.split_quota(spark, 60, {}), templates, boxes, registry.limit(1), files, "s").labels.collect()

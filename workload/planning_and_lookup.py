@@ -120,7 +120,7 @@ def seeded_picks(spark, d):
     named = V.labels(spark, d).select("stem", "box_no", "class_id").join(V.registry(spark, d), "class_id")
     pool = planning.class_files(images.set_images(V.card_files(spark, d)), "s3")
     return planning.draw(named.select("stem", "box_no", "name"), pool, ["name"], "file_no", "files",
-                         "s4", ["stem", "box_no"]).select("stem", "box_no", "name", "set_code", "file")
+                         "s4", ["stem", "box_no"], on_miss="drop").select("stem", "box_no", "name", "set_code", "file")
 
 
 @query(with_views("images", """
@@ -179,6 +179,22 @@ def class_seats(spark, d):
     return planning.class_seats(_class_quota(spark, d), "s6", makeup_min=100)
 
 
+_MANY = _QUOTA.replace(_SLOTS, _SLOTS.replace("2 *", "20 *"))
+
+
+@query(with_views("counts_so_far images", """
+SELECT split, level, class_id, count(*) AS seats, min(slot_no) AS first_slot, sum(slot_no)::bigint AS slots FROM (
+  SELECT split, row_number() OVER (PARTITION BY split ORDER BY level, total,
+           md5('s6|' || split || '|' || cast(class_id AS varchar)), class_id) - 1 AS slot_no, class_id, level
+  FROM (SELECT split, class_id, total, n + unnest(range(0, quota)) AS level FROM quotas WHERE quota > 0)) GROUP BY ALL""", _MANY))
+def seats_at_tenfold(spark, d):
+    """Ten times the slots of ``class_seats``: who sits at each level, and where."""
+    slots = V.images(spark, d).groupBy("split").agg((F.count(F.lit(1)) * 20).alias("slots"))
+    counts = V.counts_so_far(spark, d).select("split", "class_id", "n", "total")
+    return planning.class_seats(planning.class_quota(counts, slots, "s6"), "s6").groupBy("split", "level", "class_id").agg(
+        F.count(F.lit(1)).alias("seats"), F.min("slot_no").alias("first_slot"), F.sum("slot_no").alias("slots"))
+
+
 def _plan(spark, d):
     templates = V.images(spark, d).select("split", "stem")
     boxes = V.labels(spark, d).select("split", "stem", "box_no", "cx", "cy", "w", "h")
@@ -221,6 +237,63 @@ def planned_labels(spark, d):
     return _plan(spark, d).labels
 
 
+_TURNED = """CASE angle WHEN 90 THEN cy WHEN 180 THEN 1 - cx WHEN 270 THEN 1 - cy ELSE cx END AS cx,
+       CASE angle WHEN 90 THEN 1 - cx WHEN 180 THEN 1 - cy WHEN 270 THEN cx ELSE cy END AS cy,
+       CASE WHEN angle IN (90, 270) THEN h ELSE w END AS w, CASE WHEN angle IN (90, 270) THEN w ELSE h END AS h"""
+
+
+@query(with_views("images labels counts_so_far named_files registry", f"""
+SELECT s.image_no, s.split, s.stem, s.box_no, s.class_id, r.name, f.set_code, f.file
+FROM (SELECT * FROM slots JOIN seated USING (split, slot_no)) s JOIN registry r USING (class_id)
+JOIN ({_FILES.replace("'s3|'", "'s9|'")}) f ON f.name = r.name AND f.file_no =
+  ('0x' || substr(md5('s9-file|' || cast(s.image_no AS varchar) || '|' || cast(s.box_no AS varchar)), 1, 8))::bigint % f.files""", _PLAN))
+def planned_label_files(spark, d):
+    """The plan guided by coverage, each label with a card file of its class."""
+    templates = V.images(spark, d).select("split", "stem")
+    boxes = V.labels(spark, d).select("split", "stem", "box_no", "cx", "cy", "w", "h")
+    counts = V.counts_so_far(spark, d).select("split", "class_id", "n", "total")
+    files = images.set_images(V.card_files(spark, d))
+    plan = generation.plan_dataset(_quota(spark, d), templates, boxes, counts, "s9", registry=V.registry(spark, d), files=files)
+    return plan.labels.select("image_no", "split", "stem", "box_no", "class_id", "name", "set_code", "file")
+
+
+_DEFAULT = _SEATS + f""",
+open_images AS (SELECT * FROM images WHERE split <> 'valid'),
+pool AS (
+  SELECT split, stem AS template, row_number() OVER (PARTITION BY split ORDER BY md5('s8|' || stem), stem) - 1 AS template_no,
+         count(*) OVER (PARTITION BY split) AS templates FROM open_images),
+drawn AS (
+  SELECT image_no, p.split, template, (('0x' || substr(md5('s8-turn|' || cast(image_no AS varchar)), 1, 8))::bigint % 4) * 90 AS angle,
+         'synthetic_' || cast(image_no AS varchar) || '_' || substr(md5('s8|' || cast(image_no AS varchar)), 1, 8) || '_' || template AS stem
+  FROM quota q JOIN pool p ON p.split = CASE q.split WHEN 'valid' THEN 'train' ELSE q.split END AND
+    p.template_no = ('0x' || substr(md5('s8-template|' || cast(image_no AS varchar)), 1, 8))::bigint % p.templates),
+every_file AS (SELECT name, set_code, file, row_number() OVER (ORDER BY name, file_no) - 1 AS no FROM ({_FILES.replace("'s3|'", "'s8|'")})),
+filled AS (
+  SELECT i.image_no, i.split, i.stem, l.box_no, angle, l.cx, l.cy, l.w, l.h,
+         ('0x' || substr(md5('s8-file|' || cast(image_no AS varchar) || '|' || cast(box_no AS varchar)), 1, 8))::bigint % (SELECT count(*) FROM every_file) AS no
+  FROM drawn i JOIN labels l ON l.stem = i.template AND l.split = i.split)"""
+
+
+def _plan_by_files(spark, d):
+    """No template in one of the splits: its images take the first split that has some."""
+    templates = V.images(spark, d).where("split <> 'valid'").select("split", "stem")
+    boxes = V.labels(spark, d).select("split", "stem", "box_no", "cx", "cy", "w", "h")
+    files = images.set_images(V.card_files(spark, d))
+    return generation.plan_by_files(_quota(spark, d), templates, boxes, V.registry(spark, d), files, "s8")
+
+
+@query(with_views("images labels named_files", "SELECT image_no, split, template, angle, stem FROM drawn", _DEFAULT))
+def file_planned_images(spark, d):
+    return _plan_by_files(spark, d).images
+
+
+@query(with_views("images labels named_files registry", f"""
+SELECT image_no, split, stem, box_no, class_id, angle, name, set_code, file, {_TURNED}
+FROM filled JOIN every_file USING (no) JOIN registry USING (name)""", _DEFAULT))
+def file_planned_labels(spark, d):
+    return _plan_by_files(spark, d).labels
+
+
 # --- lookups --------------------------------------------------------------------------------------
 
 _URLS = """
