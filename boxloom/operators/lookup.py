@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from boxloom.functions.geometry import box, contains
 from boxloom.functions.names import exact_key, loose_key, search_key
-from boxloom.plans.running import Running, running
+from boxloom.plans.running import VALUE_ROWS, Running, running, value_bucket
 from boxloom.plans.skew import join_on
+from boxloom.session import durable
 
 
 def url_tables(cards: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -51,11 +52,13 @@ def urls_by_id(ids: DataFrame, printings: DataFrame) -> DataFrame:
 
 
 def last_known(events: DataFrame, readings: DataFrame, session: str, ts: str,
-               values: dict[str, object], width_s: int = 3600, tie: str = "event_id") -> DataFrame:
+               values: dict[str, object], tie: str = "event_id", rows: int = VALUE_ROWS) -> DataFrame:
     """``events`` with the latest reading at or before their time; defaults before the first.
 
-    ``values`` maps reading columns to defaults. Both inputs run together in time order,
-    cut into time buckets, so a busy session is spread over its buckets.
+    ``values`` maps reading columns to defaults. Both inputs run together in time order, cut into
+    buckets at times taken from the data, about ``rows`` rows each, so a session is spread however
+    many of its rows fall into a short time. They are written once, since times and rows are read
+    apart.
     """
     names = list(values)
     carried = F.struct(*[F.col(n) for n in names])
@@ -65,7 +68,8 @@ def last_known(events: DataFrame, readings: DataFrame, session: str, ts: str,
             readings.select(session, ts, F.lit(0).alias("_kind"), F.col(tie).cast("bigint").alias("_tie"),
                             carried.alias("_seen")),
             allowMissingColumns=True)
-    bucket = F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / width_s)
+    both = durable(both, "in-time-order")
+    bucket = value_bucket(both, F.col(ts).cast("timestamp").cast("double"), rows)
     ran = running(both, [session], bucket, [F.col(ts), F.col("_kind"), F.col("_tie")],
                   _now=Running("last", F.col("_seen")))
     return ran.filter(F.col("_kind") == 1).select(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from boxloom.operators.lookup import last_known, urls_by_name
 from boxloom.plans.skew import join_on
 from boxloom.session import scratch_path
-from boxloom.streaming import counting, live, scoring
+from boxloom.streaming import counting, frames, live, ordered, scoring
 from boxloom.streaming.drain import drain, use_rocksdb
 from workload import views as V
 from workload.stand_ins import failing_stand_in, stand_in
@@ -29,9 +29,9 @@ def live_frames(spark, d):
 def _stream(spark, d):
     """The frames as a stream of files."""
     path = scratch_path(spark, "frames")
-    frames = live_frames(spark, d)
-    frames.write.parquet(path)
-    return spark.readStream.schema(frames.schema).parquet(path)
+    rows = live_frames(spark, d)
+    rows.write.parquet(path)
+    return spark.readStream.schema(rows.schema).parquet(path)
 
 
 _SHOWN = (
@@ -118,6 +118,67 @@ def overlay_memory(spark, d):
     return drain(live.remember_overlay(frames, live.OverlayMemory(ids, V.WIDTH, V.HEIGHT)), "overlay")
 
 
+def _written_stream(spark, rows, label):
+    """Rows in an order that has nothing to do with their time, as a stream of files."""
+    path = scratch_path(spark, label)
+    rows.orderBy(F.xxhash64(*rows.columns[:3])).write.parquet(path)
+    return spark.readStream.schema(rows.schema).parquet(path)
+
+
+def _with_end(rows, delay: str):
+    """A last row, of no session that has others, which lets the watermark pass all of them."""
+    last = rows.agg((F.max("ts") + F.expr(f"INTERVAL {delay}") * 2).alias("ts"))
+    return rows.unionByName(last.withColumn("session_id", F.lit(-1).cast("bigint")), allowMissingColumns=True)
+
+
+_DELAY = "400 DAYS"
+
+
+@query(with_views("boxes pointed registry printings", """
+SELECT session_id, frame_no, n_seen, n_hidden, box_no, class_id, CASE WHEN fresh THEN rx END AS overlay_x,
+       CASE WHEN fresh THEN ry END AS overlay_y, 0::bigint AS late FROM memory WHERE rn > 0""", _MEMORY))
+def overlay_of_shuffled_frames(spark, d):
+    """``overlay_memory`` over frames that arrive in any order: they wait for the watermark."""
+    use_rocksdb(spark)
+    linked = urls_by_name(V.registry(spark, d), V.catalog(spark, d)).filter(F.col("image_url").isNotNull())
+    if linked.limit(live.MAX_PREVIEW_CLASSES + 1).count() > live.MAX_PREVIEW_CLASSES:
+        raise ValueError("too many classes to send to every task")
+    ids = frozenset(r["class_id"] for r in linked.select("class_id").collect())
+    frames = _written_stream(spark, _with_end(live_frames(spark, d), _DELAY), "shuffled")
+    shown = frames.withColumn("shown", live.frame_boxes(F.col("boxes"), V.WIDTH, V.HEIGHT))
+    return drain(ordered.overlay_in_order(shown, live.OverlayMemory(ids, V.WIDTH, V.HEIGHT), _DELAY), "overlay")
+
+
+@query(with_views("pointed", "SELECT session_id, frame_no, px, py FROM pointed"))
+def streamed_pointer_at_frame(spark, d):
+    """The as-of pointer from a stream of pointer events and one of frames."""
+    use_rocksdb(spark)
+    frames = _with_end(V.frames(spark, d).select("session_id", "frame_no", "ts"), _DELAY)
+    pointers = _with_end(V.pointer(spark, d), _DELAY)
+    return drain(ordered.pointer_at_frames(
+        _written_stream(spark, frames, "frames"), _written_stream(spark, pointers, "pointer"), _DELAY), "pointed")
+
+
+@query(with_views("boxes frames", """
+SELECT session_id, frame_no, ts, true AS complete, count(box) AS n_boxes, coalesce(sum(box), 0)::bigint AS box_sum,
+       coalesce(sum(x2 - x1), 0)::double AS widths FROM frames LEFT JOIN (SELECT img, box % 1000000007 AS box, x1, x2 FROM boxes) USING (img) GROUP BY ALL"""))
+def assembled_frames(spark, d):
+    """Frames from detection rows and heartbeats; some frames have no boxes."""
+    use_rocksdb(spark)
+    shown = V.frames(spark, d)
+    found = V.boxes(spark, d).select("img", (F.col("box") % 1000000007).alias("box_no"), (F.col("cls") % 70).alias("class_id"),
+                                     (F.col("score") / 1000).alias("score"), *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    sizes = found.groupBy("img").agg(F.count(F.lit(1)).alias("n_boxes"))
+    beats = join_on(shown, sizes, ["img"], "left").select("session_id", "frame_no", "ts", F.coalesce("n_boxes", F.lit(0)).alias("n_boxes"))
+    rows = join_on(shown, found, ["img"]).drop("img")
+    out = drain(frames.assemble_frames(
+        _written_stream(spark, rows, "detections"), _written_stream(spark, beats, "heartbeats"), _DELAY), "assembled")
+    summed = lambda of: F.aggregate(F.transform("boxes", of), F.lit(0.0), lambda a, b: a + b)
+    return out.select("session_id", "frame_no", "ts", "complete", F.size("boxes").cast("bigint").alias("n_boxes"),
+                      summed(lambda b: b["box_no"].cast("double")).cast("bigint").alias("box_sum"),
+                      summed(lambda b: b["x2"] - b["x1"]).alias("widths"))
+
+
 @query(with_views("label_counts", "SELECT split, class_id, n FROM label_counts"))
 def streamed_coverage(spark, d):
     """Label counts kept by a stream over the label source."""
