@@ -10,7 +10,7 @@ from boxloom.session import scratch_path
 from boxloom.streaming import counting, frames, live, ordered, scoring
 from boxloom.streaming.drain import drain, use_rocksdb
 from workload import views as V
-from workload.stand_ins import failing_stand_in, stand_in
+from workload.stand_ins import batched, failing_stand_in, stand_in
 from workload.register import query
 from workload.planning_and_lookup import _URLS
 from workload.views import greedy_sql, with_views
@@ -215,3 +215,14 @@ def scored_images(spark, d):
 @query(_SCORED + " AND n % 10 <> 3")
 def scored_despite_failures(spark, d):
     return scoring.score(_contents(spark, d), failing_stand_in, on_error="empty")
+
+
+@query(_SCORED)
+def scored_in_batches(spark, d):
+    return scoring.score_batches(_contents(spark, d), batched(stand_in))
+
+
+@query(_SCORED + " AND n % 10 <> 3")
+def batches_despite_failures(spark, d):
+    """Every batch with a bad image fails; the others of the batch are scored."""
+    return scoring.score_batches(_contents(spark, d), batched(failing_stand_in), on_error="empty")

@@ -31,3 +31,12 @@ def failing_stand_in():
         return predict(content)
 
     return sometimes
+
+
+def batched(make):
+    """The same for a list of contents at a time."""
+    def load():
+        predict = make()
+        return lambda contents: [predict(c) for c in contents]
+
+    return load
