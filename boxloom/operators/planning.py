@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.functions.names import canonical_name, digest, digest_number
+from boxloom.functions.names import canonical_name, digest, digest_number, image_file_name
 from boxloom.operators.seats import SeatIndex, with_seats
 from boxloom.plans.running import Running, hash_bucket, number_rows, running
 from boxloom.plans.skew import join_on
@@ -110,6 +110,17 @@ def first_usable_printing(printings: DataFrame, set_id: str, usable: Column | No
         "card_no", "_p.*")
 
 
+def download_list(printings: DataFrame, set_id: str, present: DataFrame) -> DataFrame:
+    """(card_no, name, id, image_url, file) of the card images of a set that have to be fetched.
+
+    A card needs one image: that of its first printing in the set that has a URL. Where the file of
+    that printing is ``present`` (file), the card is done.
+    """
+    first = first_usable_printing(printings, set_id)
+    wanted = first.select("card_no", "name", "id", "image_url", image_file_name(F.col("name"), F.col("id")).alias("file"))
+    return pending_files(wanted, present)
+
+
 def class_files(files: DataFrame, seed: str) -> DataFrame:
     """Files (set_code, file) of each class, numbered from 0 in seeded order, with their count.
 

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxloom.functions.geometry import Box, box, overlaps_more
 from boxloom.operators.overlap import tiled_pairs
+from boxloom.plans.running import value_bucket
 from boxloom.plans.skew import join_on, split_hot, top_k
-from boxloom.session import durable
+from boxloom.session import drop_tables, durable
 
 GROUP_LIMIT = 2_000
 _CHUNK = 500
 _SALTS = 64
+#: Boxes of a block of neighbours that one task decides together.
+_BLOCK = 2_048
 
 
 def _row(order: list[Column], columns: list[str]) -> Column:
@@ -100,14 +105,46 @@ def _peel(hot: DataFrame, keys: list[str], order: list[Column], threshold: float
     return reduce(DataFrame.unionByName, parts) if parts else left
 
 
+def _blocks(rows: DataFrame, keys: list[str]) -> Column:
+    """A block of neighbouring boxes for each row: strips of the canvas, cut along the strip.
+
+    Block bounds follow the boxes, so a block holds about ``_BLOCK`` of them wherever they crowd.
+    """
+    low = rows.agg(*[F.min(c).alias(c) for c in ("x1", "y1")], F.max("x1").alias("right"), F.max("y1").alias("down"),
+                   F.count(F.lit(1)).alias("n")).first()
+    groups = rows.select(*keys).distinct().count()
+    strips = max(1, round((low["n"] / max(1, groups) / _BLOCK) ** 0.5))
+    height = max((low["down"] - low["y1"]) / strips, 1e-9)
+    wide = float(low["right"] - low["x1"]) + 1.0
+    along = F.floor((F.col("y1") - low["y1"]) / height) * wide + (F.col("x1") - low["x1"])
+    return value_bucket(rows, along, rows=_BLOCK)
+
+
+def _fold_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Decides the boxes of a block in order: kept, gone, or waiting for a box of another block.
+
+    A box goes with the first kept box over it, and stays once all better boxes over it are gone.
+    """
+    for batch in batches:
+        for ids, overs in zip(batch.column(0), batch.column(1)):
+            state: dict[int, str] = {}
+            for i, over in zip(ids.as_py(), overs.as_py()):
+                met = {state.get(k, "open") for k in over or ()}
+                state[i] = "gone" if "kept" in met else "open" if "open" in met else "kept"
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(state), pa.int64()), pa.array(list(state.values()), pa.string())], names=["_id", "_state"])
+
+
 def _by_pairs(df: DataFrame, keys: list[str], order: list[Column], threshold: float) -> DataFrame:
     """Greedy removal on overlapping pairs: which box suppresses which is found once, on a grid.
 
-    In each round a box stays if no undecided better box overlaps it, and boxes that a kept
-    one overlaps go. A round settles all boxes at the head of a chain, so there are as many
-    rounds as the longest chain of falling overlapping boxes has links.
+    Boxes are dealt into blocks of neighbours. In each round a block decides all its boxes but those
+    that wait for a better box of another block, so there are as many rounds as a chain of
+    overlapping boxes crosses blocks, however many boxes it has.
     """
     rows = durable(df.withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    if rows.isEmpty():
+        return df
     rank = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
     pairs = tiled_pairs(rows, rows, keys, "_id", "_id", once=True).where(
         (F.col("joint") > 0) & (F.col("overlap") > 0)).select("a", "b")
@@ -120,18 +157,26 @@ def _by_pairs(df: DataFrame, keys: list[str], order: list[Column], threshold: fl
     edges = durable(pairs.where(over).select(
         F.when(first, F.col("a")).otherwise(F.col("b")).alias("better"),
         F.when(first, F.col("b")).otherwise(F.col("a")).alias("worse")), "suppressing")
-    open_ids = durable(rows.select("_id"), "open")
+    undecided = durable(rows.select("_id", F.struct(*keys, _blocks(rows, keys).alias("_b")).alias("_block"), rank.alias("_rank")), "open")
     kept: list[DataFrame] = []
-    while not open_ids.isEmpty():
-        free = durable(open_ids.join(edges.select(F.col("worse").alias("_id")), "_id", "left_anti"), "kept")
+    while not undecided.isEmpty():
+        above = edges.groupBy(F.col("worse").alias("_id")).agg(F.collect_list("better").alias("_over"))
+        told = undecided.join(above, "_id", "left")
+        # One array per block, in order; a block is bounded.
+        listed = told.groupBy("_block").agg(F.sort_array(F.collect_list(F.struct("_rank", "_id", "_over"))).alias("_l"))
+        decided = durable(listed.select(F.col("_l._id").alias("_id"), F.col("_l._over").alias("_over")).mapInArrow(
+            _fold_blocks, "_id bigint, _state string"), "decided")
+        free = decided.where("_state = 'kept'").select("_id")
         kept.append(free)
-        gone = edges.join(free.select(F.col("_id").alias("better")), "better").select(F.col("worse").alias("_id")).distinct()
-        open_ids = durable(open_ids.join(free, "_id", "left_anti").join(gone, "_id", "left_anti"), "open")
+        # Boxes of other blocks under a kept one go too.
+        gone = decided.where("_state = 'gone'").select("_id").union(
+            edges.join(free.select(F.col("_id").alias("better")), "better").select(F.col("worse").alias("_id"))).distinct()
+        left = durable(undecided.join(free, "_id", "left_anti").join(gone, "_id", "left_anti"), "open")
         # Suppressed boxes suppress nothing.
-        edges = durable(edges.join(open_ids.select(F.col("_id").alias("better")), "better", "left_semi")
-                        .join(open_ids.select(F.col("_id").alias("worse")), "worse", "left_semi"), "suppressing")
-    if not kept:
-        return rows.drop("_id")
+        rest = durable(edges.join(left.select(F.col("_id").alias("better")), "better", "left_semi")
+                       .join(left.select(F.col("_id").alias("worse")), "worse", "left_semi"), "suppressing")
+        drop_tables(undecided, edges)
+        undecided, edges = left, rest
     return rows.join(reduce(DataFrame.unionByName, kept), "_id", "left_semi").drop("_id")
 
 

@@ -263,3 +263,35 @@ def test_value_buckets_follow_the_rows_and_rise_with_the_value(spark):
     assert [b for *_, b in by] == sorted(b for *_, b in by) and by[0][2] == -1
     assert 12 <= len({r.b for r in got if r.v is not None}) <= 20
     assert df.select(value_bucket(df, F.col("v"), rows=5_000).alias("b")).distinct().count() == 1
+
+
+def test_a_chain_takes_rounds_by_blocks_not_by_links(spark, monkeypatch):
+    from boxloom.operators import suppress
+    labels = []
+    plain = suppress.durable
+    monkeypatch.setattr(suppress, "durable", lambda df, label: labels.append(label) or plain(df, label))
+    chain = [(1, i, 20_000 - i, 60 * i, 0, 60 * i + 100, 50) for i in range(10_000)]
+    kept = suppress._by_pairs(spark.createDataFrame(chain, SCHEMA), ["img"], BY_SCORE(), 0.2)
+    assert {r.box for r in kept.collect()} == set(range(0, 10_000, 2))
+    assert labels.count("decided") < 20
+
+
+def test_the_query_on_crowded_canvases_equals_a_plain_loop(spark):
+    import numpy as np
+
+    import __spark_entry__ as entry
+    from workload import views as V
+
+    sf = "/root/testdata/sf0.001"
+    rows = V.crowded(spark, sf).select("img", "box", "score", "x1", "y1", "x2", "y2").toPandas()
+    want = set()
+    for img, page in rows.sort_values(["score", "box"], ascending=[False, True]).groupby("img"):
+        kept = np.zeros((0, 4))
+        for box, corners in zip(page["box"], page[["x1", "y1", "x2", "y2"]].to_numpy(float)):
+            wide = np.minimum(kept[:, 2:], corners[2:]) - np.maximum(kept[:, :2], corners[:2])
+            both = np.clip(wide, 0, None).prod(axis=1)
+            joint = (kept[:, 2:] - kept[:, :2]).prod(axis=1) + (corners[2:] - corners[:2]).prod() - both
+            if not (both * 4 > joint).any():
+                kept = np.vstack([kept, corners])
+                want.add((img, box))
+    assert {(r.img, r.box) for r in entry.queries()["crowded_slots"](spark, sf).collect()} == want

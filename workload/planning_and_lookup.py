@@ -136,6 +136,17 @@ def first_usable_printings(spark, d):
     return planning.first_usable_printing(catalog.printings(V.catalog(spark, d)), "hvy")
 
 
+@query(with_views("printings named_files", """
+SELECT card_no, name, id, image_url, file FROM (
+  SELECT *, row_number() OVER (PARTITION BY card_no ORDER BY pos) AS rn,
+         regexp_replace(replace(name, ' ', '_'), '[^A-Za-z0-9_-]', '', 'g') || '_' || id || '.png' AS file
+  FROM printings WHERE set_id = 'HVY' AND image_url IS NOT NULL)
+WHERE rn = 1 AND file NOT IN (SELECT file FROM named_files)"""))
+def download_list(spark, d):
+    """The images of one set that are still to be fetched."""
+    return planning.download_list(catalog.printings(V.catalog(spark, d)), "hvy", _present(spark, d))
+
+
 # --- class planning ------------------------------------------------------------------------------
 
 @query(with_views("counts_so_far", """
