@@ -1,11 +1,14 @@
 """HTML extraction by tree scoring.
 
-A page is read into a tree of blocks. Elements that hold no article text (menus, page headers,
-footers, sidebars, notices, adverts, forms, scripts, styles, reader comments; by tag, role or
-class words) are dropped. Every paragraph gives points for its length and commas to its parent,
-half of them to the next ancestor and a third to the one above; an ancestor's points are
-discounted by its link density. The best container and those of its siblings that score like it
-or read like prose are kept, and all their blocks are the text.
+A page is read into a tree of blocks. Elements that hold no article text by their tag, or that are
+hidden, are left out. Elements whose class, id or role names page furniture (menus, headers,
+footers, sidebars, notices, adverts, reader comments) are left out unless they hold most of the
+page's paragraph points, in which case the name was misleading. Words that state how a page is
+laid out (no-sidebar, comments-open) name nothing. Every paragraph gives points for its length
+and commas to its parent, half of them to the next ancestor and a third to the one above; an
+ancestor's points are discounted by its link density. The best container and those of its
+siblings that score like it, read like prose, lead in, or stand between kept ones are kept, and
+all their blocks are the text.
 
 Text inside a block has its white space turned into one space; blocks are joined by an empty
 line, in page order. Defined results: a null or empty page, or one without any text outside the
@@ -22,9 +25,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[A-Za-z](?:[^>\"']++|\"[^\"]*\"|'[^']*')*+(?:>|\Z)|<|[^<]+", re.S)
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[A-Za-z](?:=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>]*+)|[^=>]++)*+(?:>|\Z)|<|[^<]+", re.S)
 TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)")
-ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 SPACE = re.compile(r"[\s ]+")
 
 #: Elements whose content is characters, not markup, up to their own end tag.
@@ -37,13 +42,24 @@ DROPPED = RAW | {"noscript", "template", "svg", "math", "nav", "footer", "aside"
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font",
           "i", "img", "ins", "kbd", "mark", "q", "ruby", "rt", "s", "samp", "small", "span", "strike", "strong",
           "sub", "sup", "time", "tt", "u", "var", "wbr"}
-#: Words in class, id or role that name page furniture, and those that name the article.
-FURNITURE = set("""ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments
-    comment-list contentinfo cookie cookies complementary consent dialog disqus disclaimer footer header menu modal
-    nav navbar navigation newsletter notice notices alert pagination pager popup promo promotion related respond replies
-    reply share sharing shares sidebar site-header site-footer skip social sponsor sponsored subscribe tags toolbar
-    widget widgets masthead search login signup""".split())
+#: Dropped elements that stand inside a paragraph without ending it.
+WITHIN = {"script", "style", "template", "noscript", "button", "label", "select", "option", "input", "textarea", "iframe", "object",
+          "applet", "svg", "math", "canvas", "audio", "video"}
+#: Words that name reader comments, and other page furniture, where a class, id or role begins or ends with them.
+COMMENTS = set("comment comments comment-list discussion discussions disqus replies reply respond".split())
+FURNITURE = COMMENTS | set("""ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs
+    contentinfo cookie cookies complementary consent dialog disclaimer footer header menu modal nav navbar navigation
+    newsletter notice notices alert pagination pager popup promo promotion related share sharing shares sidebar
+    site-header site-footer skip social sponsor sponsored subscribe tags toolbar widget widgets masthead search login
+    signup""".split())
 ARTICLE = set("article body content entry main post story text".split())
+#: Words of what leads into an article.
+LEAD = set("abstract dek intro introduction lead lede standfirst subtitle summary teaser".split())
+#: A name with one of the first, or that ends in one of the second, states how a page is laid out.
+STATES = set("has no not with without".split())
+SETTINGS = set("active allowed closed collapsed disabled enabled expanded inactive loaded off on open opened required visible".split())
+#: Share of the page's paragraph points from which an element of a misleading name is kept.
+MOST, MOST_COMMENTS = 0.5, 0.9
 #: A start tag of the key's group ends an open element of the same group.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}}
@@ -54,11 +70,13 @@ ENDS_P = set("""address article aside blockquote center details dialog dir div d
 P_SCOPES = {"applet", "button", "caption", "object", "svg", "math", "table", "td", "template", "th"}
 #: End tags inside do not end an element outside.
 SEALED = {"applet", "object", "template"}
+#: Siblings of the article's container that go on with it, however short.
+LISTS = {"ul", "ol", "dl", "table", "pre", "blockquote", "figure"}
 SCOPES = {"ul", "ol", "dl", "table", "body", "article", "section", "main", "div"}
 
 
 class Element:
-    __slots__ = ("tag", "parent", "children", "points", "names", "block", "inside", "dropped")
+    __slots__ = ("tag", "parent", "children", "points", "names", "block", "inside", "dropped", "suspect")
 
     def __init__(self, tag: str, parent: Element | None, names: set[str]):
         self.tag, self.parent, self.names = tag, parent, names
@@ -66,27 +84,52 @@ class Element:
         self.points = 0.0
         self.block = tag not in INLINE
         self.dropped = parent is not None and parent.dropped
-        self.inside = tag in ("article", "main") or bool(names & ARTICLE) or parent is not None and parent.inside
+        #: Least share of the page's points with which the element is no furniture; 0 if it is none.
+        self.suspect = 0.0
+        self.inside = tag in ("article", "main") or bool(words_of(names) & ARTICLE) or parent is not None and parent.inside
 
 
-def _names(tag: str) -> set[str]:
+def words_of(names: set[str]) -> set[str]:
+    return {w for n in names for w in re.split(r"[_-]+", re.sub(r"[0-9]+", "", n)) if w}
+
+
+def _attributes(tag: str) -> tuple[set[str], bool]:
+    """Names in class, id and role, and whether the element is hidden."""
+    names: set[str] = set()
+    hidden = False
+    head = TAG.match(tag)
+    for m in ATTRIBUTE.finditer(tag, head.end() if head else 0):
+        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if key in ("class", "id", "role"):
+            names.update(value.split())
+        hidden |= key == "hidden" and value != "false" or key == "aria-hidden" and value == "true" or key == "style" and bool(HIDING.search(value))
+    return names, hidden or "hidden" in names
+
+
+def _named_furniture(names: set[str]) -> set[str]:
+    """The furniture that names speak of: whole names, or their first or last word."""
     found: set[str] = set()
-    for m in ATTRIBUTE.finditer(tag):
-        if m[1].lower() in ("class", "id", "role"):
-            value = (m[2] or m[3] or m[4] or "").lower()
-            found.update(value.split())
-            found.update(x for x in re.split(r"[\s_-]+", re.sub(r"[0-9]+", "", value)) if x)
+    for name in names:
+        words = [w for w in re.split(r"[_-]+", re.sub(r"[0-9]+", "", name)) if w]
+        if not words or words[-1] in SETTINGS or STATES & set(words):
+            continue
+        ends = {words[0], words[-1], "-".join(words)} & FURNITURE
+        if words[-1] == "header" and words[0] in ARTICLE:
+            ends.discard("header")  # the head of the article
+        found |= ends
     return found
 
 
-def _furniture(tag: str, names: set[str], inside_article: bool) -> bool:
-    if tag in DROPPED or "hidden" in names:
-        return True
-    if tag == "header" and not inside_article:
-        return True
+def _suspicion(tag: str, names: set[str]) -> float:
+    """The share of points below which an element of these names is furniture; 0 for none."""
     if tag in ("body", "html", "article", "main") or tag in INLINE and tag not in ("a", "span", "small"):
-        return False
-    return bool(names & FURNITURE) and not names & ARTICLE or bool(names & {"comment", "comments", "sidebar", "advert"})
+        return 0.0
+    found = _named_furniture(names)
+    return 0.0 if not found else MOST_COMMENTS if found & COMMENTS else MOST
+
+
+def _left_out(tag: str, inside_article: bool) -> bool:
+    return tag in DROPPED or tag == "header" and not inside_article
 
 
 def read_tree(page: str) -> Element:
@@ -120,8 +163,8 @@ def read_tree(page: str) -> Element:
         if name in RAW and not token.endswith("/>"):
             end = RAW_END[name].search(page, at)
             at = end.end() if end else len(page)
-        names = _names(token) if "=" in token and not here.dropped else set()
-        if name not in INLINE:
+        names, hidden = _attributes(token) if not here.dropped else (set(), False)
+        if name not in INLINE and name not in WITHIN:
             up = here
             # A block ends the open paragraph.
             while up.tag in INLINE or up.tag == "p" or up.dropped and up.tag not in P_SCOPES:
@@ -139,9 +182,13 @@ def read_tree(page: str) -> Element:
                         here = up.parent
                     up = up.parent
         node = Element(name, here, names)
-        node.dropped = here.dropped or _furniture(name, names, here.inside)
+        doubt = 0.0 if here.dropped else _suspicion(name, names)
+        node.dropped = here.dropped or hidden or _left_out(name, here.inside) or doubt > 0 and not node.block
         if not node.dropped:
+            node.suspect = doubt
             here.children.append(node)
+        elif not here.dropped and name in ENDS_P:
+            here.children.append(Element("hr", here, set()))
         if name not in VOID and name not in RAW and not token.endswith("/>"):
             here = node
     return root
@@ -194,10 +241,32 @@ def blocks(node: Element) -> list[tuple[Element, str, int]]:
     return out
 
 
+def points_of(text: str) -> float:
+    return 1 + text.count(",") + text.count("、") + text.count("，") + min(len(text) / 100, 3.0)
+
+
+def without_furniture(found: list[tuple[Element, str, int]]) -> list[tuple[Element, str, int]]:
+    """Blocks outside elements whose names say furniture, but for those that hold most of the points."""
+    held: dict[int, float] = {}
+    above: list[list[Element]] = []
+    total = 0.0
+    for owner, text, linked in found:
+        points = points_of(text) * (1 - linked / len(text))
+        total += points
+        doubtful, up = [], owner
+        while up is not None:
+            if up.suspect:
+                doubtful.append(up)
+                held[id(up)] = held.get(id(up), 0.0) + points
+            up = up.parent
+        above.append(doubtful)
+    return [b for b, doubtful in zip(found, above) if all(held[id(e)] > e.suspect * total for e in doubtful)]
+
+
 def main_text(page: str) -> str:
     """The article's blocks, joined by an empty line."""
     root = read_tree(page)
-    found = blocks(root)
+    found = without_furniture(blocks(root))
     if not found:
         return ""
     total: dict[int, list[int]] = {}
@@ -209,7 +278,7 @@ def main_text(page: str) -> str:
             sums[0] += len(text)
             sums[1] += linked
             up = up.parent
-        points = 1 + text.count(",") + text.count("、") + text.count("，") + min(len(text) / 100, 3.0)
+        points = points_of(text)
         paragraph = owner.tag in ("p", "pre", "blockquote", "li", "td", "dd") or owner.tag[0] == "h" and owner.tag[1:].isdigit()
         up = owner.parent if paragraph and owner.parent is not None else owner
         for share in (1, 2, 3):
@@ -217,7 +286,7 @@ def main_text(page: str) -> str:
                 break
             if id(up) not in scored:
                 scored[id(up)] = up
-                if up.tag in ("article", "main") or up.names & ARTICLE:
+                if up.tag in ("article", "main") or words_of(up.names) & ARTICLE:
                     up.points += 25
             up.points += points / share
             up = up.parent
@@ -231,17 +300,20 @@ def main_text(page: str) -> str:
     kept = {id(best)}
     if best.parent is not None:
         least = max(10.0, 0.2 * final[id(best)])
-        for child in best.parent.children:
-            if isinstance(child, str) or child is best:
-                continue
-            own = final.get(id(child), 0.0)
-            if best.names and best.names == child.names:
-                own += 0.2 * final[id(best)]
+        siblings = [c for c in best.parent.children if isinstance(c, Element)]
+        plain = []
+        for at, child in enumerate(siblings):
             size, linked = total.get(id(child), (0, 0))
-            prose = child.tag == "p" and (size > 80 and density(child) < 0.25 or 0 < size and not linked)
+            calm = size > 0 and density(child) < 0.25
+            prose = child.tag == "p" and (size > 80 and calm or 0 < size and not linked)
             heading = child.tag[0] == "h" and child.tag[1:].isdigit()
-            if own >= least or prose or heading:
+            like = bool(best.names) and best.names == child.names or bool(words_of(child.names) & LEAD) or child.tag in LISTS
+            if final.get(id(child), 0.0) >= least or prose or heading or calm and like:
                 kept.add(id(child))
+            elif calm:
+                plain.append(at)
+        places = [at for at, child in enumerate(siblings) if id(child) in kept]
+        kept.update(id(siblings[at]) for at in plain if places[0] < at < places[-1])
 
     def inside(e: Element | None) -> bool:
         while e is not None:

@@ -75,3 +75,51 @@ def test_open_furniture_ends_where_html_says():
     assert main_text(f"<article><table><tr class=ad><td>x<tr><td class=ad>y<td>{PROSE}</table></article>") == PROSE
     assert main_text(f"<article><div><nav><ul><li><a href=x>menu</a></div><p>{PROSE}</p></article>") == PROSE
     assert main_text(f"<article><nav><p>a<nav>b</nav><p>c</nav><p>{PROSE}</p></article>") == PROSE
+
+
+FOUR = "".join(f"<p>{PROSE}</p>" for _ in range(4))
+WHOLE = "\n\n".join([PROSE] * 4)
+
+
+def test_names_that_state_a_layout_lose_no_article():
+    for name in ("content-wrap no-sidebar", "page has-sidebar", "post comments-open", "layout-with-sidebar", "sidebar", "widget", "menu-enabled"):
+        assert main_text(f'<body><div class="{name}">{FOUR}</div><div class="footer"><p>Us.</p></div></body>') == WHOLE, name
+
+
+def test_furniture_beside_an_article_word_goes():
+    for name in ("main-nav", "main-menu", "article-share", "post-tags", "discussion", "comment-body", "sidebar-content", "entry-footer"):
+        assert main_text(f'<div class="post">{FOUR}<div class="{name}"><p>Words, more of them, here.</p></div></div>') == WHOLE, name
+    assert main_text(f'<div class=post><div class="post-header"><h1>Head</h1></div>{FOUR}</div>') == f"Head\n\n{WHOLE}"
+
+
+def test_long_comments_do_not_replace_the_article():
+    remarks = f"<div class=comments>{FOUR}{FOUR}</div>"
+    assert main_text(f"<article>{FOUR}</article>{remarks}") == WHOLE
+    assert main_text(f"<div>{FOUR}</div>{remarks}") == WHOLE
+
+
+def test_hidden_elements_go():
+    for tag in ("<div hidden>", '<div style="display: none">', "<div aria-hidden=true>", '<p class="hidden">', "<section style='visibility:hidden'>"):
+        name = tag[1:].split()[0].rstrip(">")
+        assert main_text(f"<article>{FOUR}{tag}Not, to be, seen.</{name}></article>") == WHOLE, tag
+
+
+def test_short_siblings_of_the_article_stay():
+    for before, after, want in (
+            ("<div class=lead>In short.</div>", "", f"In short.\n\n{WHOLE}"), ("", "<ul><li>one<li>two</ul>", f"{WHOLE}\n\none\n\ntwo"),
+            ("", "<div class=b><p>A short last word.</p></div>", f"{WHOLE}\n\nA short last word.")):
+        assert main_text(f"<body>{before}<div class=b>{FOUR}</div>{after}</body>") == want
+    between = f"<div class=b>{FOUR}</div><div class=x>So far.</div><div class=b>{FOUR}</div>"
+    assert main_text(f"<body>{between}</body>") == f"{WHOLE}\n\nSo far.\n\n{WHOLE}"
+
+
+def test_quotes_in_values_and_controls_in_paragraphs():
+    assert main_text(f"<div><p title=it's>{PROSE}</p><p id=\"a>b\" title='x>y'>{PROSE}</p></div>") == f"{PROSE}\n\n{PROSE}"
+    assert main_text(f"<div><p>{PROSE} <button>Press</button> and <label>name</label> go on.</p></div>") == f"{PROSE} and go on."
+    assert main_text(f"<article>One part<nav>menu</nav>another part<p>{PROSE}</p></article>") == f"One part\n\nanother part\n\n{PROSE}"
+
+
+def test_columns_named_like_the_result(spark):
+    df = spark.createDataFrame([(1, "u", f"<article>{FOUR}</article>", "old", 3)], "page_id long, url string, html string, text string, n_chars long")
+    row = extract(df).first()
+    assert (row["text"], row["n_chars"], row["url"]) == (WHOLE, len(WHOLE), "u")
