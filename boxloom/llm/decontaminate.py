@@ -10,8 +10,9 @@ Items are taken in blocks of at most ``ITEM_BYTES``, which bounds what tasks are
 items mean more passes.
 
 Defined results: null or empty texts and items, and items without any word, match nothing;
-texts of any length are searched whole; each place is reported once per item, with its best
-distance (of equal ones the first end, then the latest start); equal items are reported each;
+texts of any length are searched whole; occurrences of an item that do not overlap are reported
+each, from left to right, with the best distance there (of equal ones the first end, then the
+latest start); equal items are reported each;
 offsets are code points of the original text, ends exclusive; other columns pass through.
 """
 
@@ -45,8 +46,8 @@ def pieces(item: str) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
-def best_end(pattern: str, text: str, most: int) -> tuple[int, int] | None:
-    """(distance, end) of the best occurrence of ``pattern`` in ``text`` with at most ``most`` edits.
+def distances(pattern: str, text: str) -> Iterator[int]:
+    """Least edit distance of ``pattern`` to a part of ``text`` that ends at each of its characters.
 
     Myers' algorithm: a column of the distance matrix as two bit vectors of its differences.
     """
@@ -56,8 +57,7 @@ def best_end(pattern: str, text: str, most: int) -> tuple[int, int] | None:
     for i, c in enumerate(pattern):
         where[c] = where.get(c, 0) | 1 << i
     up, down, score = full, 0, m
-    best: tuple[int, int] | None = None
-    for j, c in enumerate(text):
+    for c in text:
         match = where.get(c, 0)
         diagonal = ((((match & up) + up) ^ up) | match | down) & full
         rise = down | full & ~(diagonal | up)
@@ -69,9 +69,36 @@ def best_end(pattern: str, text: str, most: int) -> tuple[int, int] | None:
         rise, fall = rise << 1 & full, fall << 1 & full
         up = fall | full & ~(diagonal | rise)
         down = rise & diagonal
-        if score <= most and (best is None or score < best[0]):
-            best = (score, j + 1)
-    return best
+        yield score
+
+
+def best_end(pattern: str, text: str, most: int) -> tuple[int, int] | None:
+    """(distance, end) of the best occurrence of ``pattern`` in ``text`` with at most ``most`` edits."""
+    best = min(((score, end) for end, score in enumerate(distances(pattern, text), 1)), default=None)
+    return best if best and best[0] <= most else None
+
+
+def places(pattern: str, text: str, most: int) -> Iterator[tuple[int, int]]:
+    """(distance, end) of occurrences that do not overlap, from left to right.
+
+    From the first end within the budget on, an occurrence may still get better for as many
+    characters as two budgets; the best of these ends is taken (of equal ones the first), and the
+    search goes on behind it.
+    """
+    at = 0
+    while at < len(text):
+        best, last = None, None
+        for end, score in enumerate(distances(pattern, text[at:]), at + 1):
+            if last is not None and end > last:
+                break
+            if score <= most:
+                last = end + 2 * most if last is None else last
+                if best is None or score < best[0]:
+                    best = score, end
+        if best is None:
+            return
+        yield best
+        at = best[1]
 
 
 class Matcher:
@@ -117,11 +144,12 @@ class Matcher:
             at = max(0, group[0] - most)
             window = flat[at:group[-1] + len(item) + most]
             if self._keeps_grams(k, window, most):
-                hit = best_end(item, window, most)
-                if hit:
-                    distance, end = hit
-                    length = best_end(item[::-1], window[:end][::-1], distance)
+                begun = 0
+                for distance, end in places(item, window, most):
+                    back = window[max(begun, end - len(item) - distance):end][::-1]
+                    length = best_end(item[::-1], back, distance)
                     yield item_id, at + end - length[1], at + end, distance
+                    begun = end
             group = [start]
 
     def _keeps_grams(self, k: int, window: str, most: int) -> bool:

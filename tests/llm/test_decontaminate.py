@@ -95,3 +95,24 @@ def test_query_finds_exactly_the_documents_that_hold_an_item(spark):
     exact = {i for i, t in texts.items() if any(x in normal(t) for x in items)}
     got = QUERIES["op4_benchmark_leaks"](spark, SF).collect()
     assert exact and {r["doc_id"] for r in got if r["distance"] == 0} == exact
+
+
+def test_each_copy_in_a_chain_is_a_place(spark):
+    item = "the calm river walks and the calm stone walks "
+    text = normal(item * 3)
+    found = Matcher(((1, item),)).find(text)
+    assert [(a, b) for _, a, b, d in found if d == 0] == [(46 * k, 46 * k + 45) for k in range(3)]
+    rng = random.Random(2)
+    budget = int(45 * ERRORS)
+    copies = [edited(rng, normal(item), budget) for _ in range(6)]
+    found = Matcher(((1, item),)).find(" ".join(copies))
+    assert len(found) == 6 and all(x[2] <= y[1] for x, y in zip(found, found[1:]))
+    starts = [sum(len(c) + 1 for c in copies[:k]) for k in range(6)]
+    assert all(abs(f[1] - s) <= budget for f, s in zip(found, starts))
+    assert all(d == plain_distance(normal(item), normal(" ".join(copies)[a:b])) for _, a, b, d in found)
+
+
+def test_very_many_copies_take_one_pass():
+    item = "a stone and a river and a hill"
+    found = Matcher(((1, item),)).find((item + " ") * 4_000)
+    assert len(found) == 4_000 and all(d == 0 for *_, d in found)
