@@ -3,8 +3,8 @@
 1. The three base patterns label credentials in every document.
 2. A sample of at most ``SAMPLE`` distinct credentials per kind, chosen by hash, trains one
    probabilistic automaton per kind by state merging (see ``automata``).
-3. Every further string of 16 or more credential characters with a digit in it is a candidate;
-   its format likelihood decides.
+3. Every further string of 8 or more credential characters is a candidate, and where it is none,
+   its parts without dots and without any symbols are; the format likelihood alone decides.
 
 Spans count code points; ends are exclusive. Defined results: a null or empty text has no
 spans; text of any length is scanned whole; spans of one kind do not overlap, and a learned
@@ -15,6 +15,7 @@ scanned each; without credentials there are no learned spans. Other columns pass
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -32,8 +33,12 @@ BASE = (
     ("hex", re.compile(r"[0-9a-f]{32,}"), 0, 32),  # a run of 32 or more is the same match
 )
 KINDS = ("assign", "access", "hex", "format")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-DIGIT = re.compile("[0-9]")
+#: Candidates: the alphabet and least length of an assigned value; a dot at either end is a full stop.
+LEAST_LENGTH = 8
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-](?:[A-Za-z0-9+/_.=-]*[A-Za-z0-9+/_=-])?")
+PARTS = (re.compile(r"[A-Za-z0-9+/_=-]{8,}"), re.compile(r"[A-Za-z0-9]{8,}"))
+#: Scores kept in a worker.
+SCORES = 150_000
 #: Distinct credentials per kind that train its automaton.
 SAMPLE = 500
 #: Log-likelihood ratio per character from which a candidate counts as a credential.
@@ -57,10 +62,39 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
 
 def candidates(text: str, taken: list[tuple]) -> list[tuple[int, int, str]]:
     """Strings in question outside the base spans."""
-    if not DIGIT.search(text):
-        return []
-    return [(m.start(), m.end(), m[0]) for m in CANDIDATE.finditer(text)
-            if DIGIT.search(m[0]) and not any(s[1] < m.end() and m.start() < s[2] for s in taken)]
+    return [(m.start(), m.end(), m[0]) for m in CANDIDATE.finditer(text) if m.end() - m.start() >= LEAST_LENGTH
+            and not any(s[1] < m.end() and m.start() < s[2] for s in taken)]
+
+
+class Formats:
+    """Decides whether strings have a learned format; remembers what it has decided."""
+
+    def __init__(self, formats: list, least_score: float):
+        self.formats, self.least_score = [f for f in formats if f], least_score
+        self.known: dict[str, bool] = {}
+
+    def fits(self, value: str) -> bool:
+        if value not in self.known:
+            if len(self.known) >= SCORES:
+                self.known.clear()
+            self.known[value] = automata.format_score(self.formats, value) >= self.least_score
+        return self.known[value]
+
+    def spans(self, text: str, taken: list[tuple]) -> list[tuple[str, int, int, str]]:
+        """The learned spans of a text: a whole candidate, or else those of its parts that fit."""
+        found = []
+        if not self.formats:
+            return found
+        for start, end, value in candidates(text, taken):
+            if self.fits(value):
+                found.append(("format", start, end, value))
+                continue
+            for pattern in PARTS:
+                parts = [m for m in pattern.finditer(value) if len(m[0]) < len(value) and self.fits(m[0])]
+                if parts:
+                    found += [("format", start + m.start(), start + m.end(), m[0]) for m in parts]
+                    break
+        return found
 
 
 def labelled(texts: pd.Series) -> pd.Series:
@@ -84,14 +118,15 @@ def spans_of(text: Column, learned: dict[str, list], least_score: float = LEAST_
     formats = list(learned.values())
 
     @F.pandas_udf(SPAN)
-    def found(texts: pd.Series) -> pd.Series:
-        out = []
-        for text in texts:
-            spans = base_spans(text or "")
-            more = [("format", a, b, v) for a, b, v in candidates(text or "", spans)
-                    if automata.format_score(formats, v) >= least_score]
-            out.append(sorted(spans + more, key=lambda s: (s[1], KINDS.index(s[0]))) if more else spans)
-        return pd.Series(out, dtype=object)
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        judge = Formats(formats, least_score)
+        for texts in batches:
+            out = []
+            for text in texts:
+                spans = base_spans(text or "")
+                more = judge.spans(text or "", spans)
+                out.append(sorted(spans + more, key=lambda s: (s[1], KINDS.index(s[0]))) if more else spans)
+            yield pd.Series(out, dtype=object)
 
     return found(text)
 

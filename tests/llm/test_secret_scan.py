@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from boxloom.llm import automata
+from boxloom.llm import automata, secret_scan
 from boxloom.llm.queries import QUERIES
 from boxloom.llm.secret_scan import base_spans, candidates, find_secrets, redact
 from tests.llm.helpers import edge_docs, no_docs
@@ -70,3 +70,45 @@ def test_query_digest(spark):
         assert rows[i]["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
         assert (rows[i]["n_assign"], rows[i]["n_access"], rows[i]["n_hex"]) == tuple(
             sum(k == kind for k, *_ in spans) for kind in ("assign", "access", "hex"))
+
+
+def plain_learned(text, base, formats):
+    """Learned spans, each candidate and then each part scored anew."""
+    out = []
+    fits = lambda v: automata.format_score(formats, v) >= 0.5
+    for m in re.finditer(r"[A-Za-z0-9+/_.=-]+", text):
+        start = m.start() + len(m[0]) - len(m[0].lstrip("."))
+        value = m[0].strip(".")
+        if len(value) < 8 or any(a < start + len(value) and start < b for _, a, b in base):
+            continue
+        parts = [[(0, value)], [(p.start(), p[0]) for p in re.finditer(r"[A-Za-z0-9+/_=-]{8,}", value)],
+                 [(p.start(), p[0]) for p in re.finditer(r"[A-Za-z0-9]{8,}", value)]]
+        for level in parts:
+            hits = [(start + a, start + a + len(v)) for a, v in level if fits(v)]
+            if hits:
+                out += hits
+                break
+    return out
+
+
+def test_learned_spans_equal_a_plain_scoring_of_every_candidate(spark):
+    rng = random.Random(7)
+    dotted = lambda: ".".join("".join(rng.choices("aBcDeFgHkLmNpQrStUvWxYz", k=2)) + rng.choice("123456789") for _ in range(5))
+    short = lambda: "zQ8k" + "".join(rng.choices("0123456789", k=6))
+    docs = [f"secret = {dotted()} and password: {short()}" for _ in range(80)]
+    docs += [f"see {dotted()}. Then {short()}, or a/{short()}/b and x.{short()}.", "Plainly-written words, nothing else.well here", ""]
+    rows = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    formats = [f for f in secret_scan.learn(rows).values() if f]
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["secrets"] if s["kind"] == "format"] for r in find_secrets(rows).collect()}
+    for i, text in enumerate(docs):
+        assert got[i] == plain_learned(text, plain_spans(text), formats), text
+    assert len(got[80]) >= 3 and not got[81] and not got[82]
+
+
+def test_a_full_cache_changes_nothing(monkeypatch):
+    rng = random.Random(3)
+    values = ["".join(rng.choices("0123456789abcdef", k=40)) for _ in range(50)]
+    text = " ".join(values + ["ordinary-words", "Sentences.follow"])
+    whole = secret_scan.Formats([automata.infer(values)], 0.5).spans(text, [])
+    monkeypatch.setattr(secret_scan, "SCORES", 3)
+    assert secret_scan.Formats([automata.infer(values)], 0.5).spans(text, []) == whole and len(whole) == 50
