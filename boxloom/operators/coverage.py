@@ -54,9 +54,9 @@ def missing_classes(cov: DataFrame, splits: tuple[str, ...] = SPLITS) -> DataFra
 
 
 def split_stats(files: DataFrame, lines: DataFrame, splits: tuple[str, ...] = SPLITS) -> DataFrame:
-    """Files and label lines per split; files without lines count as files."""
+    """Files and label lines per split; files without lines count as files, lines of white space do not count."""
     seen = files.select("split", F.lit(1).alias("f"), F.lit(0).alias("l")).unionByName(
-        lines.filter(F.trim("line") != "").select("split", F.lit(0).alias("f"), F.lit(1).alias("l")))
+        lines.filter(F.btrim("line", F.lit(" \t\r\n\f\x0b")) != "").select("split", F.lit(0).alias("f"), F.lit(1).alias("l")))
     return (
         seen.filter(F.col("split").isin(list(splits))).groupBy("split")
         .agg(F.sum("f").cast("bigint").alias("files"), F.sum("l").cast("bigint").alias("labels"))

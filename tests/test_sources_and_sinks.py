@@ -201,3 +201,10 @@ def test_detections_read_by_schema(spark, tmp_path):
     spark.createDataFrame([], DETECTION).write.parquet(str(tmp_path / "d"))
     assert detections.read_detections(spark, str(tmp_path / "d")).schema == DETECTION
     assert detections.stream_detections(spark, str(tmp_path / "d"), 1).isStreaming
+
+
+def test_lines_of_white_space_are_no_labels(spark):
+    files = spark.createDataFrame([("train", "a"), ("test", "b")], "split string, stem string")
+    lines = spark.createDataFrame([("train", "a", 1, "\t"), ("train", "a", 2, " \x0b\f "), ("train", "a", 3, "\t1 2")],
+                                  "split string, stem string, line_no long, line string")
+    assert {r.split: (r.files, r.labels) for r in C.split_stats(files, lines).collect()} == {"train": (1, 1), "test": (1, 0)}
