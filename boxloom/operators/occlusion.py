@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boxloom.operators.covered import CORNERS, hidden_in_tiles
 from boxloom.plans.skew import join_on, split_hot
 
 GROUP_LIMIT = 64
 # Fixed value: a label is dropped from this hidden share on.
 DROP_SHARE = 0.85
 
-_WORD = 63  # columns per mask word; the sign bit stays free
-
 
 def _pieces(rects: str, edges: str) -> Column:
     """The union of rectangles as disjoint ones: strips between edges, spans within a strip."""
@@ -42,11 +41,10 @@ def _pieces(rects: str, edges: str) -> Column:
 
 def _by_strips(boxes: DataFrame, occluders: DataFrame, keys: list[str]) -> DataFrame:
     """Each image's occluders become disjoint pieces once; a box then adds up its shares."""
-    corner = ("x1", "y1", "x2", "y2")
     solid = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
     pieces = (
         occluders.filter(solid).groupBy(*keys)
-        .agg(F.collect_list(F.struct(*corner)).alias("_r"))
+        .agg(F.collect_list(F.struct(*CORNERS)).alias("_r"))
         .withColumn("_e", F.sort_array(F.array_distinct(F.concat(
             F.transform("_r", lambda r: r["y1"]), F.transform("_r", lambda r: r["y2"])))))
         .select(*keys, _pieces("_r", "_e").alias("_pieces"))
@@ -63,38 +61,14 @@ def _by_strips(boxes: DataFrame, occluders: DataFrame, keys: list[str]) -> DataF
         "hidden", F.coalesce(hidden, zero)).drop("_pieces")
 
 
-def _words(df: DataFrame) -> DataFrame:
-    """One row per pixel row and mask word that a rectangle touches, with its bits."""
-    cut = df.withColumn("_y", F.explode(F.sequence(F.col("y1"), F.col("y2") - 1))).withColumn(
-        "_word", F.explode(F.sequence(
-            F.floor(F.col("x1") / _WORD), F.floor((F.col("x2") - 1) / _WORD))))
-    low = F.greatest(F.lit(0), F.col("x1") - F.col("_word") * _WORD).cast("int")
-    high = F.least(F.lit(_WORD), F.col("x2") - F.col("_word") * _WORD).cast("int")
-    # All bits up to _WORD are set by the largest bigint; shorter runs by powers of two.
-    ones = F.lit(2 ** 63 - 1).cast("bigint")
-    run = F.call_function("shiftrightunsigned", ones, F.lit(_WORD) - (high - low))
-    return cut.withColumn("_bits", F.call_function("shiftleft", run, low))
-
-
-def _by_mask(boxes: DataFrame, occluders: DataFrame, keys: list[str]) -> DataFrame:
-    """The same count by bit masks, for images with very many occluders.
-
-    Masks combine map-side, so an image costs the shuffle at most its canvas, whatever
-    the number of rectangles; equal rectangles are combined first.
-    """
-    corner = ["x1", "y1", "x2", "y2"]
-    solid = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
-    masks = _words(occluders.filter(solid).select(*keys, *corner).distinct()).groupBy(
-        *keys, "_y", "_word").agg(F.bit_or("_bits").alias("_mask"))
-    shapes = _words(boxes.filter(solid).select(*keys, *corner).distinct())
-    hidden = join_on(shapes, masks, [*keys, "_y", "_word"]).groupBy(*keys, *corner).agg(
-        F.sum(F.bit_count(F.col("_bits").bitwiseAND(F.col("_mask")))).cast("bigint").alias("_h"))
-    return join_on(boxes, hidden, [*keys, *corner], "left").withColumn(
-        "hidden", F.coalesce("_h", F.lit(0)).cast("bigint")).drop("_h")
+def _by_tiles(boxes: DataFrame, occluders: DataFrame, keys: list[str]) -> DataFrame:
+    """The same count by a sweep over tiles, for images with very many occluders."""
+    return join_on(boxes, hidden_in_tiles(boxes, occluders, keys), [*keys, *CORNERS], "left").withColumn(
+        "hidden", F.coalesce("hidden", F.lit(0)).cast("bigint"))
 
 
 def _whole_pixels(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: F.col(c).cast("bigint") for c in ("x1", "y1", "x2", "y2")})
+    return df.withColumns({c: F.col(c).cast("bigint") for c in CORNERS})
 
 
 def hidden_area(boxes: DataFrame, occluders: DataFrame, keys: list[str],
@@ -102,7 +76,7 @@ def hidden_area(boxes: DataFrame, occluders: DataFrame, keys: list[str],
     """``boxes`` with ``hidden``, the pixels covered by any occluder of the same key.
 
     Corners are cut to whole pixels first, on either path. Usual images carry their occluders as one short array to
-    each box; images with more than ``group_limit`` occluders go through bit masks.
+    each box; images with more than ``group_limit`` occluders are swept in tiles.
     """
     boxes, occluders = _whole_pixels(boxes), _whole_pixels(occluders)
     usual, hot = split_hot(occluders, keys, group_limit)
@@ -110,7 +84,7 @@ def hidden_area(boxes: DataFrame, occluders: DataFrame, keys: list[str],
         return _by_strips(boxes, usual, keys)
     hot_keys = hot.select(*keys).distinct()
     return _by_strips(join_on(boxes, hot_keys, keys, "left_anti"), usual, keys).unionByName(
-        _by_mask(join_on(boxes, hot_keys, keys, "left_semi"), hot, keys))
+        _by_tiles(join_on(boxes, hot_keys, keys, "left_semi"), hot, keys))
 
 
 def visible_labels(boxes: DataFrame, occluders: DataFrame, keys: list[str], width: int,
@@ -120,7 +94,7 @@ def visible_labels(boxes: DataFrame, occluders: DataFrame, keys: list[str], widt
     clamped = boxes.withColumns({
         "x1": F.greatest(F.lit(0), F.col("x1")), "y1": F.greatest(F.lit(0), F.col("y1")),
         "x2": F.least(F.lit(width - 1), F.col("x2")), "y2": F.least(F.lit(height - 1), F.col("y2")),
-    }).withColumns({c: F.col(c).cast("bigint") for c in ("x1", "y1", "x2", "y2")})
+    }).withColumns({c: F.col(c).cast("bigint") for c in CORNERS})
     solid = clamped.filter((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")))
     area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
     return hidden_area(solid, occluders, keys, group_limit).filter(F.col("hidden") / area < drop_share)

@@ -366,3 +366,26 @@ def visible_labels(spark, d):
     boxes = V.boxes(spark, d).select("img", "box", "x1", "y1", "x2", "y2")
     return occlusion.visible_labels(
         boxes, V.occluders(spark, d), ["img"], V.WIDTH, V.HEIGHT).select("img", "box")
+
+
+_CROWD_HIDDEN = """
+boxes AS (SELECT img, box, x1 // 3 AS x1, y1 // 3 AS y1, x1 // 3 + x2 - x1 AS x2, y1 // 3 + y2 - y1 AS y2 FROM crowded),
+occluders AS (SELECT img, x1 + 5 AS x1, y1 + 5 AS y1, x2 + 5 AS x2, y2 + 5 AS y2 FROM boxes WHERE box % 2 = 0),
+hits AS (
+  SELECT b.img, b.box, greatest(b.x1, o.x1) AS x1, greatest(b.y1, o.y1) AS y1, least(b.x2, o.x2) AS x2, least(b.y2, o.y2) AS y2
+  FROM (SELECT *, unnest([x1 // 400, x1 // 400 + 1, x1 // 400 + 2]) AS t FROM boxes) b
+  JOIN (SELECT *, x1 // 400 + 1 AS t FROM occluders) o ON o.img = b.img AND o.t = b.t
+  WHERE b.x1 < o.x2 AND o.x1 < b.x2 AND b.y1 < o.y2 AND o.y1 < b.y2),
+""" + _HIDDEN[_HIDDEN.index("lines AS"):]
+
+
+@query(with_views("crowded", """
+SELECT b.img, b.box, coalesce(hidden, 0) AS hidden FROM boxes b LEFT JOIN hidden h ON h.img = b.img AND h.box = b.box""", _CROWD_HIDDEN))
+def crowded_hidden_pixels(spark, d):
+    """Hidden area on hot canvases, three times as dense as the other crowded queries."""
+    c = F.col
+    x, y = F.expr("x1 div 3"), F.expr("y1 div 3")
+    boxes = V.crowded(spark, d).select(
+        "img", "box", x.alias("x1"), y.alias("y1"), (x + c("x2") - c("x1")).alias("x2"), (y + c("y2") - c("y1")).alias("y2"))
+    over = boxes.filter(c("box") % 2 == 0).select("img", *[(c(k) + 5).alias(k) for k in ("x1", "y1", "x2", "y2")])
+    return occlusion.hidden_area(boxes, over, ["img"]).select("img", "box", "hidden")
