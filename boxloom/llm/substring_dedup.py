@@ -3,17 +3,16 @@
 A text is cut into units that tile it: lines, cut further where a sentence ends. A unit is
 normalised (A-Z lower-cased, white space runs as one space) and hashed to 128 bits. A unit of
 fewer than ``LEAST_WORDS`` words is hashed with the units that follow it, as many as it takes,
-so a short phrase counts as repeated only where its continuation repeats too.
+so a short phrase counts as repeated only where its continuation repeats too. The end of the text
+is a continuation like any other: equal short last lines repeat each other.
 
 Units of equal digest are one group over all documents. The occurrence of the lowest rank
-(doc_id, then offset) is kept; every other one is removed. Counting is combined before the
+(doc_id, then offset, then copy of the row) is kept; every other one is removed. Counting is combined before the
 shuffle, and only units whose digest occurs again are joined back.
 
-Defined results: null, empty and blank texts have no units; a short unit without enough
-continuation is never removed; a repetition inside one document counts like one across
-documents; rows of the same id rank by offset, and of equal rows every one but one counts as a
-repetition only through its place, so an exact repeat of a row is kept like the row itself; a
-null id ranks after all others; offsets are code points of the original text, ends exclusive;
+Defined results: null, empty and blank texts have no units; a repetition inside one document
+counts like one across documents; of equal rows one is kept and the units of the others are
+repetitions; a null id ranks after all others; offsets are code points of the original text, ends exclusive;
 columns beyond (doc_id, text) are not read.
 """
 
@@ -34,11 +33,11 @@ from boxloom.session import durable
 LEAST_WORDS = 8
 #: Where a unit ends: behind a line feed, or behind sentence marks and the white space they need.
 END = re.compile(r"\n|[.!?。！？]+[^\S\n]+\n?|[.!?。！？]+\n")
-UNITS = "doc_id bigint, start int, end int, n_words int, high bigint, low bigint"
+UNITS = "doc_id bigint, row bigint, start int, end int, n_words int, high bigint, low bigint"
 
 
 def units_of(text: str) -> list[tuple[int, int, int, bytes]]:
-    """(start, end, own words, digest) of every unit that can count as repeated."""
+    """(start, end, own words, digest) of every unit."""
     ends = [m.end() for m in END.finditer(text)]
     spans, words, at = [], [], 0
     for end in [*ends, len(text)]:
@@ -53,9 +52,11 @@ def units_of(text: str) -> list[tuple[int, int, int, bytes]]:
         while len(key) < LEAST_WORDS and k + 1 < len(words):
             k += 1
             key = key + words[k]
-        if len(key) >= LEAST_WORDS:
-            # How much of the key is the unit's own keeps a short unit apart from a long one.
-            out.append((a, b, len(own), xxhash.xxh3_128_digest(b" ".join(key), seed=0 if k == i else len(own))))
+        short = len(own) < LEAST_WORDS
+        if len(key) < LEAST_WORDS:
+            key = [*key, b"\n"]  # no word: the text ends here
+        # How much of the key is the unit's own keeps a short unit apart from a long one.
+        out.append((a, b, len(own), xxhash.xxh3_128_digest(b" ".join(key), seed=len(own) if short else 0)))
     return out
 
 
@@ -66,28 +67,39 @@ def list_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = [u for units in found for u in units]
         digests = np.frombuffer(b"".join(u[3] for u in flat), np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes), pa.int64())),
+            [*[batch.column(k).take(pa.array(np.repeat(np.arange(len(sizes)), sizes), pa.int64())) for k in (0, 2)],
              *[pa.array([u[k] for u in flat], pa.int32()) for k in range(3)],
              pa.array(digests[:, 0]), pa.array(digests[:, 1])],
-            names=["doc_id", "start", "end", "n_words", "high", "low"])
+            names=["doc_id", "row", "start", "end", "n_words", "high", "low"])
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """Removed spans: (doc_id, start, end, n_words, kept_doc_id, kept_start)."""
-    units = durable(docs.select("doc_id", "text").mapInArrow(list_units, UNITS), "units")
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("start"))
+def repeats_of(numbered: DataFrame) -> DataFrame:
+    """Removed spans of ``numbered`` (doc_id, text, row), with their row."""
+    units = durable(numbered.select("doc_id", "text", "row").mapInArrow(list_units, UNITS), "units")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("start"), F.col("row"))
     again = durable(
         units.groupBy("high", "low").agg(F.min(rank).alias("kept"), F.max(rank).alias("last"))
         .where("kept < last").select("high", "low", "kept"), "repeated")
     return (units.join(again, ["high", "low"]).where(rank > F.col("kept"))
-            .select("doc_id", "start", "end", "n_words", F.col("kept.doc_id").alias("kept_doc_id"),
+            .select("doc_id", "row", "start", "end", "n_words", F.col("kept.doc_id").alias("kept_doc_id"),
                     F.col("kept.start").alias("kept_start")))
 
 
+def repeats(docs: DataFrame) -> DataFrame:
+    """Removed spans: (doc_id, start, end, n_words, kept_doc_id, kept_start).
+
+    Rows are numbered as the units are written, so copies of a row stay apart; which copy is kept
+    does not show in the result.
+    """
+    return repeats_of(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())).drop("row")
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with its repeated units cut out of ``text``."""
-    spans = (repeats(docs).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_cut")))
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans["doc_id"]), "left").drop(spans["doc_id"])
+    """``docs`` with its repeated units cut out of ``text``; rows are numbered in a written table."""
+    docs = durable(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    spans = (repeats_of(docs.select("doc_id", "text", F.col("_row").alias("row"))).groupBy("row")
+             .agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_cut")))
+    joined = docs.join(spans, docs["_row"] == spans["row"], "left").drop(spans["row"], docs["_row"])
 
     def cut(texts: pd.Series, found: pd.Series) -> pd.Series:
         out = []

@@ -21,19 +21,18 @@ def plain_units(text):
         while len(key) < LEAST_WORDS and k + 1 < len(spans):
             k += 1
             key += spans[k][2]
-        if len(key) >= LEAST_WORDS:
-            out.append((a, b, len(own), (key, len(own) if k > i else 0)))
+        out.append((a, b, len(own), (key, len(key) < LEAST_WORDS, len(own) if k > i else 0)))
     return out
 
 
 def plain_repeats(rows):
-    rank = lambda i, start: (i is None, i or 0, start)
+    rank = lambda i, start, row: (i is None, i or 0, start, row)
     first, units = {}, []
-    for i, text in rows:
+    for row, (i, text) in enumerate(rows):
         for a, b, n, key in plain_units(text or ""):
-            units.append((i, a, b, n, key))
-            first[key] = min(first.get(key, rank(i, a)), rank(i, a))
-    return sorted(((i, a, b, n) for i, a, b, n, key in units if rank(i, a) > first[key]), key=repr)
+            units.append((i, a, b, n, key, row))
+            first[key] = min(first.get(key, rank(i, a, row)), rank(i, a, row))
+    return sorted(((i, a, b, n) for i, a, b, n, key, row in units if rank(i, a, row) > first[key]), key=repr)
 
 
 PASSAGE = ("The lantern stands on the hill and looks over the calm river at night. Short one. "
@@ -63,6 +62,24 @@ def test_first_passage_stays_and_the_others_go(spark):
     assert "Then the walker" not in cut[5] and "Short one" not in cut[5] and cut[5].startswith("Begin here")
 
 
+def test_short_last_lines_and_short_texts_repeat(spark):
+    docs = spark.createDataFrame(
+        [(1, "One text stands here with enough words in it.\nThe end."), (2, "Another one goes there with words enough too.\nthe  END."),
+         (3, "Thanks."), (4, "Thanks."), (5, "Thanks. More comes.")], "doc_id bigint, text string")
+    got = sorted((r["doc_id"], r["start"], r["kept_doc_id"]) for r in repeats(docs).collect())
+    assert got == [(2, len("Another one goes there with words enough too.\n"), 1), (4, 0, 3)]
+
+
+def test_one_of_equal_rows_stays(spark):
+    row = (7, "The same row comes three times with its id and its text.\nShort end.", "x")
+    other = (None, row[1], "y")
+    docs = spark.createDataFrame([row, row, other, row], "doc_id bigint, text string, row string").repartition(3)
+    assert sorted(r["doc_id"] or 0 for r in repeats(docs).collect()) == [0, 0, 7, 7, 7, 7]
+    cut = without_repeats(docs)
+    assert cut.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"], r["row"]) for r in cut.collect()) == [(0, "", "y"), (7, "", "x"), (7, "", "x"), row]
+
+
 def test_query_equals_plain_repeats(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = sorted(((r["doc_id"], r["start"], r["end"], r["n_words"]) for r in QUERIES["op2_substring_dedup"](spark, SF).collect()), key=repr)
