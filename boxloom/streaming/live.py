@@ -77,12 +77,19 @@ def preview_links(view: DataFrame, class_names: DataFrame, cards: DataFrame) ->
     return view.filter(F.col("class_id").isNotNull()).join(small_side(links), "label", "left")
 
 
-def first_uses(linked: DataFrame, watermark: str) -> DataFrame:
-    """Each URL once: what has to be fetched. The watermark bounds the remembered URLs."""
+def first_uses(linked: DataFrame, watermark: str | None = None) -> DataFrame:
+    """Each URL once: what has to be fetched.
+
+    A stream remembers every URL it has given out, so its state holds at most the catalog's URLs
+    and nothing is fetched twice, however late it is shown again. With ``watermark`` URLs are
+    forgotten after that time, for catalogs whose URLs keep changing.
+    """
     wanted = linked.filter(F.col("image_url").isNotNull()).select("image_url", "ts")
-    if linked.isStreaming:
-        return wanted.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["image_url"])
-    return wanted.groupBy("image_url").agg(F.min("ts").alias("ts"))
+    if not linked.isStreaming:
+        return wanted.groupBy("image_url").agg(F.min("ts").alias("ts"))
+    if watermark is None:
+        return wanted.dropDuplicates(["image_url"])
+    return wanted.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["image_url"])
 
 
 OVERLAY_OUTPUT = (

@@ -88,10 +88,21 @@ def test_preview_links_and_first_uses(spark, frame_files):
     cols = ["session_id", "frame_no", "label", "image_url"]
     assert sorted(stream.select(cols).collect()) == sorted(batch.select(cols).collect())
     uses = drain(live.first_uses(linked(stream_of(spark, path, FRAMES)), "1 day"), "f").collect()
+    kept = drain(live.first_uses(linked(stream_of(spark, path, FRAMES))), "g").collect()
+    assert sorted(r.image_url for r in kept) == ["u/a", "u/b"]
     once = live.first_uses(batch, "1 day").collect()
     assert sorted(r.image_url for r in uses) == sorted(r.image_url for r in once) == ["u/a", "u/b"]
 
 
+def test_a_url_is_fetched_once_however_late_it_comes_again(spark, tmp_path):
+    schema = "image_url string, ts timestamp"
+    for day, url in enumerate(["u/a", "u/b", None, "u/a", "u/a"]):
+        when = datetime(2024, 1, 1) + timedelta(days=day * 100)
+        spark.createDataFrame([(url, when)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "uses"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "uses"))
+    assert sorted(r.image_url for r in drain(live.first_uses(stream), "h").collect()) == ["u/a", "u/b"]
+
+
 def plain_overlay(rows, linked):
     out, state, late = {}, {}, 0
     for s, n, _, px, py, boxes in sorted(rows, key=lambda r: (r[0], r[1])):

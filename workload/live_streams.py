@@ -74,11 +74,11 @@ def preview_links(spark, d):
 @query(with_views("boxes pointed registry printings", """
 SELECT DISTINCT image_url FROM view v JOIN urls u ON u.class_id = v.class_id WHERE image_url IS NOT NULL""", _SHOWN + "," + _URLS))
 def first_fetches(spark, d):
-    """The URLs the live loop has to fetch."""
+    """The URLs the live loop has to fetch, each once."""
     names = V.registry(spark, d)
     view = live.live_view(_stream(spark, d), names, V.WIDTH, V.HEIGHT)
-    uses = live.first_uses(live.preview_links(view, names, V.catalog(spark, d)), "30 days")
-    return drain(uses, "first-fetches").select("image_url").distinct()
+    uses = live.first_uses(live.preview_links(view, names, V.catalog(spark, d)))
+    return drain(uses, "first-fetches").select("image_url")
 
 
 _SHARE = """(greatest(0, least(b.x2, f.rx + 300, 1920) - greatest(b.x1, f.rx, 0)) *
