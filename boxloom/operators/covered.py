@@ -15,7 +15,7 @@ from boxloom.session import durable
 
 CORNERS = ("x1", "y1", "x2", "y2")
 #: Rectangles a tile is meant to hold, and boxes that meet them at a time.
-TILE_RECTS, CHUNK_BOXES = 512, 16_384
+TILE_RECTS, CHUNK_BOXES = 128, 16_384
 
 _CELLS = 1 << 19  # cells of the sweep that are held at a time
 _STEPS = 64       # most tiles along a side of one canvas
@@ -114,7 +114,7 @@ def hidden_in_tiles(boxes: DataFrame, occluders: DataFrame, keys: list[str],
 
     A canvas is cut at quantiles of its occluders' starts, into more tiles the more occluders it
     has. Equal shapes count once, also after cutting, so rectangles over a whole tile become one
-    before the shuffle. The boxes of a canvas are dealt into chunks by hash; each meets its tile's
+    before the shuffle. Boxes of a crowded tile are dealt into chunks by hash; each meets the tile's
     occluders. The work depends on the number of edges, not on the size in pixels.
     """
     solid = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
@@ -125,16 +125,18 @@ def hidden_in_tiles(boxes: DataFrame, occluders: DataFrame, keys: list[str],
     cuts = rects.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.percentile_approx("x1", steps).alias("_qx"), F.max("x2").alias("_ex"),
         F.percentile_approx("y1", steps).alias("_qy"), F.max("y2").alias("_ey"))
-    chunks = shapes.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / chunk_boxes).cast("int").alias("_chunks"))
-    cuts = small_side(durable(join_on(
-        cuts.select(*keys, _chosen("_qx", "_ex", side).alias("_cx"), _chosen("_qy", "_ey", side).alias("_cy")),
-        chunks, keys), "cuts"))
-
-    group = [*keys, "_i", "_j", "_chunk"]
-    parts = _in_tiles(join_on(rects, cuts, keys)).select(
-        *keys, "_i", "_j", "_chunks", *CORNERS).distinct().withColumn(
+    cuts = small_side(durable(cuts.select(
+        *keys, _chosen("_qx", "_ex", side).alias("_cx"), _chosen("_qy", "_ey", side).alias("_cy")), "cuts"))
+
+    tile = [*keys, "_i", "_j"]
+    group = [*tile, "_chunk"]
+    dealt = durable(_in_tiles(join_on(shapes, cuts, keys).withColumns({f"_{c}": F.col(c) for c in CORNERS})).select(
+        *tile, *CORNERS, *[f"_{c}" for c in CORNERS]), "dealt")
+    chunks = small_side(durable(dealt.groupBy(*tile).agg(
+        F.ceil(F.count(F.lit(1)) / chunk_boxes).cast("int").alias("_chunks")), "chunks"))
+    parts = join_on(_in_tiles(join_on(rects, cuts, keys)).select(*tile, *CORNERS).distinct(), chunks, tile).withColumn(
         "_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
-    dealt = _in_tiles(join_on(shapes, cuts, keys).withColumns({f"_{c}": F.col(c) for c in CORNERS})).withColumn(
+    dealt = join_on(dealt, chunks, tile).withColumn(
         "_chunk", F.pmod(F.xxhash64(*[f"_{c}" for c in CORNERS]), F.col("_chunks")).cast("int"))
     out = StructType([*shapes.schema.fields, StructField("hidden", LongType())])
     swept = dealt.select(*group, *CORNERS, *[f"_{c}" for c in CORNERS]).groupBy(*group).cogroup(
