@@ -3,8 +3,9 @@
 A text is cut into units that tile it: lines, cut further where a sentence ends. A unit is
 normalised (A-Z lower-cased, white space runs as one space) and hashed to 128 bits. A unit of
 fewer than ``LEAST_WORDS`` words is hashed with the units that follow it, as many as it takes,
-so a short phrase counts as repeated only where its continuation repeats too. The end of the text
-is a continuation like any other: equal short last lines repeat each other.
+so a short phrase counts as repeated only where its continuation repeats too. At the end of a text
+the units before it make up what is missing, with its place counted from the end; a text of fewer
+words repeats only as a whole.
 
 Units of equal digest are one group over all documents. The occurrence of the lowest rank
 (doc_id, then offset, then copy of the row) is kept; every other one is removed. Counting is combined before the
@@ -53,10 +54,14 @@ def units_of(text: str) -> list[tuple[int, int, int, bytes]]:
             k += 1
             key = key + words[k]
         short = len(own) < LEAST_WORDS
-        if len(key) < LEAST_WORDS:
-            key = [*key, b"\n"]  # no word: the text ends here
-        # How much of the key is the unit's own keeps a short unit apart from a long one.
-        out.append((a, b, len(own), xxhash.xxh3_128_digest(b" ".join(key), seed=len(own) if short else 0)))
+        seed, j = len(own) if short else 0, i
+        if len(key) < LEAST_WORDS:  # few words are left: where the unit stands before the end
+            seed += LEAST_WORDS * len(key)
+        while len(key) < LEAST_WORDS and j:
+            j -= 1
+            key = words[j] + key
+        # The seed, how much of the key is the unit's own and where, keeps units of one key apart.
+        out.append((a, b, len(own), xxhash.xxh3_128_digest(b" ".join(key), seed=seed)))
     return out
 
 

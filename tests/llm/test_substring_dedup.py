@@ -21,7 +21,11 @@ def plain_units(text):
         while len(key) < LEAST_WORDS and k + 1 < len(spans):
             k += 1
             key += spans[k][2]
-        out.append((a, b, len(own), (key, len(key) < LEAST_WORDS, len(own) if k > i else 0)))
+        left = len(key) if len(key) < LEAST_WORDS else 0
+        if left:
+            for _, _, before in spans[:i][::-1]:
+                key = before + key if len(key) < LEAST_WORDS else key
+        out.append((a, b, len(own), (key, left, len(own) if left or k > i else 0)))
     return out
 
 
@@ -62,12 +66,14 @@ def test_first_passage_stays_and_the_others_go(spark):
     assert "Then the walker" not in cut[5] and "Short one" not in cut[5] and cut[5].startswith("Begin here")
 
 
-def test_short_last_lines_and_short_texts_repeat(spark):
+def test_short_ends_repeat_with_what_stands_before_them(spark):
+    lead = "One text stands here with enough words in it.\n"
     docs = spark.createDataFrame(
-        [(1, "One text stands here with enough words in it.\nThe end."), (2, "Another one goes there with words enough too.\nthe  END."),
-         (3, "Thanks."), (4, "Thanks."), (5, "Thanks. More comes.")], "doc_id bigint, text string")
+        [(1, lead + "The end. So it."), (2, "Another one goes there with words enough too.\nThe end. So it."),
+         (3, "Thanks."), (4, "Thanks."), (5, "Thanks. More comes."), (6, "First. " + lead + "the  END. so it.")], "doc_id bigint, text string")
     got = sorted((r["doc_id"], r["start"], r["kept_doc_id"]) for r in repeats(docs).collect())
-    assert got == [(2, len("Another one goes there with words enough too.\n"), 1), (4, 0, 3)]
+    at = len("First. " + lead)
+    assert got == [(4, 0, 3), (6, 7, 1), (6, at, 1), (6, at + len("the  END. "), 1)]
 
 
 def test_one_of_equal_rows_stays(spark):
