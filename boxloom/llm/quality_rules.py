@@ -7,8 +7,9 @@ log(target / raw); it is kept if no base rule fails and the score reaches the th
 
 The threshold is set where held-out scores part labelled good from labelled bad documents best,
 so every document is judged by the same number. Only labelled documents that no base rule fails
-count, and trusted ones are scored with a target that their own fold is left out of. With too few
-bad labels it is a number of deviations below the mean of those held-out trusted scores.
+count, and trusted ones are scored with a target that their own fold is left out of. Bad labels may
+be few or none, so ``PRIOR_BAD`` more is thought a number of deviations below the mean of those
+held-out trusted scores, however many there are.
 
 Defined results: a null or empty text has no words, so its counts are 0, its score is 0 and it
 fails the base rule; null or unknown ids in ``labels`` are ignored; repeated rows are counted
@@ -31,9 +32,9 @@ BUCKETS = 10_000
 FOLDS = 10
 #: Pseudo count of each bucket in both multinomials.
 SMOOTHING = 1.0
-#: Labelled bad documents from which on they decide the cut; with fewer it is this many standard
-#: deviations below the mean of the trusted documents.
-LEAST_BAD = 10
+#: Bad documents added to the labelled ones, and how many standard deviations below the mean of the
+#: trusted documents they lie.
+PRIOR_BAD = 1
 DEVIATIONS = 3.0
 #: Held-out scores are counted in steps of this size.
 STEP = 1e-4
@@ -169,13 +170,13 @@ def held_out_scores(docs: DataFrame, labels: DataFrame, ratios: np.ndarray) -> D
 def best_cut(good: dict[float, int], bad: dict[float, int]) -> float:
     """Score from which documents are kept, given how many labelled ones have which score.
 
-    With enough bad ones it is where the share of good ones below and the share of bad ones from
-    there on add up to the least, in the middle of the gap; else a number of deviations below the mean.
+    It is where the share of good ones below and the share of bad ones from there on add up to the
+    least, in the middle of the gap; without bad ones a number of deviations below the mean.
     """
     n_good, n_bad = sum(good.values()), sum(bad.values())
     if not n_good:
         return float("-inf")
-    if n_bad < LEAST_BAD:
+    if not n_bad:
         mean = sum(s * n for s, n in good.items()) / n_good
         return mean - DEVIATIONS * (sum((s - mean) ** 2 * n for s, n in good.items()) / n_good) ** 0.5
     at = sorted(good.keys() | bad.keys())
@@ -189,6 +190,14 @@ def best_cut(good: dict[float, int], bad: dict[float, int]) -> float:
     return cut
 
 
+def guarded_cut(good: dict[float, int], bad: dict[float, int]) -> float:
+    """``best_cut`` with the added bad documents among the labelled ones."""
+    if not good:
+        return float("-inf")
+    added = best_cut(good, {}) - STEP
+    return best_cut(good, {**bad, added: bad.get(added, 0) + PRIOR_BAD})
+
+
 def learned(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """Ratios of all buckets, and the score from which a document is kept."""
     ratios = log_ratios(docs, trusted_ids(labels))
@@ -197,7 +206,7 @@ def learned(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     for row in scores.groupBy("quality", F.floor(F.col("s") / STEP).alias("step")).count().collect():
         if row["step"] is not None:
             counts[row["quality"]][row["step"] * STEP] = row["count"]
-    return ratios[-1], best_cut(counts[1], counts[0])
+    return ratios[-1], guarded_cut(counts[1], counts[0])
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:

@@ -3,7 +3,7 @@ import re
 import numpy as np
 import pytest
 
-from boxloom.llm.quality_rules import best_cut, keep_good, score_quality
+from boxloom.llm.quality_rules import STEP, best_cut, guarded_cut, keep_good, score_quality
 from tests.llm.helpers import edge_docs, no_docs
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -121,3 +121,56 @@ def test_every_trusted_document_counts(spark, monkeypatch):
     want = quality_rules.log_ratios(docs, trusted)
     monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 5)  # more ids than may be broadcast: a shuffle join
     assert np.array_equal(quality_rules.log_ratios(docs, trusted), want)
+
+
+def test_one_rule_for_any_number_of_bad_labels():
+    good = {1.0: 95, 0.9: 4, 0.0: 1}
+    alone = best_cut(good, {})
+    assert 0.0 < alone < 0.9 and guarded_cut({}, {0.0: 3}) == float("-inf")
+    middle = (alone - STEP + 0.9) / 2
+    assert guarded_cut(good, {}) == pytest.approx(middle)
+    assert guarded_cut({1.0: 50}, {}) < 1.0  # equal scores all pass
+    # far bad ones: the added one counts 1 of n + 1 against 1 good document of 100
+    for n in range(150):
+        cut = guarded_cut(good, {-1.0: n} if n else {})
+        assert cut == pytest.approx(middle if n < 99 else -0.5)
+    # near bad ones decide at once, the added one goes with them
+    assert all(guarded_cut(good, {0.8: n}) == pytest.approx(0.85) for n in (1, 9, 10, 100))
+
+
+def test_query_keeps_what_a_plain_version_keeps(spark):
+    """The verdict of the registered query, recomputed outside Spark from its hashed n-grams."""
+    from pyspark.sql import functions as F
+
+    from boxloom.llm.quality_rules import BUCKETS, FOLDS, SMOOTHING, buckets, fold, words
+    from boxloom.llm.queries import QUERIES
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    quality = {}
+    for r in spark.read.parquet(f"{folder}/labels.parquet").where("quality IN (0, 1)").collect():
+        quality[r["doc_id"]] = max(r["quality"], quality.get(r["doc_id"], 0))
+    rows = docs.select("doc_id", "text", buckets(words(F.col("text"))).alias("b"), fold(F.col("doc_id")).alias("f")).collect()
+    raw, target = np.zeros(BUCKETS), np.zeros((FOLDS, BUCKETS))
+    for r in rows:
+        np.add.at(raw, r["b"], 1)
+        if quality.get(r["doc_id"]) == 1:
+            np.add.at(target[r["f"]], r["b"], 1)
+    share = lambda n: (n + SMOOTHING) / (n.sum() + SMOOTHING * BUCKETS)
+    ratio = lambda n: np.log(share(n) / share(raw)) if n.sum() else np.zeros(BUCKETS)
+    whole, counts = target.sum(axis=0), {0: {}, 1: {}}
+    fails = {id(r): (c := plain_counts(r["text"]))[0] < 50 or 100 * c[4] > 50 * c[0] for r in rows}
+    for r in rows:
+        label = quality.get(r["doc_id"])
+        if label is not None and not fails[id(r)]:
+            s = ratio(whole - target[r["f"]] if label else whole)[r["b"]].mean()
+            step = int(np.floor(s / STEP)) * STEP
+            counts[label][step] = counts[label].get(step, 0) + 1
+    cut, final = guarded_cut(counts[1], counts[0]), ratio(whole)
+    scores = {r["doc_id"]: (fails[id(r)], final[r["b"]].mean() if r["b"] else 0.0) for r in rows}
+    got = QUERIES["op10_quality_rules"](spark, folder).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        failed, score = scores[r["doc_id"]]
+        assert r["score"] == pytest.approx(score) and r["base_failed"] == failed
+        if abs(score - cut) > 2 * STEP:
+            assert r["kept"] == (not failed and score >= cut)
