@@ -116,8 +116,8 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return toxicity.score_toxicity(docs, table(spark, sf_dir, "labels")).drop("text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return toxicity.score_toxicity(docs, table(spark, sf_dir, "labels")).drop("text", "lang")
 
 
 #: Each document against each order, one by one; for small tables only.

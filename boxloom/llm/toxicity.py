@@ -1,9 +1,13 @@
 """Toxicity by a classifier chain: linear models in sequence, each fed the earlier probabilities.
 
 Categories, in chain order: insult, contempt, toxic. Labels name toxic documents only, so the
-first two are those toxic documents whose words name the category (``SEEDS``). A category's
-model sees the presence of ``FEATURES`` words and word beginnings (languages mark toxic words by
-either) and the probabilities of the categories before it.
+first two are learned in each language apart: the traits (words and word beginnings; languages mark
+toxic words by either) that tell toxic documents from others there are dealt to two categories. A
+trait that belongs to a word of ``SEEDS`` goes where that word does, any other to the category that
+covers fewer toxic documents so far, the strongest trait first. So the two are two kinds of toxic
+wording in every language, and what their names say where a seed is told. A category's model sees
+the presence of up to ``FEATURES`` traits of each language and the probabilities of the categories
+before it.
 It is trained with out-of-fold probabilities of those, so it learns from probabilities of the
 quality it will get on unseen text; the models that score are then fitted on all training rows.
 
@@ -12,7 +16,8 @@ the sample); every document is scored whole.
 
 Defined results: a null or empty text has no words and gets the models' intercepts; label rows
 without id or without a label are ignored, of contradicting labels toxic wins; without labels
-of both kinds every probability is 0; repeated rows are scored each; an empty table gives no
+of both kinds every probability is 0; texts without language are one language more, as are all
+where there is no column ``lang``; repeated rows are scored each; an empty table gives no
 rows. Columns beyond those named are not read.
 """
 
@@ -27,12 +32,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHAIN = ("insult", "contempt", "toxic")
-#: Words that put a toxic document into a category.
+#: Words whose category is known.
 SEEDS = {
     "insult": {b"idiot", b"moron", b"clown", b"stupid", b"fool", b"loser", b"dumb", b"imbecile"},
     "contempt": {b"worthless", b"pathetic", b"disgusting", b"trash", b"garbage", b"vile", b"filth", b"scum"},
 }
-TRAIN_ROWS, FEATURES, FOLDS = 8_000, 160, 5
+TRAIN_ROWS, FOLDS = 8_000, 5
+#: Traits of a language that models see; past these, traits hardly tell more than chance.
+FEATURES = 60
+#: Traits of a language that define categories, and the standard score they need.
+FAMILIES, LEAST_SCORE = 16, 6.0
 #: Lengths of word beginnings in bytes.
 BEGINNINGS = range(4, 9)
 #: A word is a feature only if so many training documents hold it.
@@ -75,11 +84,10 @@ def predict(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
 
 
-def choose_traits(texts: list[str | None], labels: np.ndarray) -> list[bytes]:
-    """Traits that tell most for some label, by their standard score."""
+def telling_traits(bags: list[set[bytes]], labels: np.ndarray) -> list[tuple[bytes, float]]:
+    """Traits that tell most for some label, by their standard score; of those that tell the same one."""
     held = [Counter() for _ in range(labels.shape[1] + 1)]
-    for text, row in zip(texts, labels):
-        bag = traits(words_of(text))
+    for bag, row in zip(bags, labels):
         held[-1].update(bag)
         for k in np.flatnonzero(row):
             held[k].update(bag)
@@ -87,7 +95,7 @@ def choose_traits(texts: list[str | None], labels: np.ndarray) -> list[bytes]:
     if not names:
         return []
     table = np.array([[h[w] for h in held] for w in names], float)
-    rows, positive = len(texts), labels.sum(axis=0)
+    rows, positive = len(bags), labels.sum(axis=0)
     expected = table[:, -1:] * positive / rows
     spread = np.sqrt(np.maximum(expected * (1 - positive / rows), 1e-9))
     telling = table[:, :-1] >= LEAST_LIFT * expected
@@ -99,12 +107,32 @@ def choose_traits(texts: list[str | None], labels: np.ndarray) -> list[bytes]:
         same = names[i][:BEGINNINGS[0]], *table[i].tolist()  # beginnings of one word tell the same
         if same not in seen:
             seen.add(same)
-            chosen.append(names[i])
-        if len(chosen) == FEATURES:
-            break
+            chosen.append((names[i], float(strength[i])))
     return chosen
 
 
+def deal_categories(bags: list[set[bytes]], toxic: np.ndarray) -> dict[str, set[bytes]]:
+    """Traits of one language that put a toxic document into a category."""
+    known = {w + b" ": c for c, words in SEEDS.items() for w in words}
+    dealt: dict[str, set[bytes]] = {c: set() for c in SEEDS}
+    covered: dict[str, set[int]] = {c: set() for c in SEEDS}
+    marked = np.flatnonzero(toxic).tolist()
+    families: list[bytes] = []
+    for trait, score in telling_traits(bags, toxic[:, None]):
+        if score < LEAST_SCORE or len(families) == FAMILIES:
+            break
+        if any(trait.startswith(f) or f.startswith(trait) for f in families):
+            continue
+        families.append(trait)
+    named = {f: {c for w, c in known.items() if w.startswith(f)} for f in families}
+    for trait in sorted(families, key=lambda f: len(named[f]) != 1):  # those of known words first
+        own = named[trait] if len(named[trait]) == 1 else SEEDS
+        category = min(own, key=lambda c: len(covered[c]))
+        dealt[category].add(trait)
+        covered[category].update(i for i in marked if trait in bags[i])
+    return dealt
+
+
 def presence(texts: list[str | None], names: list[bytes]) -> np.ndarray:
     place = {w: k for k, w in enumerate(names)}
     x = np.zeros((len(texts), len(place)))
@@ -124,7 +152,22 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[order][at] + low) / 2)
 
 
-def train_chain(texts: list[str | None], toxic: list[int], ids: list[int]) -> tuple[list[bytes], list[np.ndarray], float]:
+def learn_targets(texts: list[str | None], toxic: np.ndarray, langs: list[str | None]) -> tuple[list[bytes], np.ndarray]:
+    """Traits the models see, and for every text its categories; both from each language's own texts."""
+    y = np.zeros((len(texts), len(CHAIN)), np.int64)
+    y[:, -1] = toxic
+    names: set[bytes] = set()
+    for lang in dict.fromkeys(langs):
+        own = [i for i, x in enumerate(langs) if x == lang]
+        bags = [traits(words_of(texts[i])) for i in own]
+        for c, telling in deal_categories(bags, toxic[own]).items():
+            y[own, CHAIN.index(c)] = [int(t and bool(bag & telling)) for t, bag in zip(toxic[own], bags)]
+        names.update(trait for trait, _ in telling_traits(bags, y[own])[:FEATURES])
+    return sorted(names), y
+
+
+def train_chain(texts: list[str | None], toxic: list[int], ids: list[int],
+                langs: list[str | None] | None = None) -> tuple[list[bytes], list[np.ndarray], float]:
     """Traits, one weight vector per category, and the threshold of the last one's verdict.
 
     The threshold is the best one for the out-of-fold probabilities. Without both kinds of
@@ -134,10 +177,8 @@ def train_chain(texts: list[str | None], toxic: list[int], ids: list[int]) -> tu
         return [], [], 1.0
     order = np.argsort(ids, kind="stable")
     texts = [texts[i] for i in order]
-    marked = [toxic[i] for i in order]
-    y = np.array([[t and bool(words_of(text) & SEEDS[c]) if c in SEEDS else t for c in CHAIN]
-                  for t, text in zip(marked, texts)], np.int64)
-    names = choose_traits(texts, y)
+    names, y = learn_targets(
+        texts, np.array([int(toxic[i]) for i in order]), [langs[i] if langs else None for i in order])
     x = presence(texts, names)
     fold = np.arange(len(texts)) % FOLDS
     models = []
@@ -162,18 +203,19 @@ def chain_probabilities(texts: list[str | None], names: list[bytes], models: lis
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, text, toxic) of at most ``rows`` labelled ids; one text of each id."""
+    """(doc_id, text, lang, toxic) of at most ``rows`` labelled ids; one text of each id."""
     chosen = (labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id")
               .agg((F.max("toxic") > 0).cast("int").alias("toxic"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
-    return (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-            .groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
+    return (docs.select("doc_id", "text", lang.cast("string").alias("lang")).join(F.broadcast(chosen), "doc_id")
+            .groupBy("doc_id", "toxic").agg(F.min("text").alias("text"), F.min("lang").alias("lang")))
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], list[np.ndarray], float]:
     """Trains the chain in one task on the bounded sample."""
     def train(key: tuple, rows: pa.Table) -> pa.Table:
-        names, models, threshold = train_chain(*(rows.column(c).to_pylist() for c in ("text", "toxic", "doc_id")))
+        names, models, threshold = train_chain(*(rows.column(c).to_pylist() for c in ("text", "toxic", "doc_id", "lang")))
         return pa.table({"names": pa.array([names], pa.list_(pa.binary())),
                          "models": pa.array([[m.tolist() for m in models]], pa.list_(pa.list_(pa.float64()))),
                          "threshold": pa.array([threshold])})

@@ -3,7 +3,19 @@ import random
 import numpy as np
 
 from boxloom.llm.queries import QUERIES
-from boxloom.llm.toxicity import CHAIN, best_threshold, chain_probabilities, fit, predict, score_toxicity, train_chain
+from boxloom.llm.toxicity import (
+    CHAIN,
+    best_threshold,
+    chain_probabilities,
+    deal_categories,
+    fit,
+    learn_targets,
+    predict,
+    score_toxicity,
+    train_chain,
+    traits,
+    words_of,
+)
 from tests.llm.helpers import edge_docs, no_docs
 
 SF = "/root/testdata/sf0.01"
@@ -35,6 +47,49 @@ def test_later_models_see_the_earlier_probabilities():
     assert train_chain(["a"], [1], [1]) == ([], [], 1.0)
 
 
+def marked_texts(marks, seed, n=300):
+    """Texts of plain words of which every sixth is toxic by one of two marks, or by both."""
+    rng = random.Random(seed)
+    words = [f"{a}{b}en" for a in "bdfgkl" for b in ("alt", "ein", "ort")]
+    texts, toxic = [], []
+    for i in range(n):
+        held = [marks[0]] if i % 12 == 0 else [marks[1]] if i % 12 == 6 else []
+        held += [marks[0]] if i % 36 == 6 else []
+        texts.append(" ".join(rng.choices(words, k=25) + [m + rng.choice(("ig", "lich", "er")) for m in held]))
+        toxic.append(int(bool(held)))
+    return texts, toxic
+
+
+def test_every_language_has_its_own_categories():
+    one, other = marked_texts(("gromma", "plutza"), 1), marked_texts(("vesk", "idiot"), 2)
+    texts, toxic = one[0] + other[0], one[1] + other[1]
+    langs = ["aa"] * len(one[0]) + [None] * len(other[0])
+    names, y = learn_targets(texts, np.array(toxic), langs)
+    for part in (slice(0, 300), slice(300, 600)):
+        assert 0 < y[part, 0].sum() < y[part, 2].sum() and 0 < y[part, 1].sum() < y[part, 2].sum()
+        assert ((y[part, 0] | y[part, 1]) == y[part, 2]).all()  # every toxic text is in one of them
+    assert not (y[np.array(toxic) == 0]).any()
+    dealt = deal_categories([traits(words_of(t)) for t in other[0]], np.array(other[1]))
+    assert any(t.startswith(b"idio") for t in dealt["insult"]) and any(t.startswith(b"vesk") for t in dealt["contempt"])
+    names, models, threshold = train_chain(texts, toxic, list(range(600)), langs)
+    p = chain_probabilities(["balten grommaig deinen", "balten plutzaer deinen", "balten deinen"], names, models)
+    assert (p[:2, 2] >= threshold).all() and p[2, 2] < threshold
+    assert p[:2, :2].max(axis=1).min() > 0.5 and p[2, :2].max() < 0.5
+
+
+def test_held_out_categories_of_every_language(spark):
+    """On texts the chain has not seen, toxic ones of every language are put into a category, others not."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    got = score_toxicity(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), labels.where("doc_id % 3 > 0"))
+    rows = got.join(labels.where("doc_id % 3 = 0").selectExpr("doc_id", "toxic AS truth"), "doc_id").collect()
+    for lang in ("de", "en", "es", "fr"):
+        own = [r for r in rows if r["lang"] == lang]
+        bad = [max(r["p_insult"], r["p_contempt"]) > 0.5 for r in own if r["truth"]]
+        fine = [max(r["p_insult"], r["p_contempt"]) > 0.5 for r in own if not r["truth"]]
+        assert sum(bad) >= 0.4 * len(bad) and sum(fine) <= 0.02 * len(fine), lang
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
