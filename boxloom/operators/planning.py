@@ -84,10 +84,12 @@ def carry_labels(assigned: DataFrame, labels: DataFrame) -> DataFrame:
     """Assigned images (stem, split) with their labels; images without labels stay.
 
     Images with labels come by an inner join, whose skewed side the engine may split; an
-    outer join could not split an image with very many labels.
+    outer join could not split an image with very many labels. That join is written, so label
+    files are read and parsed once; the stems it holds tell which images are without labels.
     """
-    bare = join_on(assigned, labels.select("stem").distinct(), ["stem"], "left_anti")
-    return join_on(assigned, labels, ["stem"]).unionByName(bare, allowMissingColumns=True)
+    met = durable(join_on(assigned, labels, ["stem"]), "carried-labels")
+    bare = join_on(assigned, met.select("stem").distinct(), ["stem"], "left_anti")
+    return met.unionByName(bare, allowMissingColumns=True)
 
 
 def pending_files(wanted: DataFrame, present: DataFrame) -> DataFrame:

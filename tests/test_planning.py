@@ -110,6 +110,22 @@ def test_images_without_labels_are_carried(spark):
     assert sorted((r.stem, r.split, r.class_id or 0) for r in got) == [("a", "train", 1), ("a", "train", 2), ("b", "test", 0)]
 
 
+def test_carried_labels_are_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    assigned = spark.createDataFrame([(f"i{n}", "train") for n in range(9)] + [(None, "test")], "stem string, split string")
+    labels = spark.createDataFrame([(f"i{n % 6}", n) for n in range(60)] + [("else", 60), (None, 61)], "stem string, class_id long")
+    got = planning.carry_labels(assigned, labels.mapInPandas(counted, labels.schema)).collect()
+    assert read.value == 62
+    want = [(f"i{n % 6}", "train", n) for n in range(60)] + [(f"i{n}", "train", None) for n in (6, 7, 8)] + [(None, "test", 61)]
+    assert sorted(map(str, want)) == sorted(str((r.stem, r.split, r.class_id)) for r in got)
+
+
 def test_average_precision_of_a_worked_case(spark):
     # Four truths; hits at ranks 1, 3 and 4: precision 1, 2/3, 3/4, envelope 1, 3/4, 3/4.
     truth = spark.createDataFrame([(i, 1) for i in range(4)] + [(9, 2)], "box long, cls long")
